@@ -34,8 +34,10 @@ def palette_bucket(score, vmin: float, vmax: float, steps: int = 256) -> Column:
     """Normalise to [0, 1] by ``vmin..vmax``, clip, then ``floor(x * steps)``
     capped at ``steps - 1`` (a colour map lookup table of ``steps`` entries).
     NULL stays NULL (drawn transparent)."""
-    norm = clip((col(score) - F.lit(float(vmin))) / F.lit(float(vmax - vmin)), 0.0, 1.0)
-    return F.least(F.floor(norm * F.lit(float(steps))), F.lit(steps - 1)).cast("int")
+    s = col(score)
+    norm = clip((s - F.lit(float(vmin))) / F.lit(float(vmax - vmin)), 0.0, 1.0)
+    # least() skips NULL arguments: guard so no-data stays NULL, not the top step.
+    return F.when(s.isNotNull(), F.least(F.floor(norm * F.lit(float(steps))), F.lit(steps - 1)).cast("int"))
 
 
 def ramp_rgb(bucket, steps: int = 256) -> dict[str, Column]:

@@ -68,5 +68,7 @@ def split_valid(df: DataFrame, score: str = "risk_score") -> tuple[DataFrame, Da
 def enforce_valid(df: DataFrame, score: str = "risk_score") -> DataFrame:
     """Strict mode: fail the job on the first invalid record."""
     reason = assessment_check(score)
-    return df.withColumn("_ok", F.when(reason.isNull(), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("constraint violated: "), reason)))).drop("_ok")
+    # A predicate, not a helper column: an unused column would be pruned away
+    # together with its raise_error.
+    return df.where(F.when(reason.isNull(), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("constraint violated: "), reason)).cast("boolean")))

@@ -460,9 +460,9 @@ PALETTE_STEPS = 256
 
 
 @register("score_palette_bucket", W_O(*O.GRID_SCORED)
-          + ", bk AS (SELECT px_row, px_col, CAST(least(floor("
+          + ", bk AS (SELECT px_row, px_col, CASE WHEN risk_score IS NOT NULL THEN CAST(least(floor("
             + O.clip("(risk_score - 0e0) / 100e0", 0.0, 1.0)
-            + f" * {PALETTE_STEPS}e0), {PALETTE_STEPS - 1}) AS INTEGER) AS bucket FROM gc)\n"
+            + f" * {PALETTE_STEPS}e0), {PALETTE_STEPS - 1}) AS INTEGER) END AS bucket FROM gc)\n"
             f"SELECT px_row, px_col, bucket, CASE WHEN bucket IS NOT NULL THEN 255 END AS r, "
             f"230 - CAST(floor(210 * bucket / {PALETTE_STEPS - 1}) AS INTEGER) AS g, "
             f"CAST(floor(60 * ({PALETTE_STEPS - 1} - bucket) / {PALETTE_STEPS - 1}) AS INTEGER) AS b, "
@@ -642,3 +642,47 @@ def q_synthetic_scene(spark, d):
     g = grid(spark, d).select(*GRID_KEYS)
     height, width = grid_extent(g)
     return synthetic_bands(g, height, width)
+
+
+# --------------------------------------------------------------------------- S-02, S-05, S-06 files
+
+
+NPY_CHUNK = 64
+
+
+def _grid_npy_dir(spark, d) -> str:
+    """Write the grid's fast-model risk map as ``.npy`` chunks (S-09) into a
+    fresh folder of the shared checkpoint location; returns the folder."""
+    from ..sources.arrays import scratch_dir, write_npy_chunks
+    out = scratch_dir(spark, "risk-npy")
+    write_npy_chunks(grid_fast(spark, d), out, NPY_CHUNK, ["risk_score"]).count()
+    return out
+
+
+@register("npy_scan", W_O(*O.GRID_FAST) + "SELECT CAST(px_row AS BIGINT) AS px_row, px_col, risk_score FROM gfs")
+def q_npy_scan(spark, d):
+    """Risk map written as array-file chunks, scanned back into pixel rows."""
+    from ..sources.arrays import read_npy
+    rows = read_npy(spark, _grid_npy_dir(spark, d), bands=("risk_score",))
+    return rows.select("px_row", "px_col", "risk_score")
+
+
+@register("tile_catalogue")
+def q_tile_catalogue(spark, d):
+    """Tile files of the written risk map, listed without reading their bodies."""
+    from ..sources.arrays import tile_catalogue
+    return tile_catalogue(spark, _grid_npy_dir(spark, d), "*.npy").select("tile_name", "bytes")
+
+
+@register("log_scan", W_O(*O.PIXEL_SCORED)
+          + ", tm AS (SELECT tile_id, round(avg(risk_score), 2) AS m FROM pc GROUP BY tile_id)\n"
+            f"SELECT count(*) AS tiles, count(m) AS scores, {O.r6('avg(m)')} AS avg_risk, "
+            "min(m) AS min_risk, max(m) AS max_risk FROM tm")
+def q_log_scan(spark, d):
+    """Per-batch logs written from the tile means, then scanned and summarised."""
+    from ..sources.arrays import read_tile_logs, scratch_dir, write_tile_logs
+    means = ST.tile_means(pixel_scored(spark, d))
+    batches = R.batch_assignment(means.select("tile_id"))
+    out = scratch_dir(spark, "tile-logs")
+    write_tile_logs(means, batches, out)
+    return read_tile_logs(spark, out, glob="*.txt")

@@ -116,18 +116,24 @@ PIXEL_RESULT_SCHEMA = T.StructType([
 ])
 
 
+def _values(spark: SparkSession, rows, columns: str) -> DataFrame:
+    """A literal relation built JVM-side (no Python serialisation)."""
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, float):
+            return repr(v) + ("" if "e" in repr(v) else "D")
+        return str(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+
+
 def category_dim(spark: SparkSession) -> DataFrame:
     """Five-row class dimension (code, name, lower bound, hex colour).
 
     Fixed size, so broadcasting it is always safe.
     """
-    schema = T.StructType([
-        T.StructField("risk_category", T.IntegerType(), False),
-        T.StructField("category_name", T.StringType(), False),
-        T.StructField("lower_bound", T.DoubleType(), False),
-        T.StructField("colour", T.StringType(), False),
-    ])
-    return spark.createDataFrame(CATEGORY_ROWS, schema)
+    return _values(spark, CATEGORY_ROWS, "risk_category, category_name, lower_bound, colour")
 
 
 def palette_rows(n: int = 256):
@@ -142,10 +148,4 @@ def palette_rows(n: int = 256):
 
 def palette_dim(spark: SparkSession, n: int = 256) -> DataFrame:
     """Palette as data (``bucket, r, g, b``); fixed size ``n``, safe to broadcast."""
-    schema = T.StructType([
-        T.StructField("bucket", T.IntegerType(), False),
-        T.StructField("r", T.IntegerType(), False),
-        T.StructField("g", T.IntegerType(), False),
-        T.StructField("b", T.IntegerType(), False),
-    ])
-    return spark.createDataFrame(palette_rows(n), schema)
+    return _values(spark, palette_rows(n), "bucket, r, g, b")

@@ -27,8 +27,11 @@ def long_to_wide(long: DataFrame, keys: list[str], labels=BAND_LABELS) -> DataFr
 
     A pixel missing a band gets NULL there (no data), not a dropped row.
     """
-    wide = long.groupBy(*keys).pivot("band", list(labels)).agg(F.max("value"))
-    return wide.select(*keys, *[F.col(lbl).alias(S.BAND_NAMES[lbl]) for lbl in labels])
+    # Conditional aggregation = pivot with a fixed value list, without the
+    # pivot-first rewrite; partial aggregation combines map-side.
+    return long.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("band") == F.lit(lbl), F.col("value"))).alias(S.BAND_NAMES[lbl])
+        for lbl in labels])
 
 
 def alignment_report(long: DataFrame, keys: list[str], labels=BAND_LABELS) -> DataFrame:
