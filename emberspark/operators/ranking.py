@@ -77,20 +77,30 @@ def systematic_sample(df: DataFrame, order: list[str], target: int = S.MARKER_TA
     return picked.withColumn(out, (F.col("_idx") / step).cast("long")).drop("_idx", "_n")
 
 
+def popup_text(score, name, lat, lon) -> "F.Column":
+    """Marker popup: score with one decimal, class name, location with four."""
+    return F.format_string("High Risk Area | Risk Score: %.1f | Category: %s | Location: %.4f, %.4f",
+                           F.col(score), F.col(name), F.col(lat), F.col(lon))
+
+
 def high_risk_markers(scored: DataFrame, height, width, bounds=S.STUDY_AREA,
-                      target: int = S.MARKER_TARGET) -> DataFrame:
+                      target: int = S.MARKER_TARGET, popup: bool = False) -> DataFrame:
     """Marker feed: sampled class >= 4 pixels in row-major order with lat/lon,
-    score and class name. ``height``/``width`` are columns or scalar subqueries."""
+    score and class name (and popup text). ``height``/``width`` are columns or
+    scalar subqueries."""
     west, south, east, north = bounds
     hr = scored.where(class_at_least("risk_score", 4))
     s = systematic_sample(hr, ["px_row", "px_col"], target)
-    return s.select(
+    out = s.select(
         "sample_rank", "px_row", "px_col",
         pixel_lat("px_row", height, south, north).alias("lat"),
         pixel_lon("px_col", width, west, east).alias("lon"),
         "risk_score",
         category_name("risk_category").alias("category_name"),
     )
+    if popup:
+        out = out.withColumn("popup", popup_text("risk_score", "category_name", "lat", "lon"))
+    return out
 
 
 def batch_assignment(tiles: DataFrame, tile: str = "tile_id", size: int = S.TILES_PER_BATCH) -> DataFrame:

@@ -101,3 +101,32 @@ def date_series(bands: DataFrame, bbox=None, date: str = "scene_date"):
         px = px.where(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1))
     series = ST.time_series(SCO.add_fast_score(I.add_fast_indices(px)), date)
     return series, ST.series_arrays(series, date)
+
+
+def quick_ndvi(red: DataFrame, nir: DataFrame, keys=("px_row", "px_col"),
+               red_col: str = "b04", nir_col: str = "b08") -> DataFrame:
+    """P-05: NDVI straight from two single-band sources, aligned by pixel key
+    (J-05: an equi-join on the key; a key present in only one band gives a
+    NULL band and so a NULL index, never a silently shifted pixel)."""
+    keys = list(keys)
+    r = red.select(*keys, F.col(red_col).alias("b04"))
+    n = nir.select(*keys, F.col(nir_col).alias("b08"))
+    return I.add_ndvi(r.join(n, keys, "full_outer"))
+
+
+def map_feed(scored: DataFrame, height, width, bounds=S.STUDY_AREA, vmin: float = 0.0, vmax: float = 100.0):
+    """E-09: everything a map layer needs, as DataFrames: class RGBA and score
+    palette per pixel, sampled high-risk markers with popups, legend rows."""
+    from ..functions import colour as C
+    from ..schema import category_dim
+    rgba = C.category_rgba("risk_category")
+    bucket = C.palette_bucket("risk_score", vmin, vmax)
+    ramp = C.ramp_rgb(bucket)
+    layers = scored.select(
+        "px_row", "px_col", "risk_category",
+        *[v.alias("class_" + k) for k, v in rgba.items()],
+        bucket.alias("score_bucket"), *[v.alias("score_" + k) for k, v in ramp.items()],
+        F.when(bucket.isNull(), F.lit(0)).otherwise(F.lit(255)).alias("score_a"))
+    markers = R.high_risk_markers(scored, height, width, bounds, popup=True)
+    legend = category_dim(scored.sparkSession)
+    return {"layers": layers, "markers": markers, "legend": legend}

@@ -382,17 +382,15 @@ TILE_W, TILE_H = 0.2, 0.125
 
 
 def tile_scenes(px: DataFrame) -> DataFrame:
-    """Scene metadata per tile (S-03): size from the data, affine transform by
-    rule (a 4 x 4 tile layout over the study area, north-up)."""
+    """Scene metadata per tile (S-03): size from the data, transform by rule
+    (a 4 x 4 tile layout over the study area, north-up)."""
+    from ..sources.bands import scene_metadata
     t = F.col("tile_id")
-    meta = px.groupBy("tile_id").agg((F.max("px_col") + 1).alias("width"), (F.max("px_row") + 1).alias("height"))
-    return meta.select(
-        "tile_id", "width", "height",
-        (F.lit(TILE_W) / F.col("width")).alias("a"), F.lit(0.0).alias("b"),
-        (F.lit(W) + (t % 4) * F.lit(TILE_W)).alias("c"),
-        F.lit(0.0).alias("d"), (F.lit(-TILE_H) / F.col("height")).alias("e"),
-        (F.lit(N) - F.floor(t / F.lit(4)) * F.lit(TILE_H)).alias("f"),
-        F.lit("EPSG:4326").alias("crs"))
+    return scene_metadata(px).withColumns({
+        "a": F.lit(TILE_W) / F.col("width"),
+        "c": F.lit(W) + (t % 4) * F.lit(TILE_W),
+        "e": F.lit(-TILE_H) / F.col("height"),
+        "f": F.lit(N) - F.floor(t / F.lit(4)) * F.lit(TILE_H)})
 
 
 @register("pixel_affine", W_O(O.PIXELS)
@@ -686,3 +684,27 @@ def q_log_scan(spark, d):
     out = scratch_dir(spark, "tile-logs")
     write_tile_logs(means, batches, out)
     return read_tile_logs(spark, out, glob="*.txt")
+
+
+@register("quick_ndvi", W_O(O.GRID) + f"SELECT CAST(px_row AS BIGINT) AS px_row, px_col, {O.cindex('b08', 'b04')} AS ndvi FROM grid")
+def q_quick_ndvi(spark, d):
+    """Red and NIR written as separate array files, read back and aligned by
+    pixel key before the index (P-05 / J-05)."""
+    from ..sources.arrays import read_npy, scratch_dir, write_npy_chunks
+    from .assessment import quick_ndvi
+    g = grid(spark, d)
+    paths = {}
+    for band in ("b04", "b08"):
+        paths[band] = scratch_dir(spark, f"band-{band}")
+        write_npy_chunks(g, paths[band], NPY_CHUNK, [band]).count()
+    red = read_npy(spark, paths["b04"], bands=("b04",))
+    nir = read_npy(spark, paths["b08"], bands=("b08",))
+    return quick_ndvi(red, nir).select("px_row", "px_col", "ndvi")
+
+
+@register("marker_popups")
+def q_marker_popups(spark, d):
+    """Marker feed with popup text (numbers formatted with one/four decimals)."""
+    g = grid_scored(spark, d)
+    height, width = grid_extent(g)
+    return R.high_risk_markers(g, height, width, popup=True).select("sample_rank", "popup")

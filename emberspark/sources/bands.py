@@ -39,3 +39,25 @@ def alignment_report(long: DataFrame, keys: list[str], labels=BAND_LABELS) -> Da
     per_px = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                      F.count_distinct("band").alias("bands"))
     return per_px.where((F.col("n") != len(labels)) | (F.col("bands") != len(labels)))
+
+
+def scene_metadata(px: DataFrame, key: str = "tile_id", origin_lon=None, origin_lat=None,
+                   pixel_w=None, pixel_h=None, crs: str = "EPSG:4326") -> DataFrame:
+    """Per-scene raster metadata: width/height from the data and an affine
+    transform ``x = a*col + b*row + c``, ``y = d*col + e*row + f`` (north-up,
+    so ``e`` is negative). ``origin_*``/``pixel_*`` are columns or literals.
+
+    One row per scene: joined back to pixels it is broadcast by AQE's size
+    check, not by a hint.
+    """
+    meta = px.groupBy(key).agg((F.max("px_col") + 1).alias("width"), (F.max("px_row") + 1).alias("height"))
+
+    def c(v, default):
+        v = default if v is None else v
+        return v if not isinstance(v, (int, float)) else F.lit(float(v))
+
+    return meta.select(
+        key, "width", "height",
+        c(pixel_w, 1.0).alias("a"), F.lit(0.0).alias("b"), c(origin_lon, 0.0).alias("c"),
+        F.lit(0.0).alias("d"), (-c(pixel_h, 1.0)).alias("e"), c(origin_lat, 0.0).alias("f"),
+        F.lit(crs).alias("crs"))

@@ -106,3 +106,38 @@ def test_series_json_sink(spark, tmp_out):
     back = spark.read.json(tmp_out + "/series").first()
     assert len(back.dates) == len(back.mean_risks) == len(back.high_risk_areas)
     assert list(back.dates) == sorted(back.dates)
+
+
+def test_sample_rows_as_goldens(spark):
+    from emberspark.operators import spatial as SP
+    from emberspark.sources import fixtures as FX
+    s = FX.sample_assessments(spark)
+    assert [r.id for r in SP.bbox_filter(s, (150.15, -33.85, 150.18, -33.82)).collect()] == [1]
+    # touching edge at x = 150.2 counts
+    assert sorted(r.id for r in SP.bbox_filter(s, (150.2, -33.9, 150.3, -33.8)).collect()) == [1, 2]
+    assert [r.id for r in SP.score_at_least(s, 60.0).collect()] == [1]
+    b = FX.boundaries(spark, SF_SMALL)
+    j = SP.spatial_left_join(s, b, "id", "boundary_id", ["nm"]).collect()
+    assert {r.id for r in j} == {1, 2} and all(r.nm is not None for r in j)
+
+
+def test_tables_and_pixel_results_sink(spark, tmp_out):
+    K.create_tables(spark, tmp_out + "/warehouse")
+    assert spark.table("risk_assessments").count() == 0
+    assert "assessment_id" in spark.table("pixel_results").columns
+    spark.sql("DROP TABLE risk_assessments")
+    spark.sql("DROP TABLE pixel_results")
+    pr = CAT.q_pixel_results(spark, SF_SMALL)
+    K.write_pixel_results(pr, tmp_out + "/pr")
+    assert spark.read.parquet(tmp_out + "/pr").count() == pr.count()
+
+
+def test_map_feed(spark):
+    from emberspark.plans.assessment import map_feed
+    g = CAT.grid_scored(spark, SF_SMALL)
+    h, w = CAT.grid_extent(g)
+    feed = map_feed(g, h, w)
+    assert feed["legend"].count() == 5
+    assert feed["layers"].count() == g.count()
+    m = feed["markers"].collect()
+    assert m and all(r.popup.startswith("High Risk Area | Risk Score: ") for r in m)
