@@ -89,7 +89,9 @@ def high_risk_markers(scored: DataFrame, height, width, bounds=S.STUDY_AREA,
     score and class name (and popup text). ``height``/``width`` are columns or
     scalar subqueries."""
     west, south, east, north = bounds
-    hr = scored.where(class_at_least("risk_score", 4))
+    # Only the columns the feed needs are ranked (and checkpointed).
+    hr = scored.where(class_at_least("risk_score", 4)).select(
+        "px_row", "px_col", "risk_score", "risk_category")
     s = systematic_sample(hr, ["px_row", "px_col"], target)
     out = s.select(
         "sample_rank", "px_row", "px_col",
