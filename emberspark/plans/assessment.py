@@ -130,3 +130,46 @@ def map_feed(scored: DataFrame, height, width, bounds=S.STUDY_AREA, vmin: float
     markers = R.high_risk_markers(scored, height, width, bounds, popup=True)
     legend = category_dim(scored.sparkSession)
     return {"layers": layers, "markers": markers, "legend": legend}
+
+
+def assessment_record(scored: DataFrame, bbox=S.STUDY_AREA, assessment_date=None,
+                      processing_ts=None, by: list[str] | None = None) -> DataFrame:
+    """E-08: one ``risk_assessments`` row per group of scored pixels (the
+    whole set when ``by`` is empty): NaN-free means, the label of the mean
+    score (``Unknown`` when every pixel is no data), the study-area polygon,
+    its rough area, metadata JSON and timestamps. ``assessment_date`` /
+    ``processing_ts`` default to today / now; pass columns or literals for
+    reproducible re-runs. The id is a hash of (date, polygon, group).
+    """
+    from ..sources.sinks import assessment_ids, metadata_json
+    by = list(by or [])
+    x0, y0, x1, y1 = bbox
+    date = F.current_date() if assessment_date is None else F.lit(assessment_date).cast("date")
+    ts = F.current_timestamp() if processing_ts is None else F.lit(processing_ts).cast("timestamp")
+    agg = scored.groupBy(*by).agg(
+        F.avg("risk_score").alias("risk_score"),
+        *[F.avg(c).alias(f"{c}_mean") for c in ("ndvi", "ndmi", "nbr") if c in scored.columns])
+    for c in ("ndvi", "ndmi", "nbr"):
+        if f"{c}_mean" not in agg.columns:
+            agg = agg.withColumn(f"{c}_mean", F.lit(None).cast("double"))
+    box = {k: F.lit(float(v)) for k, v in zip(("xmin", "ymin", "xmax", "ymax"), bbox)}
+    rec = agg.select(
+        *by, date.alias("assessment_date"),
+        G.box_wkt(*box.values()).alias("geom_wkt"),
+        *[v.alias(k) for k, v in box.items()],
+        G.box_ring(*box.values()).alias("ring"),
+        "risk_score", score_label("risk_score").alias("risk_category"),
+        "ndvi_mean", "ndmi_mean", "nbr_mean",
+        G.degree_box_hectares(*box.values()).alias("area_hectares"),
+        metadata_json(ts).alias("metadata"),
+        ts.alias("created_at"), ts.alias("updated_at"))
+    return rec.withColumn("id", assessment_ids(["assessment_date", "geom_wkt", *by]))
+
+
+def save_assessment(scored: DataFrame, table_path: str, bbox=S.STUDY_AREA, **kw):
+    """E-08 end to end: record -> constraint check -> append valid rows.
+    Returns (ids written, quarantined rows) as DataFrames."""
+    from ..sources.sinks import append_assessments
+    rec = assessment_record(scored, bbox, **kw)
+    valid, bad = Q.split_valid(rec)
+    return append_assessments(valid, table_path), bad

@@ -141,3 +141,18 @@ def test_map_feed(spark):
     assert feed["layers"].count() == g.count()
     m = feed["markers"].collect()
     assert m and all(r.popup.startswith("High Risk Area | Risk Score: ") for r in m)
+
+
+def test_assessment_record_and_save(spark, tmp_out):
+    from emberspark.plans.assessment import assessment_record, save_assessment
+    scored = CAT.masked_scored(spark, SF_SMALL)
+    rec = assessment_record(scored, assessment_date="2024-03-01", processing_ts="2024-03-01 10:00:00").first()
+    full = CAT.q_full_assessment(spark, SF_SMALL).first()
+    assert round(rec.risk_score, 6) == full.mean_risk_score and rec.risk_category == full.risk_category
+    assert rec.geom_wkt.startswith("POLYGON((150.0 -34.0, 150.8 -34.0")
+    assert '"processing_date":"2024-03-01T10:00:00"' in rec.metadata
+    assert abs(rec.area_hectares - 492840.0) < 1e-6
+    ids, bad = save_assessment(scored, tmp_out + "/ra", by=["tile_id"], assessment_date="2024-03-01")
+    assert ids.count() == scored.select("tile_id").distinct().count() and bad.count() == 0
+    back = spark.read.parquet(tmp_out + "/ra")
+    assert back.where("risk_score < 0 or risk_score > 100").count() == 0
