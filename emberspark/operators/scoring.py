@@ -66,3 +66,43 @@ def score_pixels(df: DataFrame, model: str = "calibrated", weights=None,
 def drop_helpers(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[n for n in names if n in df.columns])
 
+
+
+def add_calibrated_score_by(df: DataFrame, weights: DataFrame, key: str, out: str = "risk_score") -> DataFrame:
+    """Calibrated score with weights that come from a table (per-region models).
+
+    ``weights`` has one row per ``key`` value with any of the columns
+    ``w_ndvi, w_ndmi, w_nbr`` (missing/NULL = weight 0 after normalisation;
+    a region without a row keeps the default weights). The weight table is
+    joined by key -- one row per region, so AQE broadcasts it by its runtime
+    size -- and the weights are normalised per row by their sum; the sum is
+    then restricted to the indices present in ``df``, as in the fixed-weight
+    model.
+    """
+    from pyspark.sql import functions as F
+
+    from .. import schema as S
+    from ..functions.core import clip
+    present = present_indices(df)
+    if not present:
+        raise ValueError("no index (NDVI, NDMI, NBR) available for risk scoring")
+    wcols = {"NDVI": "w_ndvi", "NDMI": "w_ndmi", "NBR": "w_nbr"}
+    wt = weights.select(key, *[F.col(c) for c in wcols.values() if c in weights.columns])
+    j = df.join(wt, key, "left")
+    has_row = F.coalesce(*[F.col(c).isNotNull() for c in wcols.values() if c in wt.columns], F.lit(False))
+    w = {}
+    for name, c in wcols.items():
+        given = F.coalesce(F.col(c), F.lit(0.0)) if c in wt.columns else F.lit(0.0)
+        w[name] = F.when(has_row, given).otherwise(F.lit(S.DEFAULT_WEIGHTS[name]))
+    total = w["NDVI"] + w["NDMI"] + w["NBR"]
+    norm = {n: F.when(total != 0, w[n] / total) for n in w}
+    acc, used = None, None
+    for name in SC.INDEX_ORDER:
+        if name not in present:
+            continue
+        term = norm[name] * SC.risk_component(name, SC.INDEX_COLUMNS[name])
+        acc = term if acc is None else acc + term
+        used = norm[name] if used is None else used + norm[name]
+    score = F.when(used > 0, clip(acc / used, 0.0, 100.0)).otherwise(F.lit(0.0))
+    drop = [c for c in wcols.values() if c in wt.columns]
+    return j.withColumn(out, score).drop(*drop)

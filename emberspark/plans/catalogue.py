@@ -708,3 +708,14 @@ def q_marker_popups(spark, d):
     g = grid_scored(spark, d)
     height, width = grid_extent(g)
     return R.high_risk_markers(g, height, width, popup=True).select("sample_rank", "popup")
+
+
+TOP_K = 10
+
+
+@register("top_risk_assessments", W_O(O.ASSESSMENTS)
+          + f"SELECT {ASSESS_SQL} FROM assessments WHERE risk_score IS NOT NULL "
+            f"ORDER BY risk_score DESC, assessment_date DESC, id LIMIT {TOP_K}")
+def q_top_risk_assessments(spark, d):
+    """Top-k report of the highest scores (the limit is the feature)."""
+    return SP.top_by_score(FX.assessments(spark, d), TOP_K).select(*ASSESS_COLS)

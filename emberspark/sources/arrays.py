@@ -107,13 +107,17 @@ def tile_catalogue(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
 
 
 def write_npy_chunks(df: DataFrame, out_dir: str, chunk_size: int, value_cols: list[str],
-                     row: str = "px_row", col: str = "px_col") -> DataFrame:
-    """Write a raster as ``chunk_r<row>_c<col>.npy`` files, one per chunk.
+                     row: str = "px_row", col: str = "px_col", scene: str | None = None) -> DataFrame:
+    """Write a raster as ``chunk_r<row>_c<col>.npy`` files, one per chunk
+    (under ``<scene>=<value>/`` folders when a scene column is given, so a
+    group never mixes rasters: a group holds at most ``chunk_size**2`` pixels
+    of one raster with unique (row, col)).
 
     Returns (lazily) one row per written chunk: path, origin and shape. Call
     an action on it to perform the write. Missing pixels are NaN.
     """
     keyed = df.select(
+        (F.col(scene).cast("string") if scene else F.lit("")).alias("_scene"),
         F.floor(F.col(row) / chunk_size).cast("long").alias("chunk_y"),
         F.floor(F.col(col) / chunk_size).cast("long").alias("chunk_x"),
         F.col(row).cast("long").alias("_r"), F.col(col).cast("long").alias("_c"),
@@ -130,8 +134,10 @@ def write_npy_chunks(df: DataFrame, out_dir: str, chunk_size: int, value_cols: l
         arr = np.full((h, w, len(names)), np.nan, dtype=np.float64)
         for i, name in enumerate(names):
             arr[r, c, i] = pdf[name].to_numpy(dtype=np.float64, na_value=np.nan)
-        os.makedirs(out_dir, exist_ok=True)
-        target = os.path.join(out_dir, f"chunk_r{r0}_c{c0}.npy")
+        sc = str(pdf["_scene"].iloc[0])
+        folder = os.path.join(out_dir, f"{scene}={sc}") if scene else out_dir
+        os.makedirs(folder, exist_ok=True)
+        target = os.path.join(folder, f"chunk_r{r0}_c{c0}.npy")
         tmp = target + f".{uuid.uuid4().hex}.tmp"
         with open(tmp, "wb") as fh:           # write-then-rename: a retried task
             np.save(fh, arr)                  # never leaves a torn chunk behind
@@ -139,7 +145,7 @@ def write_npy_chunks(df: DataFrame, out_dir: str, chunk_size: int, value_cols: l
         return pd.DataFrame({"path": [target], "chunk_y": [cy], "chunk_x": [cx],
                              "height": [h], "width": [w]})
 
-    return keyed.groupBy("chunk_y", "chunk_x").applyInPandas(write, out_schema)
+    return keyed.groupBy("_scene", "chunk_y", "chunk_x").applyInPandas(write, out_schema)
 
 
 def read_tile_logs(spark: SparkSession, path: str, glob: str = "batch_*.log") -> DataFrame:

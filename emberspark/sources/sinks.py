@@ -32,7 +32,7 @@ def metadata_json(processing_ts: Column | None = None, extra: dict | None = None
 
 def write_index_table(df: DataFrame, path: str, index_cols: list[str],
                       keys=("tile_id", "px_row", "px_col"), partition_by=("scene_date",),
-                      mode: str = "overwrite") -> None:
+                      mode: str = "overwrite", num_files: int | None = None) -> None:
     """Index raster sink: one column per index, partitioned by scene.
 
     Requires scene metadata (a ``scene_date`` or the partition columns) like
@@ -41,10 +41,15 @@ def write_index_table(df: DataFrame, path: str, index_cols: list[str],
     missing = [c for c in partition_by if c not in df.columns]
     if missing:
         raise ValueError(f"no scene metadata available: missing {missing}")
-    cols = [*partition_by, *[k for k in keys if k in df.columns], *index_cols]
+    keys = [k for k in keys if k in df.columns]
+    cols = [*partition_by, *keys, *index_cols]
+    n = num_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Range-partition on the composite key: a date holding a third of all
+    # pixels is split over many tasks (hash-partitioning on the date alone
+    # would send it to one), and each file covers a contiguous key range.
     (df.select(*cols)
-       .repartition(*partition_by)
-       .sortWithinPartitions(*[k for k in keys if k in df.columns])
+       .repartitionByRange(n, *partition_by, *keys)
+       .sortWithinPartitions(*partition_by, *keys)
        .write.mode(mode).partitionBy(*partition_by).parquet(path))
 
 

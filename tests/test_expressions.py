@@ -184,3 +184,14 @@ def test_degree_box_area(spark):
     ha = df.select(G.degree_box_hectares("a", "b", "c", "d").alias("h")).first().h
     assert ha == pytest.approx(492840.0)
     assert not math.isnan(ha)
+
+
+def test_weights_from_a_table(spark):
+    from emberspark.operators.scoring import add_calibrated_score_by
+    px = spark.createDataFrame([(1, 0.5, 0.2, 0.0), (2, 0.5, 0.2, 0.0), (3, 0.5, 0.2, 0.0)],
+                               "region int, ndvi double, ndmi double, nbr double")
+    w = spark.createDataFrame([(1, 2.0, 1.0, 1.0), (2, 0.0, 1.0, None)], "region int, w_ndvi double, w_ndmi double, w_nbr double")
+    got = {r.region: r.risk_score for r in add_calibrated_score_by(px, w, "region").collect()}
+    assert got[1] == pytest.approx(0.5 * (100 - 200 / 3) + 0.25 * 50 + 0.25 * 50)
+    assert got[2] == pytest.approx(50.0)          # NDMI only
+    assert got[3] == pytest.approx(45.0)          # no row: default weights
