@@ -283,7 +283,10 @@ def q_time_series(spark, d):
     return series(spark, d)
 
 
-@register("series_arrays")
+@register("series_arrays", "WITH s AS (" + SERIES_SQL + ")\n"
+          "SELECT list(scene_date ORDER BY scene_date) AS dates, list(mean_risk ORDER BY scene_date) AS mean_risks, "
+          "list(max_risk ORDER BY scene_date) AS max_risks, "
+          "list(high_risk_area ORDER BY scene_date) AS high_risk_areas FROM s")
 def q_series_arrays(spark, d):
     return ST.series_arrays(series(spark, d))
 

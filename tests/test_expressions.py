@@ -195,3 +195,23 @@ def test_weights_from_a_table(spark):
     assert got[1] == pytest.approx(0.5 * (100 - 200 / 3) + 0.25 * 50 + 0.25 * 50)
     assert got[2] == pytest.approx(50.0)          # NDMI only
     assert got[3] == pytest.approx(45.0)          # no row: default weights
+
+
+def test_empty_assessment_table_gives_one_statistics_row(spark):
+    from emberspark.operators import stats as ST
+    empty = spark.createDataFrame([], "risk_score double, risk_category string, area_hectares double")
+    rows = ST.assessment_statistics(empty).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert r.total_assessments == 0 and r.very_high_count == 0 and r.low_count == 0
+    assert r.avg_risk_score is None and r.min_risk_score is None and r.total_area_hectares is None
+
+
+def test_series_threshold_is_strict_while_class_four_starts_at_sixty(spark):
+    from datetime import date
+
+    from emberspark.operators import stats as ST
+    df = spark.createDataFrame([(date(2024, 1, 1), 60.0), (date(2024, 1, 1), 61.0)], "scene_date date, risk_score double")
+    r = ST.time_series(df).first()
+    assert r.high_risk_area == 50.0
+    assert [x.c for x in df.select(scores.classify("risk_score").alias("c")).collect()] == [4, 4]
