@@ -76,10 +76,10 @@ def grid_fast(spark, d) -> DataFrame:
 
 
 def grid_extent(g: DataFrame):
-    """Raster height and width as scalar subqueries (evaluated once, inlined)."""
-    height = g.select((F.max("px_row") + 1).alias("h")).scalar()
-    width = g.select((F.max("px_col") + 1).alias("w")).scalar()
-    return height, width
+    """Raster height and width from one scalar subquery (one small aggregate
+    job, its single row inlined into the plan)."""
+    ext = g.select(F.struct((F.max("px_row") + 1).alias("h"), (F.max("px_col") + 1).alias("w"))).scalar()
+    return ext["h"], ext["w"]
 
 
 W, Sth, E, N = S.STUDY_AREA

@@ -48,6 +48,30 @@ def build_session(master: str | None = None, app: str = "emberspark",
     return spark
 
 
+def sizing_conf(input_bytes: float, total_cores: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                shuffle_bytes_ratio: float = 0.25) -> dict[str, str]:
+    """Partition sizing for a run over ``input_bytes`` of Parquet on
+    ``total_cores`` executor cores.
+
+    * scan splits of ``target_partition_bytes`` (compressed) keep a task's
+      decoded batch well inside executor memory; at 100 TB that is ~400k
+      tasks, a few hundred waves on 8,000 cores;
+    * the initial shuffle partition count is sized for the *largest* shuffle
+      (only the spatial join, the global rank and the long-to-wide pivot
+      move pixel-sized data; the class/date/tile reports move one row per
+      key and task) at ~``target_partition_bytes`` each, never fewer than
+      two per core; AQE then coalesces small ones and splits skewed ones.
+    """
+    shuffle_parts = max(2 * total_cores, int(input_bytes * shuffle_bytes_ratio / target_partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(16 * 1024 * 1024),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
