@@ -23,34 +23,50 @@ def r6(c) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), ROUND)
 
 
+CLASS_CODES = tuple(range(0, len(S.CATEGORY_ROWS) + 1))   # 0 = no data, 1..5
+
+
+def _class_counts(df: DataFrame, cat: str, by: list[str], codes) -> DataFrame:
+    """One row per ``by`` group with a count per class code, in one hash
+    aggregate (partial counts per task, then one row per group crosses the
+    shuffle), unpivoted to ``(by..., cat, pixels, _all, _valid)`` rows.
+
+    The class set is fixed, so conditional counts replace a group-by on the
+    derived class: no filter on the class is ever pushed into the scan, no
+    window is needed for the totals (they sit in the same row), and classes
+    that do not occur are dropped after aggregation.
+    """
+    c = F.col(cat)
+    agg = df.groupBy(*by).agg(
+        *[F.count_if(c == F.lit(k)).alias(f"_n{k}") for k in codes],
+        F.count(F.lit(1)).alias("_all"),
+        F.count_if(c > 0).alias("_valid"))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias(cat), F.col(f"_n{k}").alias("pixels")) for k in codes]))
+    return (agg.select(*by, rows.alias("_e"), "_all", "_valid")
+               .select(*by, "_e.*", "_all", "_valid")
+               .where(F.col("pixels") > 0))
+
+
 def class_distribution(df: DataFrame, cat: str = "risk_category", by: list[str] | None = None) -> DataFrame:
     """Pixels per class (including 0 = no data) and % of *all* pixels."""
     by = by or []
-    g = df.groupBy(*by, cat).agg(F.count(F.lit(1)).alias("pixels"))
-    total = F.sum("pixels").over(Window.partitionBy(*by))
-    return (g.withColumn("pct_all", r6(F.col("pixels") / total * F.lit(100.0)))
-             .withColumn("category_name", category_name(cat)))
+    g = _class_counts(df, cat, by, CLASS_CODES)
+    return g.select(*by, cat, "pixels",
+                    r6(F.col("pixels") / F.col("_all") * F.lit(100.0)).alias("pct_all"),
+                    category_name(cat).alias("category_name"))
 
 
 def area_statistics(df: DataFrame, cat: str = "risk_category", pixel_area_m2: float = S.PIXEL_AREA_M2,
                     by: list[str] | None = None) -> DataFrame:
     """Per occurring class > 0: pixels, m², hectares and % of *valid* pixels."""
     by = by or []
-    g = df.groupBy(*by, cat).agg(F.count(F.lit(1)).alias("pixels"))
-    # Keep classes 1..5 through an inner join with the five-row class
-    # dimension (fixed size: broadcast). A row filter on the derived class
-    # would be pushed below the aggregate into the scan, inlining the whole
-    # score expression once per CASE branch.
-    dim = S.category_dim(df.sparkSession).select(
-        F.col("risk_category").alias(cat), "category_name")
-    g = g.join(F.broadcast(dim), cat)
-    total = F.sum("pixels").over(Window.partitionBy(*by))
+    g = _class_counts(df, cat, by, CLASS_CODES[1:])
     area_m2 = F.col("pixels") * F.lit(float(pixel_area_m2))
     return g.select(
-        *by, cat, "category_name", "pixels",
+        *by, cat, category_name(cat).alias("category_name"), "pixels",
         area_m2.alias("area_m2"),
         (area_m2 / F.lit(10000.0)).alias("area_hectares"),
-        r6(F.col("pixels") / total * F.lit(100.0)).alias("pct_valid"),
+        r6(F.col("pixels") / F.col("_valid") * F.lit(100.0)).alias("pct_valid"),
     )
 
 
