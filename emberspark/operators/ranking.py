@@ -70,11 +70,43 @@ def systematic_sample(df: DataFrame, order: list[str], target: int = S.MARKER_TA
     This yields ``ceil(n / step)`` rows -- up to ``2 * target - 1`` (39 at
     n = 39), exactly as the published marker rule does; it is a sampling
     operator, so the row count is the feature.
+
+    Only the sampled rows are ever ranked. ``order[0]`` is used as a bucket
+    (for a raster: the pixel row, so a bucket holds at most one raster row):
+
+    1. rows per bucket -- one partial aggregate, one row per bucket crosses
+       the shuffle;
+    2. bucket offsets -- a running sum over that per-bucket table (its size is
+       the number of buckets, e.g. the raster height, not the pixel count);
+    3. the wanted global positions ``k * step`` fall into at most
+       ``2 * target`` buckets: those (bucket, position-in-bucket, k) triples
+       form a table of bounded size, broadcast to fetch the candidate rows;
+    4. a window ranks rows only inside those buckets.
+
+    No full sort, no single-partition window over the rows, nothing
+    materialised; every step is deterministic, so a lost executor recomputes
+    the same answer.
     """
-    ranked = global_row_number(df, order, out="_idx", total="_n")
+    bucket, within = order[0], list(order[1:])
+    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.orderBy(bucket)
+    offs = counts.select(
+        bucket, "_cnt",
+        F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(Window.partitionBy()).alias("_n"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(target)))
-    picked = ranked.where(F.col("_idx") % step == 0)
-    return picked.withColumn(out, (F.col("_idx") / step).cast("long")).drop("_idx", "_n")
+    # k values whose position k*step lies in [off, off + cnt)
+    k_lo = F.ceil(F.col("_off") / step)
+    k_hi = F.floor((F.col("_off") + F.col("_cnt") - 1) / step)
+    targets = (offs.where(k_lo <= k_hi)
+                   .select(bucket, step.alias("_step"), "_off",
+                           F.explode(F.sequence(k_lo, k_hi)).alias(out))
+                   .select(bucket, out, (F.col(out) * F.col("_step") - F.col("_off")).alias("_pos")))
+    # At most 2 * target rows: safe to broadcast.
+    cand = df.join(F.broadcast(targets.select(bucket)), bucket, "left_semi")
+    ranked = cand.withColumn("_pos", F.row_number().over(
+        Window.partitionBy(bucket).orderBy(*within)) - 1) if within else cand.withColumn("_pos", F.lit(0))
+    return ranked.join(F.broadcast(targets), [bucket, "_pos"]).drop("_pos")
 
 
 def popup_text(score, name, lat, lon) -> "F.Column":
