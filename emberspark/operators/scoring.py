@@ -63,11 +63,6 @@ def score_pixels(df: DataFrame, model: str = "calibrated", weights=None,
     return add_class(df, name=None) if with_class else df
 
 
-def drop_helpers(df: DataFrame, *names: str) -> DataFrame:
-    return df.drop(*[n for n in names if n in df.columns])
-
-
-
 def add_calibrated_score_by(df: DataFrame, weights: DataFrame, key: str, out: str = "risk_score") -> DataFrame:
     """Calibrated score with weights that come from a table (per-region models).
 

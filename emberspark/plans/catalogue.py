@@ -44,7 +44,6 @@ def register(name: str, sql: str | None = None):
 
 KEYS = ["tile_id", "px_row", "px_col", "scene_date"]
 GRID_KEYS = ["px_row", "px_col"]
-SERIES_BOX = S.STUDY_AREA
 
 
 def pixels(spark, d) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
-from ..operators import indices as I
 from ..operators import quality as Q
 from ..operators import scoring as SCO
 from ..session import shared_dir

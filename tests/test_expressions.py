@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from emberspark import schema as S
 from emberspark.functions import core, scores
