@@ -157,6 +157,22 @@ def class_at_least(score, k: int) -> Column:
     return s >= F.lit(S.CLASS_THRESHOLDS[k - 2])
 
 
+def where_computed(df, cond: Column):
+    """``df.where(cond)`` for a condition on *derived* columns (the score).
+
+    Catalyst pushes a filter below projections by substituting the projected
+    expressions; for a deep expression like the risk score this copies the
+    whole score into the scan-side filter (and again per reference), which
+    produces a generated method too large for the JIT -- the stage then runs
+    interpreted, ~10x slower. A filter on a generator's output is not pushed
+    below the generator, so the projection computes the score once and the
+    filter only reads it. (Rows are neither added nor dropped by the
+    one-element explode.)
+    """
+    return (df.select("*", F.explode(F.array(cond)).alias("_keep"))
+              .where(F.col("_keep")).drop("_keep"))
+
+
 def category_name(code) -> Column:
     """Class code -> name, ``Unknown`` for anything outside 1..5.
 

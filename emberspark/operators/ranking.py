@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..session import ensure_checkpoint_dir
 from ..functions.geo import pixel_lat, pixel_lon
-from ..functions.scores import category_name, class_at_least
+from ..functions.scores import category_name, class_at_least, where_computed
 
 _LOCAL_BITS = 33
 
@@ -122,7 +122,7 @@ def high_risk_markers(scored: DataFrame, height, width, bounds=S.STUDY_AREA,
     scalar subqueries."""
     west, south, east, north = bounds
     # Only the columns the feed needs are ranked (and checkpointed).
-    hr = scored.where(class_at_least("risk_score", 4)).select(
+    hr = where_computed(scored, class_at_least("risk_score", 4)).select(
         "px_row", "px_col", "risk_score", "risk_category")
     s = systematic_sample(hr, ["px_row", "px_col"], target)
     out = s.select(
@@ -139,7 +139,7 @@ def high_risk_markers(scored: DataFrame, height, width, bounds=S.STUDY_AREA,
 
 def has_high_risk(scored: DataFrame, k: int = 4) -> bool:
     """Whether any pixel is in class >= k; stops at the first hit (limit 1)."""
-    return len(scored.where(class_at_least("risk_score", k)).limit(1).take(1)) > 0
+    return len(where_computed(scored, class_at_least("risk_score", k)).limit(1).take(1)) > 0
 
 
 def batch_assignment(tiles: DataFrame, tile: str = "tile_id", size: int = S.TILES_PER_BATCH) -> DataFrame:

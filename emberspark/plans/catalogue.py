@@ -423,7 +423,7 @@ def q_pixel_results(spark, d):
             "FROM gc WHERE risk_category >= 4")
 def q_high_risk_pixels(spark, d):
     g = grid_scored(spark, d)
-    return (g.where(SC.class_at_least("risk_score", 4)).withColumns(_lat_lon(g))
+    return (SC.where_computed(g, SC.class_at_least("risk_score", 4)).withColumns(_lat_lon(g))
              .select(*GRID_KEYS, "lat", "lon", "risk_score", "risk_category"))
 
 

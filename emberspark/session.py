@@ -20,6 +20,10 @@ SCALE_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT-compile methods above 8000 bytecodes; whole-stage
+    # codegen falls back to per-operator code for larger ones instead of
+    # running them interpreted (the value the Spark docs suggest for HotSpot).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
