@@ -82,15 +82,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
     (unit tests on one machine) do we fall back to a fresh temp folder.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no JVM context reachable (e.g. a remote session)
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc is not None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = tempfile.mkdtemp(prefix="emberspark-ckpt-")
-    sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+    if sc is not None:
+        sc.setCheckpointDir(named)
+        return sc.getCheckpointDir()
+    return named
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
