@@ -61,3 +61,33 @@ def scene_metadata(px: DataFrame, key: str = "tile_id", origin_lon=None, origin_
         c(pixel_w, 1.0).alias("a"), F.lit(0.0).alias("b"), c(origin_lon, 0.0).alias("c"),
         F.lit(0.0).alias("d"), (-c(pixel_h, 1.0)).alias("e"), c(origin_lat, 0.0).alias("f"),
         F.lit(crs).alias("crs"))
+
+
+def load_band_files(spark, band_paths: dict, keys=("px_row", "px_col"), reader: str = "npy") -> DataFrame:
+    """Multi-band scan from one file set per band (``{"B04": path, ...}``).
+
+    Each band is read as ``(keys..., value)`` rows and tagged with its label;
+    the union is aligned into the wide layout by a single pivot on the pixel
+    key (one shuffle for any number of bands, instead of one join per band).
+    ``reader`` is ``"npy"`` (array files) or ``"parquet"`` (tables with the
+    key columns and a ``value`` column).
+    """
+    from functools import reduce
+
+    from .arrays import read_npy
+    keys = list(keys)
+    parts = []
+    for label, path in band_paths.items():
+        if reader == "npy":
+            df = read_npy(spark, path, bands=("value",)).select(*keys, "value")
+        elif reader == "parquet":
+            df = spark.read.parquet(path).select(*keys, F.col("value").cast("double"))
+        else:
+            raise ValueError(f"unknown band reader {reader!r}")
+        parts.append(df.withColumn("band", F.lit(label.upper())))
+    long = reduce(lambda a, b: a.unionByName(b), parts)
+    labels = [lbl.upper() for lbl in band_paths]
+    wide = long.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("band") == F.lit(lbl), F.col("value"))).alias(S.BAND_NAMES.get(lbl, lbl.lower()))
+        for lbl in labels])
+    return wide

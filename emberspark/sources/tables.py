@@ -16,3 +16,22 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def read_jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None,
+                    lower: int | None = None, upper: int | None = None, partitions: int = 64,
+                    properties: dict | None = None) -> DataFrame:
+    """An assessment table held in a database, read in parallel.
+
+    With ``key``/``lower``/``upper`` the read is split into ``partitions``
+    range queries on the key (one per task); simple filters and column
+    selections of the plan are pushed into each query by Spark's JDBC
+    source. Needs the database's JDBC driver on the classpath.
+    """
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    for k, v in (properties or {}).items():
+        r = r.option(k, v)
+    if key is not None and lower is not None and upper is not None:
+        r = (r.option("partitionColumn", key).option("lowerBound", str(lower))
+              .option("upperBound", str(upper)).option("numPartitions", str(partitions)))
+    return r.load()

@@ -156,3 +156,32 @@ def test_assessment_record_and_save(spark, tmp_out):
     assert ids.count() == scored.select("tile_id").distinct().count() and bad.count() == 0
     back = spark.read.parquet(tmp_out + "/ra")
     assert back.where("risk_score < 0 or risk_score > 100").count() == 0
+
+
+def test_load_band_files_pivots_once(spark, tmp_out):
+    from emberspark.sources.bands import load_band_files
+    g = CAT.grid(spark, SF_SMALL)
+    paths = {}
+    for label, col in (("B04", "b04"), ("B08", "b08")):
+        paths[label] = f"{tmp_out}/{label}"
+        A.write_npy_chunks(g, paths[label], 32, [col]).count()
+    wide = load_band_files(spark, paths)
+    got = {(r.px_row, r.px_col): (r.b04, r.b08) for r in wide.collect()}
+    exp = {(r.px_row, r.px_col): (r.b04, r.b08) for r in g.collect()}
+    assert got == exp
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_cli_assess(tmp_out):
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from emberspark.session import build_session\n"
+            "from emberspark.plans.catalogue import pixels\n"
+            "s = build_session('local[2]'); pixels(s, %r).write.parquet(%r); s.stop()\n") % (root, SF_SMALL, tmp_out + "/px")
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=300)
+    subprocess.run([sys.executable, "-m", "emberspark", "assess", "--pixels", tmp_out + "/px", "--out", tmp_out + "/o",
+                    "--master", "local[2]"], check=True, capture_output=True, timeout=300, cwd=root)
+    assert os.path.isdir(tmp_out + "/o/area_statistics") and os.path.isdir(tmp_out + "/o/scored")
