@@ -595,7 +595,7 @@ def q_box_area(spark, d):
           + ", parsed AS (SELECT id, geom_wkt, list_transform(string_split_regex(regexp_extract(geom_wkt, "
             "'\\(\\(\\s*([^()]*?)\\s*\\)', 1), '\\s*,\\s*'), lambda p: {'x': CAST(string_split_regex(trim(p), '\\s+')[1] AS DOUBLE), "
             "'y': CAST(string_split_regex(trim(p), '\\s+')[2] AS DOUBLE)}) AS ring FROM assessments)\n"
-            "SELECT id, geom_wkt, len(ring) AS n_vertices, list_min(list_transform(ring, lambda p: p.x)) AS xmin, "
+            "SELECT id, geom_wkt, CAST(len(ring) AS INTEGER) AS n_vertices, list_min(list_transform(ring, lambda p: p.x)) AS xmin, "
             "list_min(list_transform(ring, lambda p: p.y)) AS ymin, list_max(list_transform(ring, lambda p: p.x)) AS xmax, "
             "list_max(list_transform(ring, lambda p: p.y)) AS ymax FROM parsed")
 def q_box_wkt_roundtrip(spark, d):
@@ -607,8 +607,8 @@ def q_box_wkt_roundtrip(spark, d):
 
 
 @register("metadata_json", W_O(O.ASSESSMENTS)
-          + f"SELECT id, json_object('method', '{S.ASSESSMENT_METHOD}', 'data_source', '{S.ASSESSMENT_SOURCE}', "
-            "'processing_date', strftime(CAST(assessment_date AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S')) AS metadata "
+          + f"SELECT id, CAST(json_object('method', '{S.ASSESSMENT_METHOD}', 'data_source', '{S.ASSESSMENT_SOURCE}', "
+            "'processing_date', strftime(CAST(assessment_date AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S')) AS VARCHAR) AS metadata "
             "FROM assessments")
 def q_metadata_json(spark, d):
     from ..sources.sinks import metadata_json

@@ -39,3 +39,22 @@ def test_entry(spark):
     rows = df.collect()
     assert {r.risk_category for r in rows} <= {1, 2, 3, 4, 5}
     assert abs(sum(r.pct_valid for r in rows) - 100.0) < 1e-3
+
+
+SPARK_TO_SQL = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "date": "DATE", "boolean": "BOOLEAN"}
+
+
+def _sql_type(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        return _sql_type(spark_type[6:-1]) + "[]"
+    return SPARK_TO_SQL.get(spark_type, spark_type)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_column_types_match_oracle(spark, con, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    rel = con.sql(SQL[name])
+    sql_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        assert _sql_type(f.dataType.simpleString()) == sql_types[f.name], (name, f.name)
