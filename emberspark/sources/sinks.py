@@ -97,13 +97,24 @@ def append_assessments(df: DataFrame, path: str, key_cols=("assessment_date", "g
     return out.select("id")
 
 
-def write_pixel_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_pixel_results(df: DataFrame, path: str, mode: str = "overwrite",
+                        num_files: int | None = None) -> None:
+    """Pixel results table, partitioned by scene (date, tile) when present.
+
+    Rows are range-partitioned on (date, tile, position) first, so each task
+    writes one contiguous slice into few partition folders -- without it,
+    every scan task would write a small file into every folder it touches.
+    """
     cols = [f.name for f in S.PIXEL_RESULT_SCHEMA.fields if f.name in df.columns]
     extra = [c for c in ("scene_date", "tile_id") if c in df.columns]
-    w = df.select(*cols, *extra).write.mode(mode)
+    order = [c for c in ("lat", "lon") if c in df.columns]
+    out = df.select(*cols, *extra)
     if extra:
-        w = w.partitionBy(*extra)
-    w.parquet(path)
+        n = num_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = out.repartitionByRange(n, *extra, *order).sortWithinPartitions(*extra, *order)
+        out.write.mode(mode).partitionBy(*extra).parquet(path)
+    else:
+        out.write.mode(mode).parquet(path)
 
 
 def write_series_json(series_arrays: DataFrame, path: str) -> None:
