@@ -51,7 +51,11 @@ def _chunk_origin(path: str) -> tuple[int, int]:
     return (int(m.group(1)), int(m.group(2))) if m else (0, 0)
 
 
-def _decode(bands, max_bytes):
+def npy_decoder(content: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(content), allow_pickle=False)
+
+
+def _decode(bands, max_bytes, decoder=npy_decoder):
     names = list(bands)
 
     def fn(batches):
@@ -62,7 +66,7 @@ def _decode(bands, max_bytes):
                 if len(content) > max_bytes:
                     raise ValueError(f"{path}: {len(content)} bytes exceeds the {max_bytes}-byte block cap; "
                                      "write the raster as chunks")
-                arr = np.load(io.BytesIO(content), allow_pickle=False)
+                arr = decoder(content)
                 if arr.ndim == 2:
                     arr = arr[:, :, None]
                 if arr.ndim != 3:
@@ -84,11 +88,16 @@ def _decode(bands, max_bytes):
 
 
 def read_npy(spark: SparkSession, path: str, bands=BAND_ORDER, glob: str = "*.npy",
-             max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Pixel rows from ``.npy`` files under ``path``; NaN planes become NULL."""
+             max_file_bytes: int = MAX_FILE_BYTES, decoder=npy_decoder) -> DataFrame:
+    """Pixel rows from array files under ``path``; NaN planes become NULL.
+
+    ``decoder`` turns a file's bytes into a ``(h, w)`` or ``(h, w, bands)``
+    array (default: ``.npy``); any raster codec available on the executors
+    plugs in here with the same distribution (one file per task).
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(path).select("path", "content"))
-    rows = files.mapInPandas(_decode(bands, max_file_bytes), npy_schema(bands))
+    rows = files.mapInPandas(_decode(bands, max_file_bytes, decoder), npy_schema(bands))
     return rows.withColumns({b: F.when(~F.isnan(b), F.col(b)) for b in bands})
 
 

@@ -185,3 +185,19 @@ def test_cli_assess(tmp_out):
     subprocess.run([sys.executable, "-m", "emberspark", "assess", "--pixels", tmp_out + "/px", "--out", tmp_out + "/o",
                     "--master", "local[2]"], check=True, capture_output=True, timeout=300, cwd=root)
     assert os.path.isdir(tmp_out + "/o/area_statistics") and os.path.isdir(tmp_out + "/o/scored")
+
+
+def test_pluggable_decoder(spark, tmp_out):
+    # a trivial raw format: 8-byte header (h, w as int32) + float64 plane
+    import struct
+    arr = np.arange(6, dtype=np.float64).reshape(2, 3)
+    with open(os.path.join(tmp_out, "plane.raw"), "wb") as fh:
+        fh.write(struct.pack("<ii", 2, 3) + arr.tobytes())
+
+    def decode(content):
+        h, w = struct.unpack("<ii", content[:8])
+        return np.frombuffer(content[8:], dtype=np.float64).reshape(h, w)
+
+    df = A.read_npy(spark, tmp_out, bands=("value",), glob="*.raw", decoder=decode)
+    assert sorted((r.px_row, r.px_col, r.value) for r in df.collect()) == [
+        (r, c, float(arr[r, c])) for r in range(2) for c in range(3)]
