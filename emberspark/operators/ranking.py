@@ -64,8 +64,9 @@ def global_row_number(df: DataFrame, order: list[str], out: str = "row_idx",
 
 
 def systematic_sample(df: DataFrame, order: list[str], target: int = S.MARKER_TARGET,
-                      out: str = "sample_rank") -> DataFrame:
-    """Every ``step``-th row in ``order`` with ``step = max(1, n // target)``.
+                      out: str = "sample_rank", by: list[str] | None = None) -> DataFrame:
+    """Every ``step``-th row in ``order`` with ``step = max(1, n // target)``
+    (per group of ``by`` columns, e.g. per scene of an archive).
 
     This yields ``ceil(n / step)`` rows -- up to ``2 * target - 1`` (39 at
     n = 39), exactly as the published marker rule does; it is a sampling
@@ -79,34 +80,38 @@ def systematic_sample(df: DataFrame, order: list[str], target: int = S.MARKER_TA
     2. bucket offsets -- a running sum over that per-bucket table (its size is
        the number of buckets, e.g. the raster height, not the pixel count);
     3. the wanted global positions ``k * step`` fall into at most
-       ``2 * target`` buckets: those (bucket, position-in-bucket, k) triples
-       form a table of bounded size, broadcast to fetch the candidate rows;
+       ``2 * target`` buckets per group: those (bucket, position-in-bucket,
+       k) triples form a small table, broadcast to fetch the candidate rows;
     4. a window ranks rows only inside those buckets.
 
     No full sort, no single-partition window over the rows, nothing
     materialised; every step is deterministic, so a lost executor recomputes
     the same answer.
     """
+    by = list(by or [])
     bucket, within = order[0], list(order[1:])
-    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy(bucket)
+    keys = [*by, bucket]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*by).orderBy(bucket)
     offs = counts.select(
-        bucket, "_cnt",
+        *keys, "_cnt",
         F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy()).alias("_n"))
+        F.sum("_cnt").over(Window.partitionBy(*by)).alias("_n"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(target)))
     # k values whose position k*step lies in [off, off + cnt)
     k_lo = F.ceil(F.col("_off") / step)
     k_hi = F.floor((F.col("_off") + F.col("_cnt") - 1) / step)
     targets = (offs.where(k_lo <= k_hi)
-                   .select(bucket, step.alias("_step"), "_off",
+                   .select(*keys, step.alias("_step"), "_off",
                            F.explode(F.sequence(k_lo, k_hi)).alias(out))
-                   .select(bucket, out, (F.col(out) * F.col("_step") - F.col("_off")).alias("_pos")))
-    # At most 2 * target rows: safe to broadcast.
-    cand = df.join(F.broadcast(targets.select(bucket)), bucket, "left_semi")
+                   .select(*keys, out, (F.col(out) * F.col("_step") - F.col("_off")).alias("_pos")))
+    # At most 2 * target rows per group; without groups this is a fixed bound
+    # and broadcast explicitly, with groups AQE decides by its runtime size.
+    tb = targets if by else F.broadcast(targets)
+    cand = df.join(tb.select(*keys), keys, "left_semi")
     ranked = cand.withColumn("_pos", F.row_number().over(
-        Window.partitionBy(bucket).orderBy(*within)) - 1) if within else cand.withColumn("_pos", F.lit(0))
-    return ranked.join(F.broadcast(targets), [bucket, "_pos"]).drop("_pos")
+        Window.partitionBy(*keys).orderBy(*within)) - 1) if within else cand.withColumn("_pos", F.lit(0))
+    return ranked.join(tb, [*keys, "_pos"]).drop("_pos")
 
 
 def popup_text(score, name, lat, lon) -> "F.Column":

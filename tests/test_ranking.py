@@ -31,3 +31,16 @@ def test_batch_assignment(spark):
     tiles = spark.range(0, 10).select((F.col("id") * 3).alias("tile_id"))
     got = {r.tile_id: (r.tile_ordinal, r.batch_id) for r in R.batch_assignment(tiles, size=4).collect()}
     assert got[0] == (0, 0) and got[9] == (3, 0) and got[12] == (4, 1) and got[27] == (9, 2)
+
+
+def test_sample_per_group_equals_separate_samples(spark):
+    df = spark.range(0, 3000).select(
+        (F.col("id") % 3).alias("scene"), F.floor(F.col("id") / 30).alias("px_row"), (F.col("id") % 10).alias("px_col"))
+    sizes = {0: 39, 1: 40, 2: 1000}
+    parts = [df.where((F.col("scene") == s) & (F.col("px_row") * 10 + F.col("px_col") < n)) for s, n in sizes.items()]
+    from functools import reduce
+    data = reduce(lambda a, b: a.unionByName(b), parts)
+    got = R.systematic_sample(data, ["px_row", "px_col"], by=["scene"])
+    per = {r.scene: r.n for r in got.groupBy("scene").agg(F.count("*").alias("n")).collect()}
+    for s, p in zip(sizes, parts):
+        assert per[s] == R.systematic_sample(p, ["px_row", "px_col"]).count()
