@@ -1,7 +1,7 @@
 """Benchmark the headline queries; prints ONE JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2: best of N runs per query).
+BENCH_REPEAT (default 3: best of N runs per query).
 
 Each query runs to completion through Spark's ``noop`` sink (the whole plan
 executes, nothing is shipped to the driver), after one untimed warm-up query.
@@ -82,7 +82,7 @@ def run_df(df):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     spark = build_session(f"local[{cpus}]", app="emberspark-bench", shuffle_partitions=cpus * 2,
                           extra={"spark.driver.memory": "16g"})
     run(spark, "indices_all", sf_dir)  # warm-up (JIT, file listing)
