@@ -8,8 +8,11 @@ executes, nothing is shipped to the driver), after one untimed warm-up query.
 ``value`` is the sum of the per-query best times (steady state: code already
 generated and compiled); ``first_run_total`` is the same sum for the first,
 cold run of each query. ``mpx_per_s`` is the pixel throughput of the
-large-raster (fast model) path, comparable with the reference's
-megapixels-per-second figure.
+large-raster (fast model) path at sf0.1 (a single scan task: each driver
+table is one Parquet row group); ``scaleup`` repeats the per-pixel paths over
+16 parallel scans, where ``risk_map_mpx_per_s`` (keys + fast score, what the
+risk-map sink writes) is the figure comparable with the reference's
+megapixels-per-second claim.
 """
 
 from __future__ import annotations
@@ -64,10 +67,11 @@ def scaleup(spark, sf_dir, copies: int):
 
     n = px().count()
     out = {"copies": copies, "pixels": n}
-    for name, build in (("risk_fast", lambda: E.large_raster(px())),
+    risk_map = ["tile_id", "px_row", "px_col", "scene_date", "risk_score"]
+    for name, build in (("risk_map", lambda: E.large_raster(px()).select(*risk_map)),
                         ("full_assessment", lambda: E.full_assessment(px()).record),
                         ("area_statistics", lambda: E.full_assessment(px()).area_statistics)):
-        best = min(run_df(build()) for _ in range(2))
+        best = min(run_df(build()) for _ in range(3))
         out[name + "_sec"] = round(best, 3)
         out[name + "_mpx_per_s"] = round(n / best / 1e6, 3)
     return out
