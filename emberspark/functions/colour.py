@@ -49,3 +49,13 @@ def ramp_rgb(bucket, steps: int = 256) -> dict[str, Column]:
         "g": F.lit(230) - F.floor(F.lit(210) * b / F.lit(last)).cast("int"),
         "b": F.floor(F.lit(60) * (F.lit(last) - b) / F.lit(last)).cast("int"),
     }
+
+
+def apply_palette(df, bucket: str, palette, prefix: str = ""):
+    """Colour ``bucket`` with a palette supplied as data (``bucket, r, g, b``
+    rows, e.g. ``schema.palette_dim`` or any colour map exported to a table).
+    The palette has a fixed number of steps, so broadcasting it is safe; NULL
+    buckets (no data) get alpha 0."""
+    pal = palette.select(F.col("bucket").alias(bucket), *[F.col(c).alias(prefix + c) for c in ("r", "g", "b")])
+    out = df.join(F.broadcast(pal), bucket, "left")
+    return out.withColumn(prefix + "a", F.when(F.col(bucket).isNull(), F.lit(0)).otherwise(F.lit(255)))

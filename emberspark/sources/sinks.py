@@ -30,6 +30,16 @@ def metadata_json(processing_ts: Column | None = None, extra: dict | None = None
     return F.when(F.size(m) > 0, F.to_json(m))
 
 
+# Column descriptions written with index tables (the band description of a raster).
+INDEX_DESCRIPTIONS = {
+    "ndvi": "NDVI (B08 - B04) / (B08 + B04), clipped to [-1, 1]",
+    "ndmi": "NDMI (B08 - B11) / (B08 + B11), clipped to [-1, 1]",
+    "nbr": "NBR (B08 - B12) / (B08 + B12), clipped to [-1, 1]",
+    "risk_score": "risk score 0-100",
+    "risk_category": "risk class 1-5, 0 = no data",
+}
+
+
 def write_index_table(df: DataFrame, path: str, index_cols: list[str],
                       keys=("tile_id", "px_row", "px_col"), partition_by=("scene_date",),
                       mode: str = "overwrite", num_files: int | None = None) -> None:
@@ -42,7 +52,8 @@ def write_index_table(df: DataFrame, path: str, index_cols: list[str],
     if missing:
         raise ValueError(f"no scene metadata available: missing {missing}")
     keys = [k for k in keys if k in df.columns]
-    cols = [*partition_by, *keys, *index_cols]
+    described = [F.col(c).alias(c, metadata={"comment": INDEX_DESCRIPTIONS.get(c, c)}) for c in index_cols]
+    cols = [*partition_by, *keys, *described]
     n = num_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Range-partition on the composite key: a date holding a third of all
     # pixels is split over many tasks (hash-partitioning on the date alone

@@ -201,3 +201,21 @@ def test_pluggable_decoder(spark, tmp_out):
     df = A.read_npy(spark, tmp_out, bands=("value",), glob="*.raw", decoder=decode)
     assert sorted((r.px_row, r.px_col, r.value) for r in df.collect()) == [
         (r, c, float(arr[r, c])) for r in range(2) for c in range(3)]
+
+
+def test_index_table_has_descriptions(spark, tmp_out):
+    scored = CAT.masked_scored(spark, SF_SMALL)
+    K.write_index_table(scored, tmp_out + "/idx", ["ndvi", "risk_score"])
+    meta = {f.name: f.metadata for f in spark.read.parquet(tmp_out + "/idx").schema.fields}
+    assert meta["ndvi"]["comment"].startswith("NDVI")
+
+
+def test_palette_as_data_equals_rule(spark):
+    from emberspark import schema as S
+    from emberspark.functions import colour as C
+    g = CAT.grid_scored(spark, SF_SMALL).withColumn("bucket", C.palette_bucket("risk_score", 0, 100))
+    joined = C.apply_palette(g, "bucket", S.palette_dim(spark)).select("px_row", "px_col", "r", "g", "b", "a")
+    rule = C.ramp_rgb("bucket")
+    direct = g.select("px_row", "px_col", rule["r"].alias("r"), rule["g"].alias("g"), rule["b"].alias("b"),
+                      F.when(F.col("bucket").isNull(), 0).otherwise(255).alias("a"))
+    assert sorted(joined.collect()) == sorted(direct.collect())
