@@ -94,11 +94,31 @@ def create_tables(spark: SparkSession, location: str) -> None:
                   f"LOCATION '{location.rstrip('/')}/{name}'")
 
 
-def append_assessments(df: DataFrame, path: str, key_cols=("assessment_date", "geom_wkt")) -> DataFrame:
-    """Append assessment records, ids from the natural key; returns the ids."""
+def append_assessments(df: DataFrame, path: str, key_cols=("assessment_date", "geom_wkt"),
+                       skip_existing: bool = True) -> DataFrame:
+    """Append assessment records, ids from the natural key; returns the ids.
+
+    With ``skip_existing`` (default) records whose id is already stored are
+    not written again, so re-running a job (after a failure, or twice by
+    mistake) leaves the table unchanged: the anti-join reads only the stored
+    ``id`` column.
+    """
     out = df
     if "id" not in out.columns:
         out = out.withColumn("id", assessment_ids(list(key_cols)))
+    if skip_existing:
+        try:
+            stored = df.sparkSession.read.parquet(path).select("id")
+        except Exception:  # no table yet
+            stored = None
+        if stored is not None:
+            out = out.join(stored, "id", "left_anti")
+            # Pin the rows to write (reliable checkpoint in the shared folder):
+            # the returned ids must not be re-derived against the table after
+            # this write has changed it.
+            from ..session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(df.sparkSession)
+            out = out.checkpoint(eager=True)
     now = F.current_timestamp()
     for c in ("created_at", "updated_at"):
         if c not in out.columns:

@@ -86,11 +86,19 @@ def test_index_table_and_risk_map_sinks(spark, tmp_out):
 
 def test_assessment_append_ids_are_idempotent(spark, tmp_out):
     from emberspark.sources import fixtures as FX
-    a = FX.assessments(spark, SF_SMALL).drop("id").limit(5)
+    a = FX.assessments(spark, SF_SMALL).drop("id").orderBy("assessment_date", "geom_wkt").limit(5)
     ids1 = sorted(r.id for r in K.append_assessments(a, tmp_out + "/ra").collect())
-    ids2 = sorted(r.id for r in K.append_assessments(a, tmp_out + "/ra").collect())
-    assert ids1 == ids2
-    assert spark.read.parquet(tmp_out + "/ra").count() == 10
+    assert len(ids1) == 5
+    again = K.append_assessments(a, tmp_out + "/ra")          # a re-run writes nothing new
+    assert again.count() == 0
+    assert sorted(r.id for r in spark.read.parquet(tmp_out + "/ra").collect()) == ids1
+    b = FX.assessments(spark, SF_SMALL).drop("id").orderBy("assessment_date", "geom_wkt").limit(8)
+    new_ids = K.append_assessments(b, tmp_out + "/ra").collect()     # overlaps partly with a
+    stored = {r.id for r in spark.read.parquet(tmp_out + "/ra").select("id").collect()}
+    assert {r.id for r in new_ids}.isdisjoint(ids1) and {r.id for r in new_ids} <= stored
+    assert len(stored) == len(set(ids1) | {r.id for r in new_ids})
+    K.append_assessments(a, tmp_out + "/ra", skip_existing=False)
+    assert spark.read.parquet(tmp_out + "/ra").count() == len(stored) + 5
 
 
 def test_metadata_json_null_when_empty(spark):
