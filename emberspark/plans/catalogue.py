@@ -667,7 +667,11 @@ def q_npy_scan(spark, d):
     return rows.select("px_row", "px_col", "risk_score")
 
 
-@register("tile_catalogue")
+@register("tile_catalogue", W_O(O.GRID)
+          + f"SELECT 'chunk_r' || CAST(cy * {NPY_CHUNK} AS VARCHAR) || '_c' || CAST(cx * {NPY_CHUNK} AS VARCHAR) "
+            f"AS tile_name, CAST(128 + (max(px_row) - cy * {NPY_CHUNK} + 1) * (max(px_col) - cx * {NPY_CHUNK} + 1) * 8 "
+            f"AS BIGINT) AS bytes FROM (SELECT *, CAST(floor(px_row / {NPY_CHUNK}) AS BIGINT) AS cy, "
+            f"CAST(floor(px_col / {NPY_CHUNK}) AS BIGINT) AS cx FROM grid) g GROUP BY cy, cx")
 def q_tile_catalogue(spark, d):
     """Tile files of the written risk map, listed without reading their bodies."""
     from ..sources.arrays import tile_catalogue
@@ -704,7 +708,13 @@ def q_quick_ndvi(spark, d):
     return quick_ndvi(red, nir).select("px_row", "px_col", "ndvi")
 
 
-@register("marker_popups")
+@register("marker_popups", W_O(*O.GRID_SCORED)
+          + ", hr AS (SELECT *, row_number() OVER (ORDER BY px_row, px_col) - 1 AS idx, count(*) OVER () AS n "
+            "FROM gc WHERE risk_category >= 4)\n"
+            f"SELECT idx // greatest(1, n // {S.MARKER_TARGET}) AS sample_rank, "
+            "printf('High Risk Area | Risk Score: %.1f | Category: %s | Location: %.4f, %.4f', risk_score, "
+            f"{O.cname('risk_category')}, {LAT_SQL}, {LON_SQL}) AS popup FROM hr "
+            f"WHERE idx % greatest(1, n // {S.MARKER_TARGET}) = 0")
 def q_marker_popups(spark, d):
     """Marker feed with popup text (numbers formatted with one/four decimals)."""
     g = grid_scored(spark, d)
