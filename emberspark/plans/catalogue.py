@@ -694,18 +694,17 @@ def q_log_scan(spark, d):
 
 @register("quick_ndvi", W_O(O.GRID) + f"SELECT CAST(px_row AS BIGINT) AS px_row, px_col, {O.cindex('b08', 'b04')} AS ndvi FROM grid")
 def q_quick_ndvi(spark, d):
-    """Red and NIR written as separate array files, read back and aligned by
-    pixel key before the index (P-05 / J-05)."""
-    from ..sources.arrays import read_npy, scratch_dir, write_npy_chunks
-    from .assessment import quick_ndvi
+    """Red and NIR written as separate array files, read back by band name and
+    aligned on the pixel key by one aggregate (no join) before the index
+    (P-05 / S-01 / J-05)."""
+    from ..sources.arrays import scratch_dir, write_npy_chunks
+    from ..sources.bands import load_band_files
     g = grid(spark, d)
     paths = {}
-    for band in ("b04", "b08"):
-        paths[band] = scratch_dir(spark, f"band-{band}")
-        write_npy_chunks(g, paths[band], NPY_CHUNK, [band]).count()
-    red = read_npy(spark, paths["b04"], bands=("b04",))
-    nir = read_npy(spark, paths["b08"], bands=("b08",))
-    return quick_ndvi(red, nir).select("px_row", "px_col", "ndvi")
+    for label, band in (("B04", "b04"), ("B08", "b08")):
+        paths[label] = scratch_dir(spark, f"band-{band}")
+        write_npy_chunks(g, paths[label], NPY_CHUNK, [band]).count()
+    return I.add_ndvi(load_band_files(spark, paths)).select("px_row", "px_col", "ndvi")
 
 
 @register("marker_popups", W_O(*O.GRID_SCORED)
