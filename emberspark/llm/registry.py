@@ -1,8 +1,9 @@
 """The queries of this package and their SQL twins."""
 
-from emberspark.llm import decontam, sharding
+from emberspark.llm import decontam, packing, quality, secrets, sharding, toxicity
 
-MODULES = {"op10_decontaminate": decontam, "op8_shard": sharding}
+MODULES = {"op2_quality": quality, "op3_pack": packing, "op5_secrets": secrets, "op9_toxicity": toxicity,
+           "op10_decontaminate": decontam, "op8_shard": sharding}
 
 QUERIES = {name: getattr(module, name) for name, module in MODULES.items()}
 ORACLE = {name: sql for module in MODULES.values() for name, sql in module.SQL.items() if sql}
