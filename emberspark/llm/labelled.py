@@ -9,8 +9,8 @@ from emberspark.llm.common import held_out, utf8
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fold: int = 5,
-                    doc_id: str = "doc_id", text: str = "text") -> tuple[list[bytes], list[int], list[float]]:
-    """Texts, labels and row weights of at most ``per_class`` documents of each label.
+                    doc_id: str = "doc_id", text: str = "text", longest: int = 1 << 18) -> tuple[list[bytes], list[int], list[float]]:
+    """Texts, labels and row weights of at most ``per_class`` documents of each label, of at most ``longest`` bytes.
 
     Rows whose id falls in the held-out fold are never read.  The documents taken are
     those with the smallest hash of their id, so the choice is uniform and the same on
@@ -27,9 +27,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class)
         taken = part if taken is None else taken.unionAll(part)
-    rows = (docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text")).join(F.broadcast(taken), "doc_id")
+    rows = (docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text"))
+            .where(F.length("text") <= longest).join(F.broadcast(taken), "doc_id")
             .groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect())
-    rows.sort(key=lambda r: (hash((r.doc_id * 2654435761) % (1 << 32)), r.doc_id))
+    rows.sort(key=lambda r: r.doc_id)
     got = {y: max(1, sum(r.y == y for r in rows)) for y in (0, 1)}
     total = max(1, sum(counts.values()))
     weights = [counts[r.y] / total * len(rows) / got[r.y] for r in rows]

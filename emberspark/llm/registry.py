@@ -1,9 +1,9 @@
 """The queries of this package and their SQL twins."""
 
-from emberspark.llm import decontam, packing, quality, secrets, sharding, toxicity
+from emberspark.llm import decontam, lmscore, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
 
-MODULES = {"op2_quality": quality, "op3_pack": packing, "op5_secrets": secrets, "op9_toxicity": toxicity,
-           "op10_decontaminate": decontam, "op8_shard": sharding}
+MODULES = {"op1_lm": lmscore, "op2_quality": quality, "op3_pack": packing, "op4_neardup": neardup, "op5_secrets": secrets,
+           "op6_warc": warc, "op7_topk": topk, "op8_shard": sharding, "op9_toxicity": toxicity, "op10_decontaminate": decontam}
 
 QUERIES = {name: getattr(module, name) for name, module in MODULES.items()}
 ORACLE = {name: sql for module in MODULES.values() for name, sql in module.SQL.items() if sql}
