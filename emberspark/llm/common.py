@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,23 @@ def utf8(col: str):
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
+#: The column that carries a text's bytes into a task.
+TEXT = "__text"
+
+
+def with_bytes(docs: DataFrame, text: str, keep: list[str] | None, added: list[str]) -> tuple[DataFrame, str]:
+    """The columns ``keep`` (or all) but the added ones, with the text's bytes in ``TEXT``; and the former as a schema."""
+    own = [c for c in (docs.columns if keep is None else keep) if c not in (*added, TEXT)]
+    frame = docs.select(*[F.col(f"`{c}`") for c in own], utf8(text).alias(TEXT))
+    return frame, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
+
+
+def add_columns(batch: pa.RecordBatch, values: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """A batch of :func:`with_bytes` without ``TEXT``, and with the given columns."""
+    own = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != TEXT]
+    return pa.RecordBatch.from_arrays([*(c for _, c in own), *values], names=[*(n for n, _ in own), *names])
+
+
 def crc32_text(col: str):
     """Unsigned CRC-32 of a column's value written as text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

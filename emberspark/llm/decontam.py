@@ -10,8 +10,8 @@ bounded whatever the size of the test set.  Normally there is one slice.
 
 Defined cases: a null or empty text has no words and no hit; an item without
 words has no window; repeated items each count; several documents with one id
-give one row each; an empty table on either side gives no hits; other columns
-of either table are ignored.
+give one row each; an empty table on either side gives no hits; other columns of
+documents are kept, those named like the added ones replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import table, utf8
+from emberspark.llm.common import TEXT, add_columns, table, utf8, with_bytes
 
 WINDOW = 10
 SLICE_BYTES = 32 << 20
@@ -92,16 +92,16 @@ def _slices(benchmark: DataFrame, item_id: str, text: str, n: int, slice_bytes:
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """``doc_id, n_words, n_hit, item_ids, spans`` for each document.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", item_id: str = "item_id",
+                  item_text: str = "text", keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``docs`` (the columns ``keep``, or all) with ``n_words, n_hit, item_ids, spans``.
 
     ``item_ids`` are the items with an occurring window (as text, sorted),
     ``spans`` the code-point ranges of the original text that are hit.
     """
     spark = docs.sparkSession
-    out_type = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
-    frame = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text"))
+    added = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
+    frame, kept = with_bytes(docs, text, keep, ["n_words", "n_hit", "item_ids", "spans"])
     autos = []
     for part in _slices(benchmark, item_id, item_text, n, slice_bytes):
         patterns: dict[bytes, list] = {}
@@ -114,7 +114,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc_id
         # automata are built one slice at a time; a batch is scanned against each
         one = build_automaton(autos[0].value) if len(autos) == 1 else None
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = b.column(TEXT).to_pylist()
             words = [t.translate(NORMAL).split() for t in texts]
             hits = [np.zeros(len(w), bool) for w in words]
             items: list[set] = [set() for _ in words]
@@ -124,23 +124,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc_id
                     h, s = scan(w, auto)
                     hits[i] |= h
                     items[i] |= s
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(w) for w in words], pa.int64()),
+            yield add_columns(
+                b, [pa.array([len(w) for w in words], pa.int64()),
                  pa.array([int(h.sum()) for h in hits], pa.int64()),
                  pa.array([sorted(s) for s in items], pa.list_(pa.string())),
                  pa.array([[{"start": x, "end": y} for x, y in hit_spans(t, h)] if h.any() else []
                            for t, h in zip(texts, hits)],
                           pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+                ["n_words", "n_hit", "item_ids", "spans"])
 
-    id_type = frame.schema["doc_id"].dataType.simpleString()
-    return frame.mapInArrow(run, f"doc_id {id_type}, {out_type}")
+    return frame.mapInArrow(run, f"{kept}{added}")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document against every benchmark item."""
     found = decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"),
-                          table(spark, sf_dir, "benchmark", "item_id", "text"))
+                          table(spark, sf_dir, "benchmark", "item_id", "text"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))

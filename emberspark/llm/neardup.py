@@ -300,6 +300,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, doc_id:
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
+    """One row of each near-duplicate class: of the smallest id, and of its rows the least."""
+    found = cut(near_duplicates(docs, k, percent).select("doc_id", "kept"))
+    gone = found.where("not kept").select("doc_id").distinct()
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.limit(1).count():
+        return left
+    again = cut(again)
+    rest = [F.col(c) for c in docs.columns if c != "doc_id"]
+    least = left.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("x")).select("doc_id", "x.*")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(least.select(*docs.columns))
+
+
 def _low_bytes(col: str):
     """Every fourth byte of a binary column: the low bytes of its 32-bit numbers."""
     hexed = F.hex(F.col(col))

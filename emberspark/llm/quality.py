@@ -11,7 +11,8 @@ documents of each label outside the held-out fold.  The model has a fixed size.
 
 Defined cases: a null or empty text is one chunk of padding and gets that score;
 without labelled rows every score is 0.5; a text of any length is read in slices of
-bounded memory; repeated rows are scored alike; other columns are ignored.
+bounded memory; repeated rows are scored alike; other columns are
+kept, one named like the added one replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import held_out, table, utf8
+from emberspark.llm.common import TEXT, add_columns, held_out, table, with_bytes
 from emberspark.llm.labelled import labelled_sample
 
 PER_CLASS = 2000
@@ -51,13 +52,12 @@ def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, blocks, n
 
 
-def convolve(model: dict, flat: np.ndarray, blocks: np.ndarray, lo: int, hi: int, last: np.ndarray) -> np.ndarray:
+def convolve(model: dict, flat: np.ndarray, lo: int, hi: int, last: np.ndarray) -> np.ndarray:
     """Responses of the filters in blocks lo to hi: (blocks, positions, filters).
 
     ``last`` marks the last block of a text: its windows do not reach into the next text.
     """
     view = flat[lo * BLOCK:hi * BLOCK].reshape(hi - lo, BLOCK)
-    ahead = flat[BLOCK * (lo + 1):][:0]
     ahead = np.full((hi - lo, WIDTH), PAD, np.int16)
     inner = np.flatnonzero(~last[lo:hi])
     ahead[inner] = flat[((inner + lo + 1) * BLOCK)[:, None] + np.arange(WIDTH)]
@@ -78,7 +78,7 @@ def pool(model: dict, flat: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray,
     where = np.empty((total, FILTERS), np.int16)
     for lo in range(0, total, SLICE_BLOCKS):
         hi = min(total, lo + SLICE_BLOCKS)
-        out = convolve(model, flat, blocks, lo, hi, last)
+        out = convolve(model, flat, lo, hi, last)
         best[lo:hi] = out.max(axis=1)
         where[lo:hi] = out.argmax(axis=1) if model.get("fit") else 0
     return best, where
@@ -179,27 +179,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return fit(*labelled_sample(docs, labels, label, per_class))
 
 
-def score_quality(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score``, the probability of label 1."""
+def score_quality(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (the columns ``keep``, or all) with ``quality_score``, the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.drop("quality_score", "__text").withColumn("__text", utf8(text))
+    frame, kept = with_bytes(docs, text, keep, ["quality_score"])
 
     def run(batches):
         for b in batches:
-            scores = score_texts(b.column("__text").to_pylist(), shared.value)
-            kept = b.select([c for c in b.schema.names if c != "__text"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())],
-                                             names=[*kept.schema.names, "quality_score"])
+            scores = score_texts(b.column(TEXT).to_pylist(), shared.value)
+            yield add_columns(b, [pa.array(scores, pa.float64())], ["quality_score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "__text")
-    return frame.mapInArrow(run, f"{kept}, quality_score double")
+    return frame.mapInArrow(run, f"{kept}quality_score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return score_quality(docs, model).select(
+    return score_quality(docs, model, keep=["doc_id"]).select(
         "doc_id", held_out("doc_id", 5).alias("held_out"), F.col("quality_score").alias("score"),
         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 

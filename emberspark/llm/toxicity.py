@@ -13,7 +13,8 @@ scoring reads every sentence of every text.
 
 Defined cases: a null or empty text has one empty sentence, so its score is that of
 the bias alone; without labelled rows every score is 0.0; without rows of one label
-the model learns the other; repeated rows are scored alike; other columns are ignored.
+the model learns the other; repeated rows are scored alike; other columns are kept,
+those named like the added ones replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import held_out, table, utf8
+from emberspark.llm.common import TEXT, add_columns, held_out, table, with_bytes
 from emberspark.llm.labelled import labelled_sample
 
 PER_CLASS = 4000
@@ -152,35 +153,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     return fit(*labelled_sample(docs, labels, label, per_class))
 
 
-def score_toxicity(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text",
-                   least: float = 0.5) -> DataFrame:
-    """``docs`` with ``toxic_score`` and ``offending`` (the sentences scoring at least ``least``)."""
+def score_toxicity(docs: DataFrame, model: dict, text: str = "text", least: float = 0.5,
+                   keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (the columns ``keep``, or all) with ``toxic_score`` and ``offending`` (the sentences scoring ``least`` or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.drop("toxic_score", "offending", "__text").withColumn("__text", utf8(text))
+    frame, kept = with_bytes(docs, text, keep, ["toxic_score", "offending"])
 
     def run(batches):
         model, memo = shared.value, {}
         for b in batches:
-            texts = b.column("__text").to_pylist()
+            texts = b.column(TEXT).to_pylist()
             scores, parts = score_texts(texts, model, memo)
-            kept = b.select([c for c in b.schema.names if c != "__text"])
             found = pa.array([locate(t, p, least) for t, p in zip(texts, parts)],
                              pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores), found],
-                                             names=[*kept.schema.names, "toxic_score", "offending"])
+            yield add_columns(b, [pa.array(scores, pa.float64()), found], ["toxic_score", "offending"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "__text")
-    return frame.mapInArrow(run, f"{kept}, toxic_score double, offending array<struct<start:long,end:long,score:double>>")
+    return frame.mapInArrow(run, f"{kept}toxic_score double, offending array<struct<start:long,end:long,score:double>>")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, and its offending sentences."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    slim = docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), utf8("text").alias("__text"))
-    return score_toxicity(slim.withColumn("text", F.col("__text")), model).select(
-        "doc_id", "held_out", F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
-        "offending")
+    return score_toxicity(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out("doc_id", 5).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
 SQL: dict[str, str] = {}
