@@ -193,7 +193,8 @@ def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Da
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     found = scan(table(spark, sf_dir, "documents", "doc_id", "text"))
-    count = [F.size(F.filter("base_spans", lambda x, k=k: x["ord"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    ords = F.transform("base_spans", lambda x: x["ord"])
+    count = [(F.size(ords) - F.size(F.array_remove(ords, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *count, F.sha2(as_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
                         as_text(F.col("secret_spans")).alias("spans"))
 
