@@ -28,24 +28,38 @@ from emberspark.llm import toxicity as tox
 from emberspark.llm.common import scratch, table
 
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+EXTRA = "other columns"
+
+
+def _core(docs: DataFrame) -> DataFrame:
+    """The columns of documents, and any others in one, out of the operators' way."""
+    extra = [F.col(f"`{c}`") for c in docs.columns if c not in CORE]
+    return docs.select(*CORE, F.struct(*extra).alias(EXTRA)) if extra else docs
+
+
+def _back(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    return kept.select(*[F.col(c) if c in CORE else F.col(f"`{EXTRA}`").getField(c).alias(c) for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = tox.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return tox.score_toxicity(docs, model).where("toxic_score < 0.5").select(*docs.columns)
+    return _back(tox.score_toxicity(_core(docs), model).where("toxic_score < 0.5"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return _back(neardup.keep_one(_core(docs)), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = decontam.decontaminate(_core(docs), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return _back(found.where("n_hit = 0"), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redact(secrets.scan(docs))
+    clean = secrets.redact(secrets.scan(_core(docs)))
     size = F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", size).select(*docs.columns)
+    return _back(clean.withColumn("n_chars", size), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberspark.session import ensure_checkpoint_dir
 
@@ -25,14 +26,15 @@ def utf8(col: str):
 
 
 #: The column that carries a text's bytes into a task.
-TEXT = "__text"
+TEXT = "__text of this task"
 
 
-def with_bytes(docs: DataFrame, text: str, keep: list[str] | None, added: list[str]) -> tuple[DataFrame, str]:
-    """The columns ``keep`` (or all) but the added ones, with the text's bytes in ``TEXT``; and the former as a schema."""
-    own = [c for c in (docs.columns if keep is None else keep) if c not in (*added, TEXT)]
+def with_bytes(docs: DataFrame, text: str, keep: list[str] | None, added: str) -> tuple[DataFrame, T.StructType]:
+    """The columns ``keep`` (or all) but the added ones, with the text's bytes in ``TEXT``; and the schema of the result."""
+    more = T.StructType.fromDDL(added)
+    own = [c for c in (docs.columns if keep is None else keep) if c not in (*more.names, TEXT)]
     frame = docs.select(*[F.col(f"`{c}`") for c in own], utf8(text).alias(TEXT))
-    return frame, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
+    return frame, T.StructType([*frame.schema.fields[:-1], *more.fields])
 
 
 def add_columns(batch: pa.RecordBatch, values: list[pa.Array], names: list[str]) -> pa.RecordBatch:
@@ -52,11 +54,28 @@ def held_out(col: str, modulus: int):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    """Write ``df`` as a table below the shared checkpoint folder and go on from there; it is computed once."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint whose rows keep their partitions in every later job."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows that agree in ``keys`` in one partition, side by side, ordered by ``order`` within.
+
+    The partitioning is by a hash of the keys: a plain repartition by columns on which the
+    rows are joined already would be dropped as needless, and the join may then spread a
+    key's rows again at run time.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *(order or []))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's written tables below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -101,7 +101,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text:
     """
     spark = docs.sparkSession
     added = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
-    frame, kept = with_bytes(docs, text, keep, ["n_words", "n_hit", "item_ids", "spans"])
+    frame, schema = with_bytes(docs, text, keep, added)
     autos = []
     for part in _slices(benchmark, item_id, item_text, n, slice_bytes):
         patterns: dict[bytes, list] = {}
@@ -133,7 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text:
                           pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["n_words", "n_hit", "item_ids", "spans"])
 
-    return frame.mapInArrow(run, f"{kept}{added}")
+    return frame.mapInArrow(run, schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,9 @@ TABLE_BYTES = 2 * SLOTS
 #: The weights' sample: so many training documents of at most so many bytes.
 SAMPLE, SAMPLE_BYTES = 600, 1 << 16
 FREQUENT = 300_000
-BATCH = 4 << 20  # bytes predicted together
+BATCH = 2 << 20  # bytes predicted together
+COUNTED = 4 << 20  # bytes counted together
+CACHE_BITS = 20  # predictions that a task keeps
 CHUNK = 1 << 14  # predictions held in the processor's cache
 BLOCK = 32  # bytes between two updates of the mixtures' weights
 SHARE = 0.02
@@ -88,22 +90,31 @@ NODE = ((np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.
 NODE = np.array([(NODE[n if n < 16 else n >> (n.bit_length() - 5)] if n >= 16 else 0) ^ (n & 63) for n in range(256)], np.int32)
 
 
+def slot(o: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The slot of one context for the bits known so far (1, then the bits)."""
+    return FIRST[o] + ((context ^ NODE[node]) & ((1 << SLOT_BITS[o]) - 1))
+
+
 def slots(context: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    """The slot of each context for the bits known so far (1, then the bits)."""
-    spread = NODE[node]
-    return [FIRST[o] + ((c ^ spread) & ((1 << SLOT_BITS[o]) - 1)) for o, c in enumerate(context)]
+    return [slot(o, c, node) for o, c in enumerate(context)]
 
 
 def count_bits(key: np.ndarray, times: np.ndarray, counts: np.ndarray) -> None:
-    """Add the bits of the distinct ``key`` to counts (zeros and ones of slot s at 2s and 2s+1)."""
-    for at in range(0, len(key), CHUNK):
-        k, t = key[at:at + CHUNK], times[at:at + CHUNK]
-        context, byte, node = contexts(k), (k & np.uint64(255)).astype(np.int32), np.ones(len(k), np.int32)
-        for i in range(7, -1, -1):
-            bit = (byte >> i) & 1
-            for s in slots(context, node):
-                np.add.at(counts, 2 * s + bit, t)
-            node = 2 * node + bit
+    """Add the bits of the distinct ``key`` to counts (zeros and ones of slot s at 2s and 2s+1).
+
+    From the longest context to the shortest, strings that differ only before it are added up first.
+    """
+    for o in range(len(ORDERS) - 1, -1, -1):
+        short = key & np.uint64((1 << 8 * (ORDERS[o] + 1)) - 1)
+        key, back = np.unique(short, return_inverse=True)
+        times = np.bincount(back, times).astype(np.uint32)
+        for at in range(0, len(key), CHUNK):
+            k, t = key[at:at + CHUNK], times[at:at + CHUNK]
+            context, byte, node = contexts(k)[o], (k & np.uint64(255)).astype(np.int32), np.ones(len(k), np.int32)
+            for i in range(7, -1, -1):
+                bit = (byte >> i) & 1
+                np.add.at(counts, 2 * slot(o, context, node) + bit, t)
+                node = 2 * node + bit
 
 
 def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -172,10 +183,16 @@ def predict(key: np.ndarray, tab: np.ndarray, weights: list[np.ndarray]) -> np.n
     return out
 
 
-def predict_all(key: np.ndarray, tab: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+def new_cache() -> tuple[np.ndarray, np.ndarray]:
+    """Keys (none yet) and their predictions, at a place that a hash of the key gives."""
+    return np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max, np.uint64), np.zeros((len(GATES), 1 << CACHE_BITS), np.float32)
+
+
+def predict_all(key: np.ndarray, tab: np.ndarray, weights: list[np.ndarray], cache: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """:func:`predict`, each distinct key once (up to hash collisions, which are predicted apart)."""
     bits = max(10, int(len(key)).bit_length())
-    place = ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int32)
+    mixed = key * np.uint64(0xD6E8FEB86659FD93)
+    place = (mixed >> np.uint64(64 - bits)).astype(np.int32)
     last = np.zeros(1 << bits, np.int32)
     last[place] = np.arange(len(key), dtype=np.int32)
     same = last.take(place)
@@ -186,7 +203,13 @@ def predict_all(key: np.ndarray, tab: np.ndarray, weights: list[np.ndarray]) ->
     at = np.flatnonzero(chosen)
     rank = np.empty(len(key), np.int32)
     rank[at] = np.arange(len(at), dtype=np.int32)
-    return predict(key[at], tab, weights)[:, rank.take(same)]
+    own, kept = key[at], (mixed[at] >> np.uint64(64 - CACHE_BITS)).astype(np.int32)
+    new = np.flatnonzero(cache[0].take(kept) != own)
+    values = cache[1].take(kept, axis=1)
+    values[:, new] = predict(own[new], tab, weights)
+    cache[0][kept[new]] = own[new]
+    cache[1][:, kept[new]] = values[:, new]
+    return values.take(rank.take(same), axis=1)
 
 
 def combine(values: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -224,12 +247,12 @@ def batches_of(texts: list[bytes], size: int = BATCH):
         at = to
 
 
-def score_texts(texts: list[bytes], tab: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+def score_texts(texts: list[bytes], tab: np.ndarray, weights: list[np.ndarray], cache: tuple | None = None) -> np.ndarray:
     """Natural log of the probability of each normal text."""
-    out = np.zeros(len(texts))
+    out, cache = np.zeros(len(texts)), cache or new_cache()
     for at, to in batches_of(texts):
         key, n = keys_of(texts[at:to])
-        values = [predict_all(key[lo:lo + BATCH], tab, weights) for lo in range(0, len(key), BATCH)]
+        values = [predict_all(key[lo:lo + BATCH], tab, weights, cache) for lo in range(0, len(key), BATCH)]
         out[at:to] = combine(values[0] if len(values) == 1 else np.concatenate(values, axis=1), n)
     return out
 
@@ -241,9 +264,8 @@ def gather_counts(texts: DataFrame) -> np.ndarray:
         counts = np.zeros(2 * SLOTS, np.uint32)
         for b in batches:
             own = [normal(t) for t in b.column("text").to_pylist()]
-            for at, to in batches_of(own):
-                key, times = np.unique(keys_of(own[at:to])[0], return_counts=True)
-                count_bits(key, times.astype(np.uint32), counts)
+            for at, to in batches_of(own, COUNTED):
+                count_bits(*np.unique(keys_of(own[at:to])[0], return_counts=True), counts)
         for r in range(SLOTS // RANGE):
             part = counts[2 * RANGE * r:2 * RANGE * (r + 1)]
             if part.any():
@@ -320,53 +342,59 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fo
     whole = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole.n), int(whole.v)
     # at most FREQUENT tokens can have so large a share
-    often = {bytes(r.token): r.c for r in vocabulary.where(F.col("c") * FREQUENT >= max(n, 1)).collect()}
+    often = {bytes(r.token): math.log10(r.c + 0.1) for r in vocabulary.where(F.col("c") * FREQUENT >= max(n, 1)).collect()}
     common = spark.sparkContext.broadcast(often)
     base = math.log10(n + 0.1 * (v + 1))
 
     def score(batches):
-        tab, weights = model.value
-        often = {t: (c, math.log10(c + 0.1)) for t, c in common.value.items()}
+        (tab, weights), often, cache = model.value, common.value, new_cache()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            normals = [normal(t) for t in texts]
-            lm = score_texts(normals, tab, weights) / math.log(10)
-            rows, token, tf, tokens, known, part, score, size = [], [], [], [], [], [], [], []
-            for i, text in enumerate(normals):
-                counted = Counter(text[:-1].split())
-                counted[b""] = 1
-                sure = total = 0.0
-                hits = 0
-                for t, k in counted.items():
-                    found = often.get(t)
-                    if found:
-                        sure += k * found[1]
-                        hits += k
-                    else:
-                        rows.append(i)
-                        token.append(t)
-                        tf.append(k)
-                # the text's own row: its token holds a blank, which no word does
-                rows.append(i)
-                token.append(b" %d" % b.column("row")[i].as_py())
-                tf.append(0)
-                tokens.append(sum(counted.values()))
-                known.append(hits)
-                part.append(sure)
-                score.append(float(lm[i]))
-                size.append(len(text) - 1)
-            index = pa.array(rows, pa.int32())
-            own = np.array(tf) == 0
-
-            def only(values, kind):
-                out = np.zeros(len(rows), kind)
-                out[own] = values
-                return pa.array(out)
-
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row").take(index), b.column("doc_id").take(index), pa.array(token, pa.binary()), pa.array(tf, pa.int64()),
-                 only(tokens, np.int64), only(known, np.int64), only(part, np.float64), only(score, np.float64), only(size, np.int64)],
-                names=["row", "doc_id", "token", "tf", "n_tokens", "known", "part", "score", "bytes"])
+            texts = b.column("text")
+            at = 0
+            while at < b.num_rows:  # some texts at a time
+                normals, held, first = [], 0, at
+                while at < b.num_rows and (held < BATCH or not normals):
+                    normals.append(normal(texts[at].as_py()))
+                    held += len(normals[-1])
+                    at += 1
+                yield part_of(b.slice(first, at - first), normals, score_texts(normals, tab, weights, cache) / math.log(10), often)
+
+    def part_of(b, normals, lm, often):
+        rows, token, tf, tokens, known, part, score, size = [], [], [], [], [], [], [], []
+        for i, text in enumerate(normals):
+            counted = Counter(text[:-1].split())
+            counted[b""] = 1
+            sure, hits = 0.0, 0
+            for t, k in counted.items():
+                found = often.get(t)
+                if found is not None:
+                    sure += k * found
+                    hits += k
+                else:
+                    rows.append(i)
+                    token.append(t)
+                    tf.append(k)
+            # the text's own row: its token holds a blank, which no word does
+            rows.append(i)
+            token.append(b" %d" % b.column("row")[i].as_py())
+            tf.append(0)
+            tokens.append(sum(counted.values()))
+            known.append(hits)
+            part.append(sure)
+            score.append(float(lm[i]))
+            size.append(len(text) - 1)
+        index = pa.array(rows, pa.int32())
+        own = np.array(tf) == 0
+
+        def only(values, kind):
+            out = np.zeros(len(rows), kind)
+            out[own] = values
+            return pa.array(out)
+
+        return pa.RecordBatch.from_arrays(
+            [b.column("row").take(index), b.column("doc_id").take(index), pa.array(token, pa.binary()), pa.array(tf, pa.int64()),
+             only(tokens, np.int64), only(known, np.int64), only(part, np.float64), only(score, np.float64), only(size, np.int64)],
+            names=["row", "doc_id", "token", "tf", "n_tokens", "known", "part", "score", "bytes"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(

@@ -8,16 +8,18 @@ with probability s at each choice.  A node of at most ``SMALL`` documents is com
 exhaustively; larger ones branch again, to ``DEPTH`` levels.  ``TREES`` independent trees
 bring the chance to miss a link of similarity 0.8 below 0.2**TREES where nodes get small.
 
-Nodes that stay large hold documents alike to each other (or a passage that many share).
-They are dealt into blocks of ``SMALL`` documents, each compared together with the node's
-few leaders, so that a large class hangs together at a cost linear in its size.  When links
-are known, nodes of the last level whose documents are of one class hold nothing more to
-find; in the others all pairs of documents of different classes are compared, in blocks.
+Large nodes hold documents alike to each other, or a passage that many share.  At first
+they are dealt into blocks of ``SMALL`` documents, each compared together with the node's
+few leaders, so that a large class hangs together at a cost linear in its size.  Once these
+links are known, nodes whose documents are of one class hold nothing more to find, and only
+those of several classes branch on; of what is large at the last level, all pairs of
+documents of different classes are compared, in blocks.
 
 Comparing estimates the similarity from one byte a minwise hash and keeps pairs well below
-the threshold too; what is kept is confirmed on full shingle sets of the texts, first each
-document against its closest smaller partner, then all pairs that still join two classes.
-Equal sets are one node of the graph from the start, whatever their number.
+the threshold too; what is kept is confirmed on full shingle sets of the texts: first each
+document against the closest smaller partner in a spanning forest of each block, then all
+pairs that still join two classes.  Equal sets are one node of the graph from the start,
+whatever their number.
 
 Defined cases: documents without words (or null text) have no shingles and are alone;
 documents with one id are one node; a null id is alone, in class null, and kept; an empty
@@ -33,20 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import cut, table, utf8
+from emberspark.llm.common import cut, gathered, table, utf8
 from emberspark.llm.components import components
 from emberspark.llm.shingles import minhash, mix, shingle_set
 
 PERCENT = 80
-SIZE = 64
+SIZE = 128
 TREES = 12
-DEPTH = 3
+DEPTH = 5
 SMALL = 64
 LEADERS = 8
-BRANCH = 2.0  # chosen positions a node, on average
+#: Positions that a node chooses on average besides the first: the root, and deeper nodes.
+ROOT, DEEPER = 1.0, 0.5
 CROSS = 512
-#: One-byte minwise hashes that must agree, of 64: a link of 0.8 (51 expected) misses 36 with a chance below 1e-5.
-ALIKE = 36
+#: One-byte minwise hashes that must agree, of 128: a link of 0.8 (102 expected) misses 84 with a chance of about 3e-5.
+ALIKE = 84
 #: Ids sent to all executors at most; beyond, texts are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -80,9 +83,9 @@ def _chosen(node: np.ndarray, expected: float) -> np.ndarray:
     return chosen
 
 
-def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _children(node: np.ndarray, sig: np.ndarray, more: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and name of every child that the rows' nodes send them to."""
-    row, position = np.nonzero(_chosen(node, BRANCH - 1))
+    row, position = np.nonzero(_chosen(node, more))
     value = sig[row, position].astype(np.uint64)
     return row, mix(mix(node[row] + position.astype(np.uint64)) ^ value)
 
@@ -98,9 +101,9 @@ def _branch(members: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, SIZE)
             rep = b.column("rep").to_numpy()
             if root:
-                found = [_children(np.full(len(rep), mix(np.array([t + 1], np.uint64))[0]), sig) for t in range(TREES)]
+                found = [_children(np.full(len(rep), mix(np.array([t + 1], np.uint64))[0]), sig, ROOT) for t in range(TREES)]
             else:
-                found = [_children(b.column("node").to_numpy().view(np.uint64), sig)]
+                found = [_children(b.column("node").to_numpy().view(np.uint64), sig, DEEPER)]
             for row, name in found:
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rep[row])], names=["node", "rep"])
 
@@ -149,24 +152,67 @@ def _pairs(rep_a, rep_b, alike):
     return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(alike.astype(np.int32))], names=["a", "b", "alike"])
 
 
-def _compare(nodes: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b, alike`` of the pairs in each (node, block) that may be links; ``nodes`` has ``node, block, rep``."""
-    rows = nodes.join(reps.select("rep", "bytes"), "rep").select("node", "block", "rep", "bytes")
+def _forest(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a spanning forest of greatest agreement, over pairs that agree enough."""
+    n = len(alike)
+    best, source = np.full(n, -1), np.full(n, -1)
+    out, left = np.zeros(n, bool), n
+    pairs = []
+    while left:
+        rest = np.where(out, -2, best)
+        i = int(rest.argmax())
+        if rest[i] >= ALIKE:
+            pairs.append((source[i], i))
+        out[i] = True
+        left -= 1
+        closer = alike[i].astype(np.int64) > best
+        best[closer], source[closer] = alike[i][closer], i
+    return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
+
+
+def _compare(nodes: DataFrame, reps: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``a, b, alike`` of pairs in each (node, block) that may be links; ``nodes`` has ``node, block, rep``.
+
+    Without labels, a spanning forest of each block; with them, all pairs of different classes.
+    """
+    rows = nodes.join(reps.select("rep", "bytes"), "rep")
+    if labels is not None:
+        rows = _labelled(rows, labels)
+        mixed = (rows.groupBy("node", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                 .where("lo < hi").select("node", "block"))
+        rows = rows.join(mixed, ["node", "block"])
+    else:
+        rows = rows.withColumn("component", F.col("rep"))
+    every = labels is not None
 
     def run(batches):
         for t in _runs(batches, ["node", "block"]):
             rep, first = np.unique(t.column("rep").to_numpy(), return_index=True)
             if len(rep) < 2:
                 continue
-            m = _matrix(t)[first]
-            for lo in range(0, len(rep), 256):  # a few hundred rows at a time
-                alike = _agree(m[lo:lo + 256], m[lo:])
-                i, j = np.nonzero(alike >= ALIKE)
-                up = j > i
-                yield _pairs(rep[lo + i[up]], rep[lo + j[up]], alike[i[up], j[up]])
+            m, label = _matrix(t)[first], t.column("component").to_numpy()[first]
+            alike = _agree(m, m)
+            if every:
+                i, j = np.nonzero((alike >= ALIKE) & (label[:, None] < label[None, :]))
+            else:
+                i, j = _forest(alike)
+            if len(i):
+                yield _pairs(rep[i], rep[j], alike[i, j])
+
+    return gathered(rows.select("node", "block", "rep", "component", "bytes"), ["node", "block"]).mapInArrow(
+        run, "a long, b long, alike int")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
 
-    return (rows.repartition("node", "block").sortWithinPartitions("node", "block")
-            .mapInArrow(run, "a long, b long, alike int"))
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the nodes whose documents are not yet all of one class."""
+    mixed = (_labelled(members, labels).groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("node"))
+    return members.join(mixed, "node")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -213,24 +259,13 @@ def _confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return (texts.repartition("a", "part").sortWithinPartitions("a", "part", "role")
-            .mapInArrow(run, "a long, b long"))
-
-
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different classes."""
-    la = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    lb = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return (pairs.join(la, "a", "left").join(lb, "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    return gathered(texts, ["a", "part"], ["role"]).mapInArrow(run, "a long, b long")
 
 
 def _cross(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of different classes that may be links, in nodes that stayed large to the last level."""
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    mixed = (labelled.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-             .where("lo < hi").select("node", F.ceil(F.col("n") / CROSS).cast("int").alias("parts")))
+    labelled = _labelled(members, labels)
+    mixed = members.groupBy("node").agg(F.ceil(F.count("*") / CROSS).cast("int").alias("parts"))
     rows = (labelled.join(mixed, "node").join(reps.select("rep", "bytes"), "rep")
             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -247,8 +282,7 @@ def _cross(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
                 i, j = np.nonzero((alike >= ALIKE) & (label[left][:, None] != label[right][None, :]))
                 yield _pairs(rep[left[i]], rep[right[j]], alike[i, j])
 
-    return (rows.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y")
-            .mapInArrow(run, "a long, b long, alike int").select("a", "b").distinct())
+    return gathered(rows, ["node", "x", "y"]).mapInArrow(run, "a long, b long, alike int").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,32 +297,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, doc_id:
     reps = cut(sets.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.max("sig").alias("sig")))
     reps = reps.withColumn("bytes", _low_bytes("sig"))
 
-    levels, members = [], cut(_sized(_branch(reps.select("rep", "sig"))))
-    for level in range(DEPTH):
-        levels.append(_blocks(members))
-        large = members.where(F.col("size") > SMALL)
-        if level == DEPTH - 1 or not large.limit(1).count():
-            break
-        members = cut(_sized(_branch(large.select("node", "rep").join(reps.select("rep", "sig"), "rep"))))
-    nodes = levels[0]
-    for more in levels[1:]:
-        nodes = nodes.unionByName(more)
-    pairs = cut(_compare(nodes, reps).groupBy("a", "b").agg(F.max("alike").alias("alike")))
-
+    members = cut(_sized(_branch(reps.select("rep", "sig"))))
+    blocks = cut(_blocks(members))
     # an id with several sets, or the copies of a set: their representatives are linked as they stand
     given = (sets.join(reps.select("key", "rep"), "key").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"))
              .where("a <> b").select("a", "b"))
+    pairs = _compare(blocks, reps).groupBy("a", "b").agg(F.max("alike").alias("alike"))
     # each document against the partner with the smaller id that seems closest
-    closest = cut(pairs.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("x"))
-                  .select((-F.col("x.a")).alias("a"), "b"))
-    links = cut(_confirm(closest, docs, k, percent).unionByName(given))
+    tested = cut(pairs.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("x"))
+                 .select((-F.col("x.a")).alias("a"), "b"))
+    links = cut(_confirm(tested, docs, k, percent).unionByName(given))
     labels = cut(components(links))
-    rest = cut(_between(pairs.join(closest, ["a", "b"], "left_anti"), labels))
+
+    # large nodes of several classes branch on
+    small, large = [blocks], members.where(F.col("size") > SMALL)
+    for level in range(1, DEPTH):
+        large = cut(_mixed(large, labels))
+        if not large.limit(1).count():
+            break
+        deeper = cut(_sized(_branch(large.select("node", "rep").join(reps.select("rep", "sig"), "rep"))))
+        small.append(deeper.where(F.col("size") <= SMALL).select("node", F.lit(0).alias("block"), "rep"))
+        large = deeper.where(F.col("size") > SMALL)
+    nodes = small[0]
+    for more in small[1:]:
+        nodes = nodes.unionByName(more)
+    rest = cut(_compare(nodes, reps, labels).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         links = cut(links.unionByName(_confirm(rest, docs, k, percent)))
         labels = cut(components(links))
+    large = cut(_mixed(large, labels))
     if large.limit(1).count():
-        rest = cut(_cross(large, labels, reps).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        rest = cut(_cross(large, labels, reps).join(tested.unionByName(rest), ["a", "b"], "left_anti"))
         if rest.limit(1).count():
             labels = cut(components(links.unionByName(_confirm(rest, docs, k, percent))))
 

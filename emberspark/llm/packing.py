@@ -207,23 +207,23 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
 def pack_pieces(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``pieces`` (any columns, with ``length``) with ``sequence_id`` and ``offset``."""
     pieces = cut(pieces.drop("sequence_id", "offset"))  # the texts are encoded once
-    numbered = pieces.withColumn("__row", F.monotonically_increasing_id())
+    numbered = pieces.withColumn("__row of packing", F.monotonically_increasing_id())
     short = numbered.where(F.col("length") < length)
     groups = max(1, -(-short.count() // group))
-    dealt = short.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)))
+    dealt = short.withColumn("__group of packing", F.pmod(F.xxhash64("__row of packing"), F.lit(groups)))
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("__row")  # the same packing on every attempt
+        rows = rows.sort_by("__row of packing")  # the same packing on every attempt
         b, offset = pack(rows.column("length").to_numpy(), length)
-        ids = (rows.column("__group")[0].as_py() << 32) + b
-        rows = rows.drop_columns(["__row", "__group"])
+        ids = (rows.column("__group of packing")[0].as_py() << 32) + b
+        rows = rows.drop_columns(["__row of packing", "__group of packing"])
         return rows.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    packed = dealt.groupBy("__group").applyInArrow(run, f"{kept}, sequence_id long, offset long")
+    packed = dealt.groupBy("__group of packing").applyInArrow(run, f"{kept}, sequence_id long, offset long")
     # a full piece is a sequence: a negative number, which no group uses
     full = numbered.where(F.col("length") >= length).select(
-        *pieces.columns, (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        *pieces.columns, (-1 - F.col("__row of packing")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
 
 

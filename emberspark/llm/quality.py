@@ -182,14 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 def score_quality(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (the columns ``keep``, or all) with ``quality_score``, the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame, kept = with_bytes(docs, text, keep, ["quality_score"])
+    frame, schema = with_bytes(docs, text, keep, "quality_score double")
 
     def run(batches):
         for b in batches:
             scores = score_texts(b.column(TEXT).to_pylist(), shared.value)
             yield add_columns(b, [pa.array(scores, pa.float64())], ["quality_score"])
 
-    return frame.mapInArrow(run, f"{kept}quality_score double")
+    return frame.mapInArrow(run, schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

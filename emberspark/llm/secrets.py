@@ -148,18 +148,20 @@ def scan(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) ->
     """
     none = F.array().cast(SPANS)
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "candidate": CANDIDATE}
-    added = [f"__{k}{x}" for k in patterns for x in ("", "_at")]
+    at = {k: f"__{k} positions of scan" for k in patterns}
+    found = {k: f"__{k} of scan" for k in patterns}
+    added = [*at.values(), *found.values()]
     df = docs.drop("base_spans", "secret_spans", *added)
-    df = df.withColumns({f"__{k}": F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(0))
+    df = df.withColumns({found[k]: F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(0))
                          for k, p in patterns.items()})
-    df = df.withColumns({f"__{k}_at": matches(F.col(text), p, F.col(f"__{k}")) for k, p in patterns.items()})
-    secret = F.filter(F.col("__assign_at"), lambda x: F.length(
-        F.regexp_extract(F.get(F.col("__assign"), x["at"]), ASSIGN, 2)) >= ASSIGN_LEAST)
-    kept = {"assign": secret, "access": F.col("__access_at"), "hex": F.col("__hex_at")}
+    df = df.withColumns({at[k]: matches(F.col(text), p, F.col(found[k])) for k, p in patterns.items()})
+    secret = F.filter(F.col(at["assign"]), lambda x: F.length(
+        F.regexp_extract(F.get(F.col(found["assign"]), x["at"]), ASSIGN, 2)) >= ASSIGN_LEAST)
+    kept = {"assign": secret, "access": F.col(at["access"]), "hex": F.col(at["hex"])}
     df = df.withColumn("base_spans", F.array_sort(F.concat(*[
-        F.coalesce(_base_spans(at, k), none) for k, at in kept.items()]), _by_start))
-    more = F.flatten(F.transform(F.col("__candidate_at"), lambda at: _candidate_spans(F.col("__candidate"), at, allow, WINDOW)))
-    df = df.withColumn("secret_spans", F.when(F.size("__candidate") > 0, F.array_sort(
+        F.coalesce(_base_spans(x, k), none) for k, x in kept.items()]), _by_start))
+    more = F.flatten(F.transform(F.col(at["candidate"]), lambda x: _candidate_spans(F.col(found["candidate"]), x, allow, WINDOW)))
+    df = df.withColumn("secret_spans", F.when(F.size(F.col(found["candidate"])) > 0, F.array_sort(
         F.concat("base_spans", F.coalesce(more, none)), _by_start)).otherwise(F.col("base_spans")))
     return df.drop(*added)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberspark.llm.common import cut, table, utf8
+from emberspark.llm.common import pin, table, utf8
 
 SHARDS = 16
 BUCKET_ROWS = 100_000
@@ -70,38 +70,38 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED,
     permutations then see the same rows in the same partitions on every attempt.
     """
     spark = df.sparkSession
-    df = cut(df.drop("shard", "slot"))
+    df = pin(df.drop("shard", "slot"))
     counts = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}  # one number a partition
     parts = max(1, df.rdd.getNumPartitions())
     before = np.concatenate([[0], np.cumsum([counts.get(p, 0) for p in range(parts)])]).astype(np.int64)
     sizes, shard_of, first = bucket_sizes(int(before[-1]), shards, bucket_rows)
     plan = spark.sparkContext.broadcast((sizes, shard_of, first, before))
-    fields = [f for f in df.schema.fields if f.name != "__bucket"]
+    fields = [f for f in df.schema.fields if f.name != "__bucket of sharding"]
 
     def deal(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         whole = pa.Table.from_batches(batches)  # one input split
-        p = whole.column("__part")[0].as_py()
+        p = whole.column("__part of sharding")[0].as_py()
         sizes, _, _, before = plan.value
         to = np.repeat(np.arange(len(sizes), dtype=np.int32), matrix_row(sizes, before, p, seed))
         rng = np.random.Generator(np.random.Philox(key=seed + 1, counter=[p, 0, 0, 0]))
-        whole = whole.drop_columns(["__part"]).append_column("__bucket", pa.array(rng.permutation(to)))
-        yield from whole.append_column("__at", pa.array(p * (1 << 32) + np.arange(whole.num_rows))).to_batches()
+        whole = whole.drop_columns(["__part of sharding"]).append_column("__bucket of sharding", pa.array(rng.permutation(to)))
+        yield from whole.append_column("__at of sharding", pa.array(p * (1 << 32) + np.arange(whole.num_rows))).to_batches()
 
     def settle(rows: pa.Table) -> pa.Table:
-        b = rows.column("__bucket")[0].as_py()
+        b = rows.column("__bucket of sharding")[0].as_py()
         _, shard_of, first, _ = plan.value
-        rows = rows.sort_by("__at").drop_columns(["__bucket", "__at"])  # arrival order differs between attempts
+        rows = rows.sort_by("__at of sharding").drop_columns(["__bucket of sharding", "__at of sharding"])  # arrival order differs between attempts
         rng = np.random.Generator(np.random.Philox(key=seed + 2, counter=[b, 0, 0, 0]))
         slot = first[b] + rng.permutation(rows.num_rows)
         rows = rows.append_column("shard", pa.array(np.full(rows.num_rows, shard_of[b], np.int32)))
         return rows.append_column("slot", pa.array(slot))
 
-    dealt = df.withColumn("__part", F.spark_partition_id()).mapInArrow(
-        deal, T.StructType([*fields, T.StructField("__bucket", T.IntegerType()), T.StructField("__at", T.LongType())]))
-    return dealt.groupBy("__bucket").applyInArrow(
+    dealt = df.withColumn("__part of sharding", F.spark_partition_id()).mapInArrow(
+        deal, T.StructType([*fields, T.StructField("__bucket of sharding", T.IntegerType()), T.StructField("__at of sharding", T.LongType())]))
+    return dealt.groupBy("__bucket of sharding").applyInArrow(
         settle, T.StructType([*fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
 
 

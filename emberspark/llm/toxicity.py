@@ -157,7 +157,7 @@ def score_toxicity(docs: DataFrame, model: dict, text: str = "text", least: floa
                    keep: list[str] | None = None) -> DataFrame:
     """``docs`` (the columns ``keep``, or all) with ``toxic_score`` and ``offending`` (the sentences scoring ``least`` or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame, kept = with_bytes(docs, text, keep, ["toxic_score", "offending"])
+    frame, schema = with_bytes(docs, text, keep, "toxic_score double, offending array<struct<start:long,end:long,score:double>>")
 
     def run(batches):
         model, memo = shared.value, {}
@@ -168,7 +168,7 @@ def score_toxicity(docs: DataFrame, model: dict, text: str = "text", least: floa
                              pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
             yield add_columns(b, [pa.array(scores, pa.float64()), found], ["toxic_score", "offending"])
 
-    return frame.mapInArrow(run, f"{kept}toxic_score double, offending array<struct<start:long,end:long,score:double>>")
+    return frame.mapInArrow(run, schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import scratch, table, utf8
+from emberspark.llm.common import gathered, scratch, table, utf8
 
 SEGMENT = 16 << 10
 CHUNK = 4096
@@ -112,7 +112,7 @@ def parse_records(data: bytes):
 def read_message(fields: dict, block: bytes) -> dict:
     """type, page, refers_to, size and digest of a whole record; ``intact`` false if it does not hold."""
     out = {"page": unquote(fields["warc-page-id"]) or None, "type": fields["warc-type"],
-           "refers": unquote(fields.get("warc-refers-to-page-id", "")) or None, "size": None, "digest": None, "intact": False}
+           "refers": unquote(fields.get("warc-refers-to-page-id", "")) or None, "name": fields["warc-record-id"], "size": None, "digest": None, "intact": False}
     told = fields["warc-payload-digest"].removeprefix("sha1:")
     head, _, body = block.partition(b"\r\n\r\n")
     http = {k.lower(): v for k, v in (x.split(": ", 1) for x in head.decode("latin-1").split("\r\n")[1:])}
@@ -175,10 +175,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for content in b.column("content"):
                 rows, size = [], 0
                 for fields, block in parse_records(zlib.decompress(content.as_py(), 31)):
-                    rows.append((fields.get("warc-segment-origin-id", fields["warc-record-id"]),
-                                 int(fields.get("warc-segment-number", 0)), fields.get("warc-segment-total-length"),
-                                 list(fields.items()), block))
-                    size += len(block)
+                    number = int(fields.get("warc-segment-number", 0))
+                    if not number:  # a record in one part is read here, and only its findings are sent on
+                        fields, block, total = read_message(fields, block), None, None
+                    else:
+                        total = fields.get("warc-segment-total-length")
+                        size += len(block)
+                    rows.append((fields.get("warc-segment-origin-id", fields.get("warc-record-id", fields.get("name"))), number,
+                                 total, [(k, str(v)) for k, v in fields.items() if v is not None], block))
                     if size > 8 << 20:
                         yield pack(rows, schema)
                         rows, size = [], 0
@@ -197,11 +201,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         held, last = [], None
 
         def whole():
-            if len(held) == 1 and held[0][0] == 0:
-                return read_message(held[0][2], held[0][3])
+            if held[0][0] == 0:
+                told = held[0][2]
+                size = told.get("size")
+                return {**{k: told.get(k) for k in ("page", "type", "refers", "digest")}, "size": None if size is None else int(size),
+                        "intact": told["intact"] == "True"}
             found = reassemble(held)
             if found:
-                return read_message(*found)
+                told = read_message(*found)
+                return {k: told[k] for k in schema.names}
             fields = {"warc-page-id": "", "warc-type": "response", **held[0][2]}
             return {"page": unquote(fields["warc-page-id"]) or None, "type": "response", "refers": None, "size": None,
                     "digest": None, "intact": False}
@@ -220,8 +228,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist([whole()], schema=schema)
 
-    return (files.mapInArrow(parse, parts).repartition("origin").sortWithinPartitions("origin", "number")
-            .mapInArrow(join, done))
+    return gathered(files.mapInArrow(parse, parts), ["origin"], ["number"]).mapInArrow(join, done)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
