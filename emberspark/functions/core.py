@@ -63,9 +63,3 @@ def epsilon_index(a, b, eps: float = 1e-10) -> Column:
     a, b = col(a), col(b)
     den = a + b + F.lit(float(eps))
     return F.when(den != 0, (a - b) / den)
-
-
-def safe_ratio(num, den) -> Column:
-    """``num / den`` or NULL when ``den`` is 0 or NULL."""
-    num, den = col(num), col(den)
-    return F.when(den != 0, num / den)

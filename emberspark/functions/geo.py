@@ -36,7 +36,11 @@ def box_ring(xmin, ymin, xmax, ymax) -> Column:
 
 
 def wkt_ring(wkt) -> Column:
-    """Outer ring of a ``POLYGON((x y, ...))`` WKT as ``ARRAY<STRUCT<x, y>>``."""
+    """The ring of a ``POLYGON((x y, ...))`` WKT as ``ARRAY<STRUCT<x, y>>``.
+
+    A polygon with holes and a multi-part polygon cannot be held by one ring and raise.
+    """
+    several = col(wkt).rlike(r"(?i)MULTI|\)\s*,\s*\(")
     body = F.regexp_extract(col(wkt), r"\(\(\s*([^()]*?)\s*\)", 1)
     pts = F.split(body, r"\s*,\s*")
 
@@ -45,7 +49,8 @@ def wkt_ring(wkt) -> Column:
         return F.struct(xy.getItem(0).cast("double").alias("x"),
                         xy.getItem(1).cast("double").alias("y"))
 
-    return F.when(F.length(body) > 0, F.transform(pts, to_point))
+    refused = F.raise_error(F.concat(F.lit("polygon of several rings: "), col(wkt))).cast("array<struct<x:double,y:double>>")
+    return F.when(several, refused).when(F.length(body) > 0, F.transform(pts, to_point))
 
 
 def ring_bbox(ring) -> dict[str, Column]:
@@ -63,7 +68,19 @@ def is_box(ring, xmin, ymin, xmax, ymax) -> Column:
     r = col(ring)
     x0, y0, x1, y1 = (col(c) for c in (xmin, ymin, xmax, ymax))
     corner = F.forall(r, lambda p: ((p["x"] == x0) | (p["x"] == x1)) & ((p["y"] == y0) | (p["y"] == y1)))
-    return (F.size(r) == 5) & corner
+
+    def at(i, k):
+        return F.get(r, F.lit(i))[k]
+
+    def step(i):  # from one corner to the next, exactly one coordinate changes
+        return (at(i, "x") == at(i + 1, "x")) != (at(i, "y") == at(i + 1, "y"))
+
+    def turn(i):  # and a side is not walked back
+        return (at(i, "x") != at(i + 2, "x")) & (at(i, "y") != at(i + 2, "y"))
+
+    flat = (x0 == x1) | (y0 == y1)
+    walk = step(0) & step(1) & step(2) & step(3) & turn(0) & turn(1) & turn(2)
+    return F.coalesce((F.size(r) == 5) & corner & (flat | walk), F.lit(False))
 
 
 # --------------------------------------------------------------------------- areas
@@ -76,11 +93,6 @@ def degree_box_hectares(xmin, ymin, xmax, ymax, metres_per_degree: float = S.MET
 
 # --------------------------------------------------------------------------- predicates
 
-def bbox_intersects(a: dict, b: dict) -> Column:
-    """Closed bounding-box overlap of two column dicts with xmin..ymax keys."""
-    return ((a["xmin"] <= b["xmax"]) & (a["xmax"] >= b["xmin"])
-            & (a["ymin"] <= b["ymax"]) & (a["ymax"] >= b["ymin"]))
-
 
 _ORIENT = "sign(({q}.x - {p}.x) * ({r}.y - {p}.y) - ({q}.y - {p}.y) * ({r}.x - {p}.x))"
 _ONSEG = ("({r}.x BETWEEN least({p}.x, {q}.x) AND greatest({p}.x, {q}.x) AND "

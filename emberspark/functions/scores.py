@@ -33,19 +33,6 @@ def normalize_weights(weights: Mapping[str, float] | None = None) -> dict[str, f
     return {k: v / total for k, v in w.items()}
 
 
-def used_weights(weights: Mapping[str, float] | None, present: Iterable[str]) -> dict[str, float]:
-    """Normalised weights restricted to the indices present in the data set.
-
-    Availability is decided per data set (by its columns), not per row: a pixel
-    with one NULL index gets a NULL score rather than a renormalised one.
-    """
-    present = [p for p in INDEX_ORDER if p in set(present)]
-    if not present:
-        raise ValueError("no index (NDVI, NDMI, NBR) available for risk scoring")
-    w = normalize_weights(weights)
-    return {k: w[k] for k in present if k in w}
-
-
 # --------------------------------------------------------------------------- components
 
 def health_score(index_name: str, x) -> Column:

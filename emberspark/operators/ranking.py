@@ -142,11 +142,6 @@ def high_risk_markers(scored: DataFrame, height, width, bounds=S.STUDY_AREA,
     return out
 
 
-def has_high_risk(scored: DataFrame, k: int = 4) -> bool:
-    """Whether any pixel is in class >= k; stops at the first hit (limit 1)."""
-    return len(where_computed(scored, class_at_least("risk_score", k)).limit(1).take(1)) > 0
-
-
 def batch_assignment(tiles: DataFrame, tile: str = "tile_id", size: int = S.TILES_PER_BATCH) -> DataFrame:
     """Consecutive runs of ``size`` tiles in tile order -> ``batch_id``."""
     cat = tiles.select(tile).distinct()

@@ -96,7 +96,9 @@ def date_series(bands: DataFrame, bbox=None, date: str = "scene_date"):
     """E-07: optional study-area filter (when pixels carry lon/lat), fast
     score, per-date statistics and the struct-of-arrays export."""
     px = Q.ingest_bands(bands)
-    if bbox is not None and {"lon", "lat"} <= set(px.columns):
+    if bbox is not None and not {"lon", "lat"} <= set(px.columns):
+        raise ValueError("a study area needs pixels with lon and lat")
+    if bbox is not None:
         x0, y0, x1, y1 = bbox
         px = px.where(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1))
     series = ST.time_series(SCO.add_fast_score(I.add_fast_indices(px)), date)
@@ -133,7 +135,7 @@ def map_feed(scored: DataFrame, height, width, bounds=S.STUDY_AREA, vmin: float
 
 
 def assessment_record(scored: DataFrame, bbox=S.STUDY_AREA, assessment_date=None,
-                      processing_ts=None, by: list[str] | None = None) -> DataFrame:
+                      processing_ts=None, by: list[str] | None = None, metadata: dict | None = None) -> DataFrame:
     """E-08: one ``risk_assessments`` row per group of scored pixels (the
     whole set when ``by`` is empty): NaN-free means, the label of the mean
     score (``Unknown`` when every pixel is no data), the study-area polygon,
@@ -161,15 +163,19 @@ def assessment_record(scored: DataFrame, bbox=S.STUDY_AREA, assessment_date=None
         "risk_score", score_label("risk_score").alias("risk_category"),
         "ndvi_mean", "ndmi_mean", "nbr_mean",
         G.degree_box_hectares(*box.values()).alias("area_hectares"),
-        metadata_json(ts).alias("metadata"),
+        metadata_json(ts, metadata).alias("metadata"),
         ts.alias("created_at"), ts.alias("updated_at"))
     return rec.withColumn("id", assessment_ids(["assessment_date", "geom_wkt", *by]))
 
 
-def save_assessment(scored: DataFrame, table_path: str, bbox=S.STUDY_AREA, **kw):
+def save_assessment(scored: DataFrame, table_path: str, bbox=S.STUDY_AREA, run_key: str | None = None, **kw):
     """E-08 end to end: record -> constraint check -> append valid rows.
     Returns (ids written, quarantined rows) as DataFrames."""
     from ..sources.sinks import append_assessments
     rec = assessment_record(scored, bbox, **kw)
+    if run_key is not None:
+        rec = rec.drop("id")
     valid, bad = Q.split_valid(rec)
-    return append_assessments(valid, table_path), bad
+    empty = valid.where(F.col("risk_score").isNull())  # every pixel masked: nothing was assessed
+    bad = bad.unionByName(empty, allowMissingColumns=True)
+    return append_assessments(valid.where(F.col("risk_score").isNotNull()), table_path, run_key=run_key), bad

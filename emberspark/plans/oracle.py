@@ -156,7 +156,7 @@ BOUNDARIES = """boundaries AS (
          (-34000 + floor(n_nationkey / 5) * 100) / 1000e0 AS ymin,
          (150000 + (n_nationkey % 5) * 160 + 160) / 1000e0 AS xmax,
          (-34000 + floor(n_nationkey / 5) * 100 + 100) / 1000e0 AS ymax
-  FROM nation WHERE n_nationkey <> 12)"""
+  FROM nation)"""
 
 
 def with_(*ctes: str) -> str:

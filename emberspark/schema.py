@@ -58,9 +58,6 @@ SERIES_HIGH_RISK = 60.0
 MARKER_TARGET = 20
 # Tiles per batch of the tile batch report.
 TILES_PER_BATCH = 4
-# Metadata written with an assessment record.
-ASSESSMENT_METHOD = "synthetic_demo"
-ASSESSMENT_SOURCE = "simulated_sentinel2"
 
 BANDS = ("b04", "b08", "b11", "b12")
 BAND_NAMES = {"B04": "b04", "B08": "b08", "B11": "b11", "B12": "b12"}

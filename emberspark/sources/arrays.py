@@ -72,6 +72,8 @@ def _decode(bands, max_bytes, decoder=npy_decoder):
                 if arr.ndim != 3:
                     raise ValueError(f"{path}: expected a (h, w) or (h, w, bands) array, got {arr.shape}")
                 h, w, nb = arr.shape
+                if nb != len(names):
+                    raise ValueError(f"{path}: {nb} planes, {len(names)} band names")
                 r0, c0 = _chunk_origin(path)
                 flat = arr.reshape(h * w, nb).astype(np.float64)
                 rows = np.repeat(np.arange(h, dtype=np.int64), w) + r0
@@ -81,8 +83,7 @@ def _decode(bands, max_bytes, decoder=npy_decoder):
                     out = {"path": path, "row_offset": r0, "col_offset": c0,
                            "px_row": rows[start:end], "px_col": cols[start:end]}
                     for i, name in enumerate(names):
-                        col = flat[start:end, i] if i < nb else np.full(end - start, np.nan)
-                        out[name] = col
+                        out[name] = flat[start:end, i]
                     yield pd.DataFrame(out)
     return fn
 

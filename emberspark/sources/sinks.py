@@ -8,6 +8,7 @@ row-group statistics skip most of a tile for a bbox or row-range read.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +16,16 @@ from .. import schema as S
 
 
 def metadata_json(processing_ts: Column | None = None, extra: dict | None = None) -> Column:
-    """Record metadata as JSON text; NULL when there is nothing to record.
+    """The caller's record metadata as JSON text; NULL when there is nothing to record.
 
-    ``processing_date`` is ISO-8601 (``yyyy-MM-ddTHH:mm:ss``). Pass a fixed
-    timestamp column for reproducible re-runs; default is the current time.
+    ``processing_date`` is ISO-8601 (``yyyy-MM-ddTHH:mm:ss``) of ``processing_ts``;
+    ``extra`` holds values or columns. NULL entries are left out.
     """
-    ts = processing_ts if processing_ts is not None else F.current_timestamp()
-    entries = [("method", F.lit(S.ASSESSMENT_METHOD)), ("data_source", F.lit(S.ASSESSMENT_SOURCE)),
-               ("processing_date", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))]
-    entries += [(k, v if isinstance(v, Column) else F.lit(v)) for k, v in (extra or {}).items()]
+    entries = [(k, v if isinstance(v, Column) else F.lit(v)) for k, v in (extra or {}).items()]
+    if processing_ts is not None:
+        entries.append(("processing_date", F.date_format(processing_ts, "yyyy-MM-dd'T'HH:mm:ss")))
+    if not entries:
+        return F.lit(None).cast("string")
     m = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in entries]),
                           F.array(*[v.cast("string") for _, v in entries]))
     m = F.map_filter(m, lambda k, v: v.isNotNull())
@@ -94,10 +96,24 @@ def create_tables(spark: SparkSession, location: str) -> None:
                   f"LOCATION '{location.rstrip('/')}/{name}'")
 
 
+def stored_ids(spark: SparkSession, path: str) -> DataFrame | None:
+    """Ids in the table at ``path``; None if there is no table yet. Any other failure to read it is raised."""
+    try:
+        return spark.read.parquet(path).select("id")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def append_assessments(df: DataFrame, path: str, key_cols=("assessment_date", "geom_wkt"),
-                       skip_existing: bool = True) -> DataFrame:
+                       skip_existing: bool = True, run_key: str | None = None) -> DataFrame:
     """Append assessment records, ids from the natural key; returns the ids.
 
+    ``run_key`` names the run or scene and is part of the id: a second
+    assessment of the same area and day under another run key is a record of
+    its own. Records of one batch with the same id are written once.
+
     With ``skip_existing`` (default) records whose id is already stored are
     not written again, so re-running a job (after a failure, or twice by
     mistake) leaves the table unchanged: the anti-join reads only the stored
@@ -105,12 +121,11 @@ def append_assessments(df: DataFrame, path: str, key_cols=("assessment_date", "g
     """
     out = df
     if "id" not in out.columns:
-        out = out.withColumn("id", assessment_ids(list(key_cols)))
+        keyed = out if run_key is None else out.withColumn("_run", F.lit(run_key))
+        out = keyed.withColumn("id", assessment_ids([*key_cols, *(["_run"] if run_key is not None else [])])).drop("_run")
+    out = out.dropDuplicates(["id"])
     if skip_existing:
-        try:
-            stored = df.sparkSession.read.parquet(path).select("id")
-        except Exception:  # no table yet
-            stored = None
+        stored = stored_ids(df.sparkSession, path)
         if stored is not None:
             out = out.join(stored, "id", "left_anti")
             # Pin the rows to write (reliable checkpoint in the shared folder):

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -58,17 +59,6 @@ def test_long_wide_roundtrip_and_alignment(spark):
     assert B.alignment_report(broken, ["px_row", "px_col"]).count() == 1
 
 
-def test_synthetic_scene_is_deterministic_and_in_range(spark):
-    from emberspark.sources.synthetic import synthetic_bands
-    coords = spark.range(0, 400).select(F.floor(F.col("id") / 20).alias("px_row"), (F.col("id") % 20).alias("px_col"))
-    a = synthetic_bands(coords, 20, 20)
-    b = synthetic_bands(coords.repartition(7), 20, 20)
-    assert sorted(a.collect()) == sorted(b.collect())
-    agg = a.agg(*[F.min(c).alias(c + "_lo") for c in ("b04", "b08", "b11", "b12")],
-                *[F.max(c).alias(c + "_hi") for c in ("b04", "b08", "b11", "b12")]).first()
-    assert all(100.0 <= v <= 8000.0 for v in agg)
-
-
 def test_index_table_and_risk_map_sinks(spark, tmp_out):
     scored = CAT.masked_scored(spark, SF_SMALL)
     K.write_index_table(scored, tmp_out + "/idx", ["ndvi", "ndmi", "nbr"])
@@ -103,9 +93,24 @@ def test_assessment_append_ids_are_idempotent(spark, tmp_out):
 
 def test_metadata_json_null_when_empty(spark):
     df = spark.range(1)
-    m = df.select(K.metadata_json(F.lit("2024-01-05 00:00:00").cast("timestamp")).alias("m")).first().m
-    assert m == ('{"method":"synthetic_demo","data_source":"simulated_sentinel2",'
-                 '"processing_date":"2024-01-05T00:00:00"}')
+    ts = F.lit("2024-01-05 00:00:00").cast("timestamp")
+    m = df.select(K.metadata_json(ts, {"scene": "a", "none": F.lit(None)}).alias("m"), K.metadata_json().alias("n"),
+                  K.metadata_json(None, {"none": F.lit(None)}).alias("o")).first()
+    assert m.m == '{"scene":"a","processing_date":"2024-01-05T00:00:00"}' and m.n is None and m.o is None
+
+
+def test_append_by_run_and_duplicates_in_a_batch(spark, tmp_out):
+    from emberspark.sources import fixtures as FX
+    a = FX.assessments(spark, SF_SMALL).drop("id").orderBy("assessment_date", "geom_wkt").limit(3)
+    path = tmp_out + "/runs"
+    assert K.append_assessments(a.unionAll(a), path, run_key="one").count() == 3
+    assert K.append_assessments(a, path, run_key="two").count() == 3     # same area and day, another run
+    assert K.append_assessments(a, path, run_key="two").count() == 0
+    assert spark.read.parquet(path).count() == 6
+    with open(tmp_out + "/broken.parquet", "wb") as f:                   # a damaged table is not "no table"
+        f.write(b"not parquet")
+    with pytest.raises(Exception):
+        K.append_assessments(a, tmp_out + "/broken.parquet")
 
 
 def test_series_json_sink(spark, tmp_out):
@@ -116,17 +121,6 @@ def test_series_json_sink(spark, tmp_out):
     assert list(back.dates) == sorted(back.dates)
 
 
-def test_sample_rows_as_goldens(spark):
-    from emberspark.operators import spatial as SP
-    from emberspark.sources import fixtures as FX
-    s = FX.sample_assessments(spark)
-    assert [r.id for r in SP.bbox_filter(s, (150.15, -33.85, 150.18, -33.82)).collect()] == [1]
-    # touching edge at x = 150.2 counts
-    assert sorted(r.id for r in SP.bbox_filter(s, (150.2, -33.9, 150.3, -33.8)).collect()) == [1, 2]
-    assert [r.id for r in SP.score_at_least(s, 60.0).collect()] == [1]
-    b = FX.boundaries(spark, SF_SMALL)
-    j = SP.spatial_left_join(s, b, "id", "boundary_id", ["nm"]).collect()
-    assert {r.id for r in j} == {1, 2} and all(r.nm is not None for r in j)
 
 
 def test_tables_and_pixel_results_sink(spark, tmp_out):
