@@ -92,6 +92,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named and sc is not None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if sc is not None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="emberspark-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(named)

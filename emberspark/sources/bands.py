@@ -29,9 +29,15 @@ def long_to_wide(long: DataFrame, keys: list[str], labels=BAND_LABELS) -> DataFr
     """
     # Conditional aggregation = pivot with a fixed value list, without the
     # pivot-first rewrite; partial aggregation combines map-side.
-    return long.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("band") == F.lit(lbl), F.col("value"))).alias(S.BAND_NAMES[lbl])
-        for lbl in labels])
+    return long.groupBy(*keys).agg(*[one_value(lbl).alias(S.BAND_NAMES[lbl]) for lbl in labels])
+
+
+def one_value(label: str):
+    """The value of a band within a pixel; an error if the pixel has several
+    (two tiles or files under one key), rather than a choice among them."""
+    here = F.col("band") == F.lit(label)
+    several = F.raise_error(F.lit(f"several values of band {label} for one pixel key")).cast("double")
+    return F.when(F.count_if(here) > 1, several).otherwise(F.max(F.when(here, F.col("value"))))
 
 
 def alignment_report(long: DataFrame, keys: list[str], labels=BAND_LABELS) -> DataFrame:
@@ -87,7 +93,5 @@ def load_band_files(spark, band_paths: dict, keys=("px_row", "px_col"), reader:
         parts.append(df.withColumn("band", F.lit(label.upper())))
     long = reduce(lambda a, b: a.unionByName(b), parts)
     labels = [lbl.upper() for lbl in band_paths]
-    wide = long.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("band") == F.lit(lbl), F.col("value"))).alias(S.BAND_NAMES.get(lbl, lbl.lower()))
-        for lbl in labels])
+    wide = long.groupBy(*keys).agg(*[one_value(lbl).alias(S.BAND_NAMES.get(lbl, lbl.lower())) for lbl in labels])
     return wide

@@ -2,9 +2,7 @@
 
 Every per-pixel operator (ingest rule, cloud mask, indices, the three score
 models, classes) is a stateless projection, so the very same functions apply
-to a ``readStream`` DataFrame. The per-date series is the one stateful step:
-a watermark on the scene timestamp bounds its state, and the aggregate
-emits each date once the watermark passes it (append mode).
+to a ``readStream`` DataFrame. Series are computed from what it has written.
 
 Sinks write Parquet with a checkpoint location in the shared checkpoint
 folder, so a restarted query (or lost executors) resumes exactly once.
@@ -13,7 +11,6 @@ folder, so a restarted query (or lost executors) resumes exactly once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
@@ -40,19 +37,6 @@ def score_stream(pixels: DataFrame, model: str = "calibrated", cloud_mask: bool
     return SCO.score_pixels(px, model=model, weights=weights)
 
 
-def series_stream(scored: DataFrame, date: str = "scene_date", watermark: str = "31 days",
-                  threshold: float = S.SERIES_HIGH_RISK) -> DataFrame:
-    """Per-date mean/max/% above threshold with a watermark on the date."""
-    ts = F.col(date).cast("timestamp")
-    return (scored.withColumn("_scene_ts", ts)
-                  .withWatermark("_scene_ts", watermark)
-                  .groupBy(F.window("_scene_ts", "1 day").alias("w"))
-                  .agg(F.avg("risk_score").alias("mean_risk"), F.max("risk_score").alias("max_risk"),
-                       (F.count_if(F.col("risk_score") > F.lit(threshold)) / F.count(F.lit(1)) * F.lit(100.0))
-                       .alias("high_risk_area"))
-                  .select(F.to_date(F.col("w.start")).alias(date), "mean_risk", "max_risk", "high_risk_area"))
-
-
 def start(df: DataFrame, sink_dir: str, name: str, checkpoint: str | None = None,
           partition_by: list[str] | None = None, available_now: bool = True,
           output_mode: str = "append") -> StreamingQuery:

@@ -221,3 +221,10 @@ def test_palette_as_data_equals_rule(spark):
     direct = g.select("px_row", "px_col", rule["r"].alias("r"), rule["g"].alias("g"), rule["b"].alias("b"),
                       F.when(F.col("bucket").isNull(), 0).otherwise(255).alias("a"))
     assert sorted(joined.collect()) == sorted(direct.collect())
+
+
+def test_several_values_of_a_band_raise(spark):
+    long = spark.createDataFrame([(0, 0, "B04", 1.0), (0, 0, "B04", 2.0), (0, 1, "B04", 1.0)],
+                                 "px_row int, px_col int, band string, value double")
+    with pytest.raises(Exception, match="several values"):
+        B.long_to_wide(long, ["px_row", "px_col"]).collect()

@@ -17,15 +17,3 @@ def test_stream_scoring_equals_batch(spark, tmp_out):
                                                      "risk_score", "risk_category")
     assert got.count() == batch.count()
     assert got.select(*batch.columns).exceptAll(batch).count() == 0
-
-
-def test_stream_series_with_watermark(spark, tmp_out):
-    src = tmp_out + "/incoming2"
-    CAT.pixels(spark, SF_SMALL).write.parquet(src)
-    scored = STR.score_stream(STR.pixel_stream(spark, src), model="fast", cloud_mask=False)
-    q = STR.start(STR.series_stream(scored), tmp_out + "/series", "series_test", checkpoint=tmp_out + "/ckpt2")
-    q.awaitTermination(120)
-    out = spark.read.parquet(tmp_out + "/series")
-    # all but the dates still inside the watermark delay are emitted
-    n_dates = CAT.pixels(spark, SF_SMALL).select("scene_date").distinct().count()
-    assert 0 < out.count() <= n_dates
