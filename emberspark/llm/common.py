@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,20 @@ def add_columns(batch: pa.RecordBatch, values: list[pa.Array], names: list[str])
     return pa.RecordBatch.from_arrays([*(c for _, c in own), *values], names=[*(n for n, _ in own), *names])
 
 
+def small(batches, column: str = TEXT, size: int = 4 << 20):
+    """The batches cut into runs of rows with about ``size`` bytes of text (a longer text alone)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def crc32_text(col: str):
     """Unsigned CRC-32 of a column's value written as text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

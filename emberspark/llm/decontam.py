@@ -16,7 +16,6 @@ documents are kept, those named like the added ones replaced.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import TEXT, add_columns, table, utf8, with_bytes
+from emberspark.llm.common import TEXT, add_columns, small, table, utf8, with_bytes
 
 WINDOW = 10
 SLICE_BYTES = 32 << 20
@@ -113,7 +112,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text:
     def run(batches):
         # automata are built one slice at a time; a batch is scanned against each
         one = build_automaton(autos[0].value) if len(autos) == 1 else None
-        for b in batches:
+        for b in small(batches):
             texts = b.column(TEXT).to_pylist()
             words = [t.translate(NORMAL).split() for t in texts]
             hits = [np.zeros(len(w), bool) for w in words]

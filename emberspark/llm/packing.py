@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import cut, table, utf8
+from emberspark.llm.common import cut, small, table, utf8
 
 LENGTH = 2048
 GROUP = 8192
@@ -179,7 +179,7 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
 
     def run(batches):
         encode = Encoder(*files)
-        for b in batches:
+        for b in small(batches, "text"):
             row, piece, start, size, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 raw = encode(text)

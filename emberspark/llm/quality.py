@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import TEXT, add_columns, held_out, table, with_bytes
+from emberspark.llm.common import TEXT, add_columns, held_out, small, table, with_bytes
 from emberspark.llm.labelled import labelled_sample
 
 PER_CLASS = 2000
@@ -185,7 +185,7 @@ def score_quality(docs: DataFrame, model: dict, text: str = "text", keep: list[s
     frame, schema = with_bytes(docs, text, keep, "quality_score double")
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             scores = score_texts(b.column(TEXT).to_pylist(), shared.value)
             yield add_columns(b, [pa.array(scores, pa.float64())], ["quality_score"])
 

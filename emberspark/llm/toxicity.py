@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import TEXT, add_columns, held_out, table, with_bytes
+from emberspark.llm.common import TEXT, add_columns, held_out, small, table, with_bytes
 from emberspark.llm.labelled import labelled_sample
 
 PER_CLASS = 4000
@@ -161,7 +161,7 @@ def score_toxicity(docs: DataFrame, model: dict, text: str = "text", least: floa
 
     def run(batches):
         model, memo = shared.value, {}
-        for b in batches:
+        for b in small(batches):
             texts = b.column(TEXT).to_pylist()
             scores, parts = score_texts(texts, model, memo)
             found = pa.array([locate(t, p, least) for t, p in zip(texts, parts)],
