@@ -17,8 +17,8 @@ documents of different classes are compared, in blocks.
 
 Comparing estimates the similarity from one byte a minwise hash and keeps pairs well below
 the threshold too; what is kept is confirmed on full shingle sets of the texts: first each
-document against the closest smaller partner in a spanning forest of each block, then all
-pairs that still join two classes.  Equal sets are one node of the graph from the start,
+document against the closest smaller partner in a spanning forest of each block, then the
+classes of each block by a forest among them, then all pairs that still join two classes.  Equal sets are one node of the graph from the start,
 whatever their number.
 
 Defined cases: documents without words (or null text) have no shingles and are alone;
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import cut, gathered, table, utf8
+from emberspark.llm.common import cut, gathered, small, table, utf8
 from emberspark.llm.components import components
 from emberspark.llm.shingles import minhash, mix, shingle_set
 
@@ -62,7 +62,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, n_shingles, key, sig``: the set's size, a 128-bit digest of it, and its minwise hashes."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, "text"):
             n, key, sig = [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, k)
@@ -170,10 +170,10 @@ def _forest(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
 
 
-def _compare(nodes: DataFrame, reps: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def _compare(nodes: DataFrame, reps: DataFrame, labels: DataFrame | None = None, every: bool = False) -> DataFrame:
     """``a, b, alike`` of pairs in each (node, block) that may be links; ``nodes`` has ``node, block, rep``.
 
-    Without labels, a spanning forest of each block; with them, all pairs of different classes.
+    A spanning forest of each block, of its classes where labels are given; or every pair of different classes.
     """
     rows = nodes.join(reps.select("rep", "bytes"), "rep")
     if labels is not None:
@@ -183,7 +183,6 @@ def _compare(nodes: DataFrame, reps: DataFrame, labels: DataFrame | None = None)
         rows = rows.join(mixed, ["node", "block"])
     else:
         rows = rows.withColumn("component", F.col("rep"))
-    every = labels is not None
 
     def run(batches):
         for t in _runs(batches, ["node", "block"]):
@@ -195,7 +194,10 @@ def _compare(nodes: DataFrame, reps: DataFrame, labels: DataFrame | None = None)
             if every:
                 i, j = np.nonzero((alike >= ALIKE) & (label[:, None] < label[None, :]))
             else:
+                alike[label[:, None] == label[None, :]] = SIZE + 1
                 i, j = _forest(alike)
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
             if len(i):
                 yield _pairs(rep[i], rep[j], alike[i, j])
 
@@ -308,6 +310,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, doc_id:
                  .select((-F.col("x.a")).alias("a"), "b"))
     links = cut(_confirm(tested, docs, k, percent).unionByName(given))
     labels = cut(components(links))
+    # then the classes against each other, by the closest pairs of each block
+    rest = cut(_compare(blocks, reps, labels).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        links = cut(links.unionByName(_confirm(rest, docs, k, percent)))
+        labels = cut(components(links))
+        tested = tested.unionByName(rest)
 
     # large nodes of several classes branch on
     small, large = [blocks], members.where(F.col("size") > SMALL)
@@ -321,7 +329,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, doc_id:
     nodes = small[0]
     for more in small[1:]:
         nodes = nodes.unionByName(more)
-    rest = cut(_compare(nodes, reps, labels).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    rest = cut(_compare(nodes, reps, labels, every=True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         links = cut(links.unionByName(_confirm(rest, docs, k, percent)))
         labels = cut(components(links))
