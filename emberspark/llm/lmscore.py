@@ -27,7 +27,6 @@ rows are scored alike; other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -47,10 +46,10 @@ SLOTS = FIRST[-1]
 TABLE_BYTES = 2 * SLOTS
 #: The weights' sample: so many training documents of at most so many bytes.
 SAMPLE, SAMPLE_BYTES = 600, 1 << 16
-FREQUENT = 300_000
-BATCH = 2 << 20  # bytes predicted together
-COUNTED = 4 << 20  # bytes counted together
-CACHE_BITS = 20  # predictions that a task keeps
+FREQUENT = 1_000_000
+BATCH = 1 << 20  # bytes predicted together
+COUNTED = 8 << 20  # bytes counted together
+CACHE_BITS = 21  # predictions that a task keeps
 CHUNK = 1 << 14  # predictions held in the processor's cache
 BLOCK = 32  # bytes between two updates of the mixtures' weights
 SHARE = 0.02
@@ -65,11 +64,12 @@ def normal(text: bytes) -> bytes:
 
 
 def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The seven bytes that end at each byte of each text as one number, and the texts' lengths."""
+    """What the prediction of each byte rests on, and the texts' lengths: the six bytes before it, the
+    latest on top, then the byte itself.  Sorted, neighbours share their shorter contexts."""
     raw = np.frombuffer(b"".join(bytes(HEAD) + t for t in texts), np.uint8)
     n = np.array([len(t) for t in texts], np.int64)
     key = np.zeros(len(raw) - HEAD, np.uint64)
-    for j in range(HEAD + 1):
+    for j in (*range(HEAD - 1, -1, -1), HEAD):
         key <<= np.uint64(8)
         key |= raw[j:len(raw) - HEAD + j]
     own = np.ones(len(key), bool)  # windows that end in the zeros before a text are not a text's bytes
@@ -80,8 +80,7 @@ def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(key: np.ndarray) -> list[np.ndarray]:
     """A hash of each context, below its number of slots."""
-    before = key >> np.uint64(8)
-    return [((((before & np.uint64((1 << 8 * o) - 1)) + np.uint64(o)) * np.uint64(0x9E3779B97F4A7C15))
+    return [((((key >> np.uint64(8 * (HEAD + 1 - o))) + np.uint64(o)) * np.uint64(0x9E3779B97F4A7C15))
              >> np.uint64(64 - bits)).astype(np.int32) for o, bits in zip(ORDERS, SLOT_BITS)]
 
 
@@ -105,7 +104,8 @@ def count_bits(key: np.ndarray, times: np.ndarray, counts: np.ndarray) -> None:
     From the longest context to the shortest, strings that differ only before it are added up first.
     """
     for o in range(len(ORDERS) - 1, -1, -1):
-        short = key & np.uint64((1 << 8 * (ORDERS[o] + 1)) - 1)
+        rest = np.uint64((1 << 8 * (HEAD + 1 - ORDERS[o])) - 256)  # the bytes beyond this context
+        short = key & ~rest
         key, back = np.unique(short, return_inverse=True)
         times = np.bincount(back, times).astype(np.uint32)
         for at in range(0, len(key), CHUNK):
@@ -164,52 +164,48 @@ def learn(texts: list[bytes], counts: np.ndarray, weights: list[np.ndarray], rat
 
 def predict(key: np.ndarray, tab: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
     """Natural log of the probability of the byte of each key under each set of weights."""
-    out = np.zeros((len(GATES), len(key)), np.float32)
+    out = np.empty((len(GATES), len(key)), np.float32)
     for at in range(0, len(key), CHUNK):
         k = key[at:at + CHUNK]
         context, byte, node = contexts(k), (k & np.uint64(255)).astype(np.int32), np.ones(len(k), np.int32)
+        cost = np.ones((len(GATES), len(k)))  # one over the probability
         for i in range(7, -1, -1):
             bit = (byte >> i) & 1
             sign = ((1 - 2 * bit) * np.float32(1 / 256)).astype(np.float32)  # log(1 + e^z) is the cost in nats
-            values = [tab.take(s) for s in slots(context, node)]
+            values = [tab.take(s, mode="clip") for s in slots(context, node)]
             x = [(v >> 2) * sign for v in values]
             for j, (w, g) in enumerate(zip(weights, gates(values, node, 7 - i))):
-                z = w[0].take(g)
+                g = g.astype(np.intp)
+                z = w[0].take(g, mode="clip")
                 z *= x[0]
                 for o in range(1, len(x)):
-                    z += w[o].take(g) * x[o]
-                out[j, at:at + CHUNK] -= np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+                    z += w[o].take(g, mode="clip") * x[o]
+                cost[j] *= 1 + np.exp(np.minimum(z, 80, out=z), out=z)
             node = 2 * node + bit
+        out[:, at:at + CHUNK] = -np.log(cost)
     return out
 
 
 def new_cache() -> tuple[np.ndarray, np.ndarray]:
-    """Keys (none yet) and their predictions, at a place that a hash of the key gives."""
-    return np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max, np.uint64), np.zeros((len(GATES), 1 << CACHE_BITS), np.float32)
+    """Keys (none yet) and their predictions, two 32-bit numbers as one, at a place that a hash of the key gives."""
+    return np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << CACHE_BITS, np.uint64)
+
+
+def cache_place(key: np.ndarray) -> np.ndarray:
+    return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - CACHE_BITS)).astype(np.intp)
 
 
 def predict_all(key: np.ndarray, tab: np.ndarray, weights: list[np.ndarray], cache: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """:func:`predict`, each distinct key once (up to hash collisions, which are predicted apart)."""
-    bits = max(10, int(len(key)).bit_length())
-    mixed = key * np.uint64(0xD6E8FEB86659FD93)
-    place = (mixed >> np.uint64(64 - bits)).astype(np.int32)
-    last = np.zeros(1 << bits, np.int32)
-    last[place] = np.arange(len(key), dtype=np.int32)
-    same = last.take(place)
-    alone = np.flatnonzero(key.take(same) != key)
-    same[alone] = alone
-    chosen = np.zeros(len(key), bool)
-    chosen[same] = True
-    at = np.flatnonzero(chosen)
-    rank = np.empty(len(key), np.int32)
-    rank[at] = np.arange(len(at), dtype=np.int32)
-    own, kept = key[at], (mixed[at] >> np.uint64(64 - CACHE_BITS)).astype(np.int32)
-    new = np.flatnonzero(cache[0].take(kept) != own)
-    values = cache[1].take(kept, axis=1)
-    values[:, new] = predict(own[new], tab, weights)
-    cache[0][kept[new]] = own[new]
-    cache[1][:, kept[new]] = values[:, new]
-    return values.take(rank.take(same), axis=1)
+    """:func:`predict`; a key that the cache knows, or that comes again, is not predicted anew."""
+    place = cache_place(key)
+    values = cache[1].take(place)
+    new = np.flatnonzero(cache[0].take(place) != key)
+    distinct, back = np.unique(key[new], return_inverse=True)
+    found = np.ascontiguousarray(predict(distinct, tab, weights).T).view(np.uint64).ravel()
+    values[new] = found[back]
+    place = cache_place(distinct)
+    cache[0][place], cache[1][place] = distinct, found
+    return np.ascontiguousarray(values.view(np.float32).reshape(-1, len(GATES)).T)
 
 
 def combine(values: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -269,27 +265,27 @@ def gather_counts(texts: DataFrame) -> np.ndarray:
         for r in range(SLOTS // RANGE):
             part = counts[2 * RANGE * r:2 * RANGE * (r + 1)]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)])],
                                                  names=["range", "counts"])
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for r, blob in zip(b.column("range").to_pylist(), b.column("counts").to_pylist()):
-                part = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)
+                part = np.frombuffer(pa.decompress(blob, 8 * RANGE, "zstd", asbytes=True), np.uint32).astype(np.uint64)
                 total[r] = total[r] + part if r in total else part
         for r, part in total.items():
             pair = part.reshape(-1, 2)
             scale = np.maximum(1, (pair.max(axis=1) + np.uint64(65534)) // np.uint64(65535))
             small = (pair // scale[:, None]).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([zlib.compress(small.tobytes(), 1)])],
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pa.compress(small.tobytes(), codec="zstd", asbytes=True)])],
                                              names=["range", "counts"])
 
     schema = "range int, counts binary"
     merged = texts.mapInArrow(count, schema).repartition("range").mapInArrow(merge, schema)
     out = np.zeros(2 * SLOTS, np.uint16)
     for row in merged.collect():  # tables of a fixed size
-        out[2 * RANGE * row.range:2 * RANGE * (row.range + 1)] = np.frombuffer(zlib.decompress(row.counts), np.uint16)
+        out[2 * RANGE * row.range:2 * RANGE * (row.range + 1)] = np.frombuffer(pa.decompress(row.counts, 4 * RANGE, "zstd", asbytes=True), np.uint16)
     return out
 
 
@@ -307,7 +303,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
             for t in b.column("text").to_pylist():
                 held.update(t.translate(LOWER).split())
                 held[b""] += 1
-                if len(held) > 300_000:
+                if len(held) > 800_000:
                     yield flush()
                     held.clear()
         yield flush()
