@@ -2,18 +2,26 @@
 
 The text that is scored is its words (A-Z as a-z) with single blanks between them and an
 end mark.  It is coded bit by bit.  For each bit, predictors for five contexts - the last 2 to 6 bytes -
-give log-odds from the counts of zeros and ones seen after that (hashed) context in all
+give log-odds from the counts of zeros and ones seen after that context in all
 training documents.  Two sets of weights, each chosen by its own gate - how
 often the longer contexts have been seen, and the bits already known of this byte - combine
-them in the logistic domain.  Weights are learned online by gradient steps.  While a
+them in the logistic domain.  While a
 document is scored, the mixtures are themselves weighted by how well they have done so far
 in it, with a share for switching, block by block.
 
-As a Spark job: counts are added up in tables of a fixed number of slots, one range of
-slots at a time, from every training document; the tables are broadcast (``TABLE_BYTES``
-at most).  Weights are learned on a bounded sample of training documents whose own counts
-are subtracted first.  Scoring is one pass; within a batch each distinct string of seven
-bytes is predicted once.
+As a Spark job: each run of texts names its distinct strings of seven bytes (six of context and
+the byte), with their counts by fold.  They are dealt by the last three bytes of the context,
+so that all contexts of three to six bytes lie whole in one part, and are counted there exactly,
+without hashing; the counts of two-byte contexts (at most 2^24, whatever the corpus) are added
+up over all parts.  What is counted and written so grows with the corpus, and no task holds
+more than a part.  Weights are learned from all training documents, whatever their length:
+in ``ROUNDS`` rounds each part adds up the gradient and the curvature of its strings' cost by
+gate, with the counts of the string's own fold left out, and one Newton step is taken.  Then
+each distinct string is predicted once, in its part, and the runs of texts get the predictions
+of their strings (as half-precision numbers) back.
+
+Texts of one process can also be scored with hashed counts (``count_bits``, ``learn``,
+``score_texts``): the same model with a fixed number of slots; the query does not use it.
 
 Beside it stands the unigram base score: token counts of the whole training corpus, where
 tokens with a share of at least 1 / ``FREQUENT`` (so at most that many) are broadcast and
@@ -34,21 +42,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import LOWER, cut, held_out, table, utf8
+from emberspark.llm.common import LOWER, cut, held_out, small, table, utf8
 
 FOLD = 10
 #: Contexts: the last 2 to 6 bytes.
 ORDERS = (2, 3, 4, 5, 6)
 SLOT_BITS = (18, 20, 21, 23, 23)
-RANGE = 1 << 14
 FIRST = tuple(int(x) for x in np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])]))
 SLOTS = FIRST[-1]
-TABLE_BYTES = 2 * SLOTS
-#: The weights' sample: so many training documents of at most so many bytes.
-SAMPLE, SAMPLE_BYTES = 600, 1 << 16
+#: Folds of the training documents for the weights, and the mark of texts that are not trained on.
+FOLDS, ASIDE = 4, 15
+ROUNDS = 5
+#: Bytes of text for each part of the contexts.
+PART_BYTES = 4 << 20
+START = 0.35  # all weights before learning
+PAIRS = [(a, b) for a in range(len(ORDERS)) for b in range(a, len(ORDERS))]
 FREQUENT = 1_000_000
 BATCH = 1 << 20  # bytes predicted together
-COUNTED = 8 << 20  # bytes counted together
+COUNTED = 4 << 20  # bytes counted, and scored, together
 CACHE_BITS = 21  # predictions that a task keeps
 CHUNK = 1 << 14  # predictions held in the processor's cache
 BLOCK = 32  # bytes between two updates of the mixtures' weights
@@ -132,7 +143,7 @@ def gates(values: list[np.ndarray], node: np.ndarray, bit: int) -> list[np.ndarr
 
 
 def new_weights() -> list[np.ndarray]:
-    return [np.full((len(ORDERS), g), 0.35, np.float32) for g in GATES]
+    return [np.full((len(ORDERS), g), START, np.float32) for g in GATES]
 
 
 def learn(texts: list[bytes], counts: np.ndarray, weights: list[np.ndarray], rate: float = 0.003, part: int = 1024) -> list[np.ndarray]:
@@ -162,6 +173,19 @@ def learn(texts: list[bytes], counts: np.ndarray, weights: list[np.ndarray], rat
     return weights
 
 
+def add_bit(cost: np.ndarray, values: list[np.ndarray], bit: np.ndarray, node: np.ndarray, number: int, weights: list[np.ndarray]) -> None:
+    """Multiply ``cost`` by one over the probability of the bit under each set of weights."""
+    sign = ((1 - 2 * bit) * np.float32(1 / 256)).astype(np.float32)  # log(1 + e^z) is the cost in nats
+    x = [(v >> 2) * sign for v in values]
+    for j, (w, g) in enumerate(zip(weights, gates(values, node, number))):
+        g = g.astype(np.intp)
+        z = w[0].take(g, mode="clip")
+        z *= x[0]
+        for o in range(1, len(x)):
+            z += w[o].take(g, mode="clip") * x[o]
+        cost[j] *= 1 + np.exp(np.minimum(z, 80, out=z), out=z)
+
+
 def predict(key: np.ndarray, tab: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
     """Natural log of the probability of the byte of each key under each set of weights."""
     out = np.empty((len(GATES), len(key)), np.float32)
@@ -171,16 +195,7 @@ def predict(key: np.ndarray, tab: np.ndarray, weights: list[np.ndarray]) -> np.n
         cost = np.ones((len(GATES), len(k)))  # one over the probability
         for i in range(7, -1, -1):
             bit = (byte >> i) & 1
-            sign = ((1 - 2 * bit) * np.float32(1 / 256)).astype(np.float32)  # log(1 + e^z) is the cost in nats
-            values = [tab.take(s, mode="clip") for s in slots(context, node)]
-            x = [(v >> 2) * sign for v in values]
-            for j, (w, g) in enumerate(zip(weights, gates(values, node, 7 - i))):
-                g = g.astype(np.intp)
-                z = w[0].take(g, mode="clip")
-                z *= x[0]
-                for o in range(1, len(x)):
-                    z += w[o].take(g, mode="clip") * x[o]
-                cost[j] *= 1 + np.exp(np.minimum(z, 80, out=z), out=z)
+            add_bit(cost, [tab.take(s, mode="clip") for s in slots(context, node)], bit, node, 7 - i, weights)
             node = 2 * node + bit
         out[:, at:at + CHUNK] = -np.log(cost)
     return out
@@ -253,42 +268,272 @@ def score_texts(texts: list[bytes], tab: np.ndarray, weights: list[np.ndarray],
     return out
 
 
-def gather_counts(texts: DataFrame) -> np.ndarray:
-    """Counts (zeros and ones side by side) of all slots over all rows of ``texts``."""
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, all first bytes before all second ones."""
+    planes = values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
-    def count(batches):
-        counts = np.zeros(2 * SLOTS, np.uint32)
-        for b in batches:
-            own = [normal(t) for t in b.column("text").to_pylist()]
-            for at, to in batches_of(own, COUNTED):
-                count_bits(*np.unique(keys_of(own[at:to])[0], return_counts=True), counts)
-        for r in range(SLOTS // RANGE):
-            part = counts[2 * RANGE * r:2 * RANGE * (r + 1)]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)])],
-                                                 names=["range", "counts"])
-
-    def merge(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for r, blob in zip(b.column("range").to_pylist(), b.column("counts").to_pylist()):
-                part = np.frombuffer(pa.decompress(blob, 8 * RANGE, "zstd", asbytes=True), np.uint32).astype(np.uint64)
-                total[r] = total[r] + part if r in total else part
-        for r, part in total.items():
-            pair = part.reshape(-1, 2)
-            scale = np.maximum(1, (pair.max(axis=1) + np.uint64(65534)) // np.uint64(65535))
-            small = (pair // scale[:, None]).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pa.compress(small.tobytes(), codec="zstd", asbytes=True)])],
-                                             names=["range", "counts"])
-
-    schema = "range int, counts binary"
-    merged = texts.mapInArrow(count, schema).repartition("range").mapInArrow(merge, schema)
-    out = np.zeros(2 * SLOTS, np.uint16)
-    for row in merged.collect():  # tables of a fixed size
-        out[2 * RANGE * row.range:2 * RANGE * (row.range + 1)] = np.frombuffer(pa.decompress(row.counts, 4 * RANGE, "zstd", asbytes=True), np.uint16)
+
+def unpack(blob: bytes, kind) -> np.ndarray:
+    planes = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def pack_names(names: np.ndarray) -> bytes:
+    """Sorted numbers by their differences."""
+    return pack(np.diff(names, prepend=np.uint64(0)))
+
+
+def unpack_names(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a key: by the last three bytes of its context."""
+    return (((key >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+
+
+def by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts that hold any of the keys, the order that deals them out, and where each part begins."""
+    part = part_of(key, parts)
+    order = np.argsort(part, kind="stable")
+    names, first = np.unique(part[order], return_index=True)
+    return names, order, np.append(first, len(key))
+
+
+def added_up(names: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names, sorted, and the sums of their times."""
+    order = np.argsort(names, kind="stable")
+    names = names[order]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+    return names[first], np.add.reduceat(times[order], first) if len(names) else times
+
+
+def shortened(key: np.ndarray, o: int) -> np.ndarray:
+    """The key without the bytes beyond the context of ``o`` bytes."""
+    return key & ~np.uint64((1 << 8 * (HEAD + 1 - o)) - 256)
+
+
+def by_fold(names: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts in each fold; a name is a key and its fold's four bits."""
+    key, back = np.unique(names >> np.uint64(4), return_inverse=True)
+    fold = (names & np.uint64(15)).astype(np.int64)
+    counts = np.zeros((len(key), FOLDS), np.int64)
+    own = fold < FOLDS
+    counts[back[own], fold[own]] = times[own]
+    return key, counts
+
+
+class Counted:
+    """Exact counts of the contexts of sorted distinct keys; those of two bytes come from ``two`` (keys, counts by fold)."""
+
+    def __init__(self, key: np.ndarray, counts: np.ndarray, two: tuple[np.ndarray, np.ndarray]):
+        self.key, self.counts = key, counts
+        self.byte = (key & np.uint64(255)).astype(np.int32)
+        self.orders = []
+        for o in ORDERS:
+            short = shortened(key, o)
+            if o == ORDERS[0]:
+                self.orders.append((*two, np.searchsorted(two[0], short)))
+            else:
+                names, back = np.unique(short, return_inverse=True)
+                total = np.stack([np.bincount(back, counts[:, f], len(names)) for f in range(FOLDS)], axis=1)
+                self.orders.append((names, total.astype(np.int64), back))
+
+    def bits(self):
+        """For each bit: its number, its value, the bits before it, and for each order zeros and ones by place and fold, and the keys' places."""
+        node = np.ones(len(self.key), np.int32)
+        for k in range(8):
+            found = []
+            for names, counts, back in self.orders:
+                prefix = names >> np.uint64(8 - k)
+                new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+                first, place = np.flatnonzero(new), np.cumsum(new) - 1
+                ones = ((names >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+                n = np.add.reduceat(counts, first, axis=0)
+                n1 = np.add.reduceat(counts * ones[:, None], first, axis=0)
+                found.append((n - n1, n1, place[back]))
+            bit = (self.byte >> (7 - k)) & 1
+            yield k, bit, node, found
+            node = 2 * node + bit
+
+    def predict(self, weights: list[np.ndarray]) -> np.ndarray:
+        """Natural log of the probability of the byte of each key under each set of weights."""
+        cost = np.ones((len(GATES), len(self.key)))
+        for k, bit, node, found in self.bits():
+            add_bit(cost, [odds(n0.sum(axis=1), n1.sum(axis=1))[place] for n0, n1, place in found], bit, node, k, weights)
+        return -np.log(cost)
+
+    def slopes(self, weights: list[np.ndarray]) -> list[np.ndarray]:
+        """By gate: gradient and curvature of the log-probability of all training bytes, each without the counts of its fold."""
+        out = [np.zeros((g, len(ORDERS) + len(PAIRS))) for g in GATES]
+        own = [np.flatnonzero(self.counts[:, f]) for f in range(FOLDS)]
+        for k, bit, node, found in self.bits():
+            whole = [(n0.sum(axis=1), n1.sum(axis=1)) for n0, n1, _ in found]
+            for f, rows in enumerate(own):
+                if not len(rows):
+                    continue
+                values = [odds(a0 - n0[:, f], a1 - n1[:, f])[place[rows]] for (a0, a1), (n0, n1, place) in zip(whole, found)]
+                times, x = self.counts[rows, f], [(v >> 2).astype(np.float32) / 256 for v in values]
+                for total, w, g in zip(out, weights, gates(values, node[rows], k)):
+                    p = 0.5 * (1 + np.tanh(0.5 * sum(w[o][g] * x[o] for o in range(len(x)))))
+                    miss, bend = times * (bit[rows] - p), times * (p * (1 - p))
+                    for o, v in enumerate(x):
+                        total[:, o] += np.bincount(g, miss * v, len(total))
+                    for i, (a, b) in enumerate(PAIRS):
+                        total[:, len(x) + i] += np.bincount(g, bend * (x[a] * x[b]), len(total))
+        return out
+
+
+def newton(weights: list[np.ndarray], slopes: list[np.ndarray], hold: float = 1.0, most: float = 0.5) -> list[np.ndarray]:
+    """One step of each gate's weights; ``hold`` draws those with few bytes to the start, no weight moves by more than ``most``."""
+    out, n = [], len(ORDERS)
+    for w, s in zip(weights, slopes):
+        bend = np.zeros((len(s), n, n))
+        for i, (a, b) in enumerate(PAIRS):
+            bend[:, a, b] = bend[:, b, a] = s[:, n + i]
+        step = np.linalg.solve(bend + hold * np.eye(n), (s[:, :n] - hold * (w.T - START))[:, :, None])[:, :, 0]
+        out.append((w + np.clip(step, -most, most).T).astype(np.float32))
     return out
 
 
+def named(docs: DataFrame, parts: int) -> DataFrame:
+    """Runs of texts (``row, doc_id, text, fold``), written: ``batch, part, names, times``, and the run itself as ``texts`` of part -1."""
+
+    def run(batches):
+        for b in small(batches, "text", COUNTED):
+            key, n = keys_of([normal(t) for t in b.column("text").to_pylist()])
+            names = (key << np.uint64(4)) | np.repeat(b.column("fold").to_numpy(zero_copy_only=False).astype(np.uint64), n)
+            names, times = np.unique(names, return_counts=True)
+            own, order, first = by_part(names >> np.uint64(4), parts)
+            names, times = names[order], times[order].astype(np.uint32)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(b)
+            cuts = list(zip(first[:-1], first[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b.column("row")[0].as_py()] * (len(own) + 1), pa.int64()), pa.array([-1, *own.tolist()], pa.int32()),
+                 pa.array([None, *(pack_names(names[x:y]) for x, y in cuts)], pa.binary()),
+                 pa.array([None, *(pack(times[x:y]) for x, y in cuts)], pa.binary()),
+                 pa.array([sink.getvalue().to_pybytes()] + [None] * len(own), pa.binary())],
+                names=["batch", "part", "names", "times", "texts"])
+
+    return cut(docs.mapInArrow(run, "batch long, part int, names binary, times binary, texts binary"))
+
+
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Rows by part, in a fixed number of tasks: the blobs are small beside the work on them."""
+    return df.repartition(2 * parts, "part")
+
+
+def counted(runs: DataFrame, parts: int) -> DataFrame:
+    """``part, names, times`` of all runs together, one row a part, written."""
+
+    def merge(rows):
+        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+
+        def joined():
+            return added_up(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+
+        for x, y in zip(rows.column("names"), rows.column("times")):
+            held.append((unpack_names(x.as_py()), unpack(y.as_py(), np.uint32).astype(np.int64)))
+            size += len(held[-1][0])
+            if size > 4 << 20 and size > 2 * len(held[0][0]):
+                held = [joined()]
+                size = len(held[0][0])
+        names, times = joined()
+        return pa.table({"part": rows.column("part").slice(0, 1), "names": pa.array([pack_names(names)], pa.binary()),
+                         "times": pa.array([pack(times)], pa.binary())})
+
+    return cut(dealt(runs.where("part >= 0").select("part", "names", "times"), parts).groupBy("part").applyInArrow(
+        merge, "part int, names binary, times binary"))
+
+
+def opened(names: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return by_fold(unpack_names(names), unpack(times, np.int64))
+
+
+def short_counts(whole: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by fold of the two-byte contexts of all parts: at most 2^24, whatever the corpus."""
+
+    def shorten(batches):
+        for b in batches:
+            for x, y in zip(b.column("names"), b.column("times")):
+                names, times = unpack_names(x.as_py()), unpack(y.as_py(), np.int64)
+                fold = names & np.uint64(15)
+                names, times = added_up((shortened(names >> np.uint64(4), ORDERS[0]) << np.uint64(4)) | fold, times)
+                yield pa.RecordBatch.from_arrays([pa.array([pack_names(names)], pa.binary()), pa.array([pack(times)], pa.binary())],
+                                                 names=["names", "times"])
+
+    names, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for r in whole.select("names", "times").mapInArrow(shorten, "names binary, times binary").toLocalIterator():
+        names, times = added_up(np.concatenate([names, unpack_names(bytes(r.names))]), np.concatenate([times, unpack(bytes(r.times), np.int64)]))
+    return by_fold(names, times)
+
+
+def learn_all(whole: DataFrame, two: tuple[np.ndarray, np.ndarray], parts: int, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights from all training documents of :func:`counted`."""
+    weights = new_weights()
+    fixed = whole.sparkSession.sparkContext.broadcast(two)
+    columns = [f"s{i}" for i in range(len(ORDERS) + len(PAIRS))]
+    for _ in range(rounds):
+
+        def run(batches, weights=weights):
+            total = None
+            for b in batches:
+                for x, y in zip(b.column("names"), b.column("times")):
+                    own = Counted(*opened(x.as_py(), y.as_py()), fixed.value).slopes(weights)
+                    total = own if total is None else [t + o for t, o in zip(total, own)]
+            if total is not None:
+                total = np.concatenate(total)
+                rows = np.flatnonzero(total.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(total[rows, i]) for i in range(len(columns)))],
+                                                 names=["gate", *columns])
+
+        sums = dealt(whole, parts).select("names", "times").mapInArrow(run, "gate int, " + ", ".join(f"{c} double" for c in columns))
+        slopes = np.zeros((sum(GATES), len(columns)))
+        for r in sums.groupBy("gate").agg(*(F.sum(c).alias(c) for c in columns)).collect():  # one row a gate
+            slopes[r.gate] = r[1:]
+        weights = newton(weights, np.split(slopes, np.cumsum(GATES)[:-1]))
+    return weights
+
+
+def answers(runs: DataFrame, whole: DataFrame, two: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray],
+            parts: int) -> DataFrame:
+    """``batch, part, found``: the predictions of each run's keys, part by part in the order of the keys."""
+    model = runs.sparkSession.sparkContext.broadcast((two, weights))
+
+    def run(rows):
+        two, weights = model.value
+        batch, part = rows.column("batch").to_pylist(), rows.column("part").slice(0, 1)[0].as_py()
+        at = batch.index(None)
+        whole = Counted(*opened(rows.column("names")[at].as_py(), rows.column("times")[at].as_py()), two)
+        found = whole.predict(weights).astype(np.float16)
+        own = [i for i in range(len(batch)) if i != at]
+
+        def told(i):
+            key = np.unique(unpack_names(rows.column("names")[i].as_py()) >> np.uint64(4))
+            return pack(np.ascontiguousarray(found[:, np.searchsorted(whole.key, key)].T).view(np.uint32).ravel())
+
+        return pa.table({"batch": pa.array([batch[i] for i in own], pa.int64()), "part": pa.array([part] * len(own), pa.int32()),
+                         "found": pa.array([told(i) for i in own], pa.binary())})
+
+    asked = runs.where("part >= 0").select("batch", "part", "names", F.lit(None).cast("binary").alias("times"))
+    known = whole.select(F.lit(None).cast("long").alias("batch"), "part", "names", "times")
+    return dealt(asked.unionByName(known), parts).groupBy("part").applyInArrow(run, "batch long, part int, found binary")
+
+
+def told_scores(texts: list[bytes], found: dict[int, bytes], parts: int) -> np.ndarray:
+    """Natural log of the probability of each normal text of one run, from its keys' predictions."""
+    key, n = keys_of(texts)
+    distinct, back = np.unique(key, return_inverse=True)
+    names, order, _ = by_part(distinct, parts)
+    values = np.empty((len(distinct), len(GATES)), np.float32)
+    values[order] = np.concatenate([unpack(found[p], np.uint32).view(np.float16).reshape(-1, len(GATES)) for p in names.tolist()])
+    return combine(np.ascontiguousarray(values.T).take(back, axis=1), n)
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """``token, c`` of all rows of ``texts``; the end mark is the empty token."""
 
@@ -311,51 +556,40 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def train(docs: DataFrame, fold: int = FOLD) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Log-odds tables and weights from the documents (``doc_id, text``) outside the held-out fold."""
-    training = docs.where(~held_out("doc_id", fold))
-    counts = gather_counts(training.select("text"))
-    short = training.where(F.length("text") <= SAMPLE_BYTES)
-    ids = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    taken = short.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sample = sorted(normal(bytes(r.text)) for r in taken.collect())
-    np.random.default_rng(13).shuffle(sample)
-    weights = learn(sample, counts, new_weights())
-    tab = np.empty(SLOTS, np.int16)
-    for at in range(0, SLOTS, RANGE):
-        part = counts[2 * at:2 * (at + RANGE)].astype(np.float64)
-        tab[at:at + RANGE] = odds(part[0::2], part[1::2])
-    return tab, weights
+def train(docs: DataFrame, fold: int = FOLD) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray], list[np.ndarray], int]:
+    """Of ``row, doc_id, text``: the runs of texts, the counts outside the held-out fold, those of two bytes, the weights, the number of parts."""
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    runs = named(docs.withColumn("fold", F.when(held_out("doc_id", fold), ASIDE).otherwise(
+        F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))).cast("int")), parts)
+    whole = counted(runs, parts)
+    two = short_counts(whole)
+    return runs, whole, two, learn_all(whole, two, parts), parts
 
 
 def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = FOLD) -> DataFrame:
     """Scores of every document: the columns of :func:`op1_lm`, in natural units of log10, and ``bits_per_byte``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text"))
-    tab, weights = train(docs, fold)
-    model = spark.sparkContext.broadcast((tab, weights))
+    runs, whole, two, weights, parts = train(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), fold)
     vocabulary = cut(token_counts(docs.where(~held_out("doc_id", fold)).select("text")))
-    whole = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(whole.n), int(whole.v)
+    size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n, v = int(size.n), int(size.v)
     # at most FREQUENT tokens can have so large a share
     often = {bytes(r.token): math.log10(r.c + 0.1) for r in vocabulary.where(F.col("c") * FREQUENT >= max(n, 1)).collect()}
     common = spark.sparkContext.broadcast(often)
     base = math.log10(n + 0.1 * (v + 1))
 
-    def score(batches):
-        (tab, weights), often, cache = model.value, common.value, new_cache()
-        for b in batches:
-            texts = b.column("text")
-            at = 0
-            while at < b.num_rows:  # some texts at a time
-                normals, held, first = [], 0, at
-                while at < b.num_rows and (held < BATCH or not normals):
-                    normals.append(normal(texts[at].as_py()))
-                    held += len(normals[-1])
-                    at += 1
-                yield part_of(b.slice(first, at - first), normals, score_texts(normals, tab, weights, cache) / math.log(10), often)
-
-    def part_of(b, normals, lm, often):
+    def score(rows):
+        parts_of, blobs, texts = rows.column("part").to_pylist(), rows.column("found"), rows.column("texts")
+        at = parts_of.index(-1)
+        found = {p: blobs[i].as_py() for i, p in enumerate(parts_of) if i != at}
+        run = pa.ipc.open_stream(texts[at].as_py()).read_all().combine_chunks().to_batches()[0]
+        normals = [normal(t) for t in run.column("text").to_pylist()]
+        lm = told_scores(normals, found, parts) / math.log(10)
+        return pa.Table.from_batches([rows_of(run.slice(x, y - x), normals[x:y], lm[x:y], common.value) for x, y in batches_of(normals)])
+
+    def rows_of(b, normals, lm, often):
         rows, token, tf, tokens, known, part, score, size = [], [], [], [], [], [], [], []
         for i, text in enumerate(normals):
             counted = Counter(text[:-1].split())
@@ -393,7 +627,9 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fo
             names=["row", "doc_id", "token", "tf", "n_tokens", "known", "part", "score", "bytes"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
+    told = answers(runs, whole, two, weights, parts).withColumn("texts", F.lit(None).cast("binary"))
+    own = runs.where("part = -1").select("batch", "part", F.lit(None).cast("binary").alias("found"), "texts")
+    scored = told.unionByName(own).groupBy("batch").applyInArrow(
         score, f"row long, doc_id {id_type}, token binary, tf long, n_tokens long, known long, part double, score double, bytes long")
     joined = scored.join(vocabulary.where(F.col("c") * FREQUENT < max(n, 1)), "token", "left")
     c = F.coalesce("c", F.lit(0))
