@@ -82,3 +82,13 @@ def test_what_is_kept_grows_with_the_corpus(spark):
         assert (key[c > 0][order] == want).all() and (c[c > 0][order] == times).all()
         kept.append(len(want))
     assert kept[1] > 3 * kept[0]
+
+
+def test_long_texts_teach_the_weights(spark):
+    """A corpus of texts above 65,536 bytes alone moves the weights from their start."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+    rows = [(i, i, " ".join(rng.choice(words) for _ in range(15_000))) for i in range(8)]
+    frame = spark.createDataFrame(rows, "row long, doc_id long, text string").withColumn("text", F.col("text").cast("binary"))
+    weights = L.train(frame)[3]
+    assert all((abs(w - L.START) > 0.05).any(axis=0).sum() > 20 for w in weights)
