@@ -1,11 +1,13 @@
 """Array files (``.npy``) as pixel rows, and pixel rows as array-file chunks.
 
-Reading: ``binaryFile`` lists and loads each file (one file is never split
-across tasks), ``mapInPandas`` decodes it with NumPy and emits bounded
+Reading: ``binaryFile`` lists and loads each file of up to ``max_file_bytes``
+(one task each), ``mapInPandas`` decodes it with NumPy and emits bounded
 pandas batches of pixel rows -- the only Python-worker code on the read path,
 and it only decodes; all scoring happens afterwards in JVM expressions.
-Files larger than ``max_file_bytes`` are rejected with a clear error (write
-rasters as chunks, see ``write_npy_chunks``).
+Of a larger ``.npy`` file only the header is read first; it is dealt out as
+ranges of rows (of columns, if it is stored column by column) of about
+``RANGE_BYTES``, and each task reads the bytes of its own range through
+``pyarrow.fs``.  No file size is refused.
 
 Writing: pixels are grouped by chunk key and each group (bounded by the
 chunk size, chunk keys are unique per pixel) is turned into one ``.npy``
@@ -27,7 +29,8 @@ from pyspark.sql import types as T
 
 
 BAND_ORDER = ("b04", "b08", "b11", "b12")   # band planes of a (h, w, 4) cube, in order
-MAX_FILE_BYTES = 512 * 1024 * 1024
+MAX_FILE_BYTES = 512 * 1024 * 1024   # larger files are read in ranges
+RANGE_BYTES = 64 * 1024 * 1024
 ROWS_PER_BATCH = 1 << 16
 
 
@@ -55,50 +58,134 @@ def npy_decoder(content: bytes) -> np.ndarray:
     return np.load(io.BytesIO(content), allow_pickle=False)
 
 
-def _decode(bands, max_bytes, decoder=npy_decoder):
+def _pixel_frames(path, arr, names, r0, c0, row=0, col=0):
+    """Bounded pandas batches of a (h, w) or (h, w, bands) block that begins at (row, col) of its file."""
+    if arr.ndim == 2:
+        arr = arr[:, :, None]
+    if arr.ndim != 3:
+        raise ValueError(f"{path}: expected a (h, w) or (h, w, bands) array, got {arr.shape}")
+    h, w, nb = arr.shape
+    if nb != len(names):
+        raise ValueError(f"{path}: {nb} planes, {len(names)} band names")
+    flat = arr.reshape(h * w, nb)
+    for start in range(0, h * w, ROWS_PER_BATCH):
+        at = np.arange(start, min(start + ROWS_PER_BATCH, h * w), dtype=np.int64)
+        own = flat[start:start + ROWS_PER_BATCH].astype(np.float64)
+        out = {"path": path, "row_offset": r0, "col_offset": c0,
+               "px_row": at // w + (r0 + row), "px_col": (at % w + (c0 + col)).astype(np.int32)}
+        for i, name in enumerate(names):
+            out[name] = own[:, i]
+        yield pd.DataFrame(out)
+
+
+def _decode(bands, decoder=npy_decoder):
     names = list(bands)
 
     def fn(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                if content is None:
-                    continue
-                if len(content) > max_bytes:
-                    raise ValueError(f"{path}: {len(content)} bytes exceeds the {max_bytes}-byte block cap; "
-                                     "write the raster as chunks")
-                arr = decoder(content)
-                if arr.ndim == 2:
-                    arr = arr[:, :, None]
-                if arr.ndim != 3:
-                    raise ValueError(f"{path}: expected a (h, w) or (h, w, bands) array, got {arr.shape}")
-                h, w, nb = arr.shape
-                if nb != len(names):
-                    raise ValueError(f"{path}: {nb} planes, {len(names)} band names")
-                r0, c0 = _chunk_origin(path)
-                flat = arr.reshape(h * w, nb).astype(np.float64)
-                rows = np.repeat(np.arange(h, dtype=np.int64), w) + r0
-                cols = (np.tile(np.arange(w, dtype=np.int64), h) + c0).astype(np.int32)
-                for start in range(0, h * w, ROWS_PER_BATCH):
-                    end = min(start + ROWS_PER_BATCH, h * w)
-                    out = {"path": path, "row_offset": r0, "col_offset": c0,
-                           "px_row": rows[start:end], "px_col": cols[start:end]}
-                    for i, name in enumerate(names):
-                        out[name] = flat[start:end, i]
-                    yield pd.DataFrame(out)
+                if content is not None:
+                    yield from _pixel_frames(path, decoder(content), names, *_chunk_origin(path))
+    return fn
+
+
+def _open(path: str):
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + unquote(path[len("file:"):]).lstrip("/"))
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
+def _header(fh, path: str):
+    """Shape, whether columns lie together, type and the first byte of the values of an ``.npy`` file."""
+    version = np.lib.format.read_magic(fh)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, fortran, dtype = read(fh)
+    if dtype.hasobject:
+        raise ValueError(f"{path}: arrays of objects are not read")
+    if len(shape) not in (2, 3):
+        raise ValueError(f"{path}: expected a (h, w) or (h, w, bands) array, got {shape}")
+    return shape, fortran, dtype, fh.tell()
+
+
+def _ranges(range_bytes):
+    """``path, first, last`` of each range of a file's rows (columns)."""
+
+    def fn(batches):
+        for pdf in batches:
+            for path in pdf["path"]:
+                with _open(path) as fh:
+                    shape, fortran, dtype, _ = _header(fh, path)
+                lines = shape[1] if fortran else shape[0]
+                one = max(1, int(np.prod(shape, dtype=object)) * dtype.itemsize // max(1, lines))
+                first = np.arange(0, lines, max(1, range_bytes // one), dtype=np.int64)
+                yield pd.DataFrame({"path": path, "first": first, "last": np.append(first[1:], lines)[:len(first)]})
+    return fn
+
+
+def _read_range(bands):
+    names = list(bands)
+
+    def fn(batches):
+        for pdf in batches:
+            for path, first, last in zip(pdf["path"], pdf["first"], pdf["last"]):
+                with _open(path) as fh:
+                    shape, fortran, dtype, begin = _header(fh, path)
+                    h, w, nb = (*shape, 1)[:3]
+                    n = last - first
+
+                    def values(at, count):
+                        fh.seek(begin + at * dtype.itemsize)
+                        return np.frombuffer(fh.read(count * dtype.itemsize), dtype)
+
+                    if fortran:
+                        arr = np.stack([values((k * w + first) * h, n * h).reshape(n, h).T for k in range(nb)], axis=2)
+                    else:
+                        arr = values(first * w * nb, n * w * nb).reshape(n, w, nb)
+                yield from _pixel_frames(path, arr, names, *_chunk_origin(path), *((0, first) if fortran else (first, 0)))
+    return fn
+
+
+def _decode_whole(bands, decoder):
+    names = list(bands)
+
+    def fn(batches):
+        for pdf in batches:
+            for path in pdf["path"]:
+                with _open(path) as fh:
+                    arr = decoder(fh.read())
+                yield from _pixel_frames(path, arr, names, *_chunk_origin(path))
     return fn
 
 
 def read_npy(spark: SparkSession, path: str, bands=BAND_ORDER, glob: str = "*.npy",
-             max_file_bytes: int = MAX_FILE_BYTES, decoder=npy_decoder) -> DataFrame:
+             max_file_bytes: int = MAX_FILE_BYTES, decoder=npy_decoder, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Pixel rows from array files under ``path``; NaN planes become NULL.
 
     ``decoder`` turns a file's bytes into a ``(h, w)`` or ``(h, w, bands)``
     array (default: ``.npy``); any raster codec available on the executors
-    plugs in here with the same distribution (one file per task).
+    plugs in here with the same distribution (one file per task). Files above
+    ``max_file_bytes`` are read in ranges of about ``range_bytes``; those of
+    another codec, which only it can divide, whole by one task.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(path).select("path", "content"))
-    rows = files.mapInPandas(_decode(bands, max_file_bytes, decoder), npy_schema(bands))
+             .option("recursiveFileLookup", "true").load(path))
+    schema = npy_schema(bands)
+    rows = files.where(F.col("length") <= max_file_bytes).select("path", "content").mapInPandas(_decode(bands, decoder), schema)
+    large = files.where(F.col("length") > max_file_bytes).select("path", "length")
+    size = large.agg(F.sum("length")).first()[0]
+    if size:
+        tasks = -(-size // range_bytes)
+        if decoder is npy_decoder:
+            parts = large.select("path").mapInPandas(_ranges(range_bytes), "path string, first long, last long")
+            more = parts.repartition(tasks).mapInPandas(_read_range(bands), schema)
+        else:
+            more = large.select("path").mapInPandas(_decode_whole(bands, decoder), schema)
+        rows = rows.unionByName(more)
     return rows.withColumns({b: F.when(~F.isnan(b), F.col(b)) for b in bands})
 
 
