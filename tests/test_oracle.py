@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as ENTRY
-from conftest import SF_SMALL
+from driver_tables import SF_SMALL
 from emberspark.plans import oracle_check as OC
 
 SQL = ENTRY.oracle_sql()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from driver_tables import SF_SMALL
 from emberspark.plans.catalogue import QUERIES
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from driver_tables import SF_SMALL
 from emberspark.plans import catalogue as CAT
 from emberspark.sources import arrays as A
 from emberspark.sources import bands as B

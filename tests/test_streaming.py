@@ -1,6 +1,6 @@
 """The per-pixel operators run unchanged on a file stream."""
 
-from conftest import SF_SMALL
+from driver_tables import SF_SMALL
 from emberspark.plans import catalogue as CAT
 from emberspark.streaming import scoring as STR
 
