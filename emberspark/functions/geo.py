@@ -83,6 +83,57 @@ def is_box(ring, xmin, ymin, xmax, ymax) -> Column:
     return F.coalesce((F.size(r) == 5) & corner & (flat | walk), F.lit(False))
 
 
+# --------------------------------------------------------------------------- parts: several rings
+
+
+def box_parts(xmin, ymin, xmax, ymax) -> Column:
+    """A rectangle as a geometry of one part."""
+    return F.array(F.array(box_ring(xmin, ymin, xmax, ymax)))
+
+
+def wkt_parts(wkt) -> Column:
+    """``POLYGON`` or ``MULTIPOLYGON`` text as parts: polygons, each its outer ring and then its holes, each ring its
+    points ``STRUCT<x, y>``. NULL for NULL, an empty geometry and other text."""
+    many = F.regexp_replace(F.trim(col(wkt)), r"(?i)^POLYGON\s*(\(.*\))$", "MULTIPOLYGON($1)")
+    body = F.regexp_extract(many, r"(?i)^MULTIPOLYGON\s*\(\s*\(\s*\((.*)\)\s*\)\s*\)$", 1)
+
+    def point(p):
+        xy = F.split(F.trim(p), r"\s+")
+        return F.struct(xy.getItem(0).cast("double").alias("x"), xy.getItem(1).cast("double").alias("y"))
+
+    def ring(r):
+        return F.transform(F.split(r, ","), point)
+
+    def part(p):
+        return F.transform(F.split(p, r"\)\s*,\s*\("), ring)
+
+    return F.when(F.length(body) > 0, F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), part))
+
+
+def parts_wkt(parts) -> Column:
+    """Parts as ``POLYGON`` (one part) or ``MULTIPOLYGON`` text."""
+    def ring(r):
+        return F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string"))), ", "), F.lit(")"))
+
+    def part(p):
+        return F.concat(F.lit("("), F.array_join(F.transform(p, ring), ", "), F.lit(")"))
+
+    p = col(parts)
+    return F.when(F.size(p) == 1, F.concat(F.lit("POLYGON"), part(F.get(p, F.lit(0))))).when(
+        F.size(p) > 1, F.concat(F.lit("MULTIPOLYGON("), F.array_join(F.transform(p, part), ", "), F.lit(")")))
+
+
+def parts_bbox(parts) -> dict[str, Column]:
+    return ring_bbox(F.flatten(F.flatten(col(parts))))
+
+
+def parts_is_box(parts, xmin, ymin, xmax, ymax) -> Column:
+    """True when the geometry is one ring that is its own bounding rectangle."""
+    p = col(parts)
+    only = F.get(F.get(p, F.lit(0)), F.lit(0))
+    return F.coalesce((F.size(p) == 1) & (F.size(F.get(p, F.lit(0))) == 1) & is_box(only, xmin, ymin, xmax, ymax), F.lit(False))
+
+
 # --------------------------------------------------------------------------- areas
 
 def degree_box_hectares(xmin, ymin, xmax, ymax, metres_per_degree: float = S.METRES_PER_DEGREE) -> Column:
@@ -137,6 +188,28 @@ def rings_intersect_sql(ring_a: str, ring_b: str) -> str:
             f" OR {_point_in_ring_sql(ring_b + '[0]', ring_a)})")
 
 
+def parts_edges_sql(parts: str) -> str:
+    """All edges of a geometry's rings."""
+    return f"flatten(transform(filter(flatten({parts}), r -> size(r) > 1), r -> {_edges_sql('r')}))"
+
+
+def parts_meet_box(parts: str, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """Exact closed intersection of a geometry with a fixed rectangle.
+
+    An edge meets a side of the rectangle, or a part starts inside it, or it lies inside the geometry (even-odd
+    over all rings, so not in a hole).
+    """
+    corner = [f"named_struct('x', {x!r}D, 'y', {y!r}D)" for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]
+    sides = "array(" + ", ".join(f"named_struct('p', {p}, 'q', {q})" for p, q in zip(corner, corner[1:])) + ")"
+    edges = parts_edges_sql(parts)
+    meets = f"exists({edges}, e -> exists({sides}, s -> {_segments_touch_sql('e', 's')}))"
+    starts = (f"exists({parts}, t -> size(t) > 0 AND size(t[0]) > 0 AND t[0][0].x BETWEEN {x0!r}D AND {x1!r}D "
+              f"AND t[0][0].y BETWEEN {y0!r}D AND {y1!r}D)")
+    around = (f"aggregate({edges}, false, (acc, e) -> CASE WHEN ((e.p.y > {y0!r}D) != (e.q.y > {y0!r}D)) AND "
+              f"({x0!r}D < (e.q.x - e.p.x) * ({y0!r}D - e.p.y) / (e.q.y - e.p.y) + e.p.x) THEN NOT acc ELSE acc END)")
+    return F.expr(f"coalesce({starts} OR {meets} OR {around}, false)")
+
+
 def rings_intersect(ring_a: str, ring_b: str) -> Column:
     return F.expr(rings_intersect_sql(ring_a, ring_b))
 

@@ -17,6 +17,7 @@ from ..functions import colour as C
 from ..functions import geo as G
 from ..functions import scores as SC
 from ..operators import indices as I
+from ..operators import polygons as PG
 from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import scoring as SCO
@@ -269,7 +270,7 @@ def q_scene_means(spark, d):
 
 SERIES_SQL = (W_O(O.PIXELS, O.fidx("pixels", "pf"), O.scored("pf", "ps", O.fast()))
               + f"SELECT scene_date, {O.r6('avg(risk_score)')} AS mean_risk, max(risk_score) AS max_risk, "
-                f"{O.r6(f'count(CASE WHEN risk_score > {O.d(S.SERIES_HIGH_RISK)} THEN 1 END) / count(*) * 100e0')} "
+                f"{O.r6(f'count(CASE WHEN risk_score > {O.d(O.SERIES)} THEN 1 END) / count(*) * 100e0')} "
                 "AS high_risk_area FROM ps GROUP BY scene_date")
 
 
@@ -347,7 +348,7 @@ def q_row_strips(spark, d):
 
 @register("batch_assignment", W_O(O.PIXELS)
           + f"SELECT tile_id, row_number() OVER (ORDER BY tile_id) - 1 AS tile_ordinal, "
-            f"CAST(floor((row_number() OVER (ORDER BY tile_id) - 1) / {S.TILES_PER_BATCH}) AS BIGINT) AS batch_id "
+            f"CAST(floor((row_number() OVER (ORDER BY tile_id) - 1) / {O.BATCH}) AS BIGINT) AS batch_id "
             "FROM (SELECT DISTINCT tile_id FROM pixels) t")
 def q_batch_assignment(spark, d):
     return R.batch_assignment(pixels(spark, d).select("tile_id"))
@@ -365,8 +366,8 @@ def q_tile_batch_report(spark, d):
 
 H_SQL = "(SELECT max(px_row) + 1 FROM grid)"
 W_SQL = "(SELECT max(px_col) + 1 FROM grid)"
-LAT_SQL = f"{O.d(Sth)} + {O.d(N - Sth)} * (1e0 - px_row / {H_SQL})"
-LON_SQL = f"{O.d(W)} + {O.d(E - W)} * (px_col / {W_SQL})"
+LAT_SQL = f"{O.d(O.STUDY["S"])} + {O.d(O.STUDY["N"] - O.STUDY["S"])} * (1e0 - px_row / {H_SQL})"
+LON_SQL = f"{O.d(O.STUDY["W"])} + {O.d(O.STUDY["E"] - O.STUDY["W"])} * (px_col / {W_SQL})"
 
 
 def _lat_lon(g: DataFrame):
@@ -430,9 +431,9 @@ def q_high_risk_pixels(spark, d):
 @register("risk_markers", W_O(*O.GRID_SCORED)
           + ", hr AS (SELECT *, row_number() OVER (ORDER BY px_row, px_col) - 1 AS idx, count(*) OVER () AS n "
             "FROM gc WHERE risk_category >= 4)\n"
-            f"SELECT idx // greatest(1, n // {S.MARKER_TARGET}) AS sample_rank, px_row, px_col, {LAT_SQL} AS lat, "
+            f"SELECT idx // greatest(1, n // {O.MARKERS}) AS sample_rank, px_row, px_col, {LAT_SQL} AS lat, "
             f"{LON_SQL} AS lon, risk_score, {O.cname('risk_category')} AS category_name FROM hr "
-            f"WHERE idx % greatest(1, n // {S.MARKER_TARGET}) = 0")
+            f"WHERE idx % greatest(1, n // {O.MARKERS}) = 0")
 def q_risk_markers(spark, d):
     g = grid_scored(spark, d)
     height, width = grid_extent(g)
@@ -536,7 +537,7 @@ def q_assessment_statistics(spark, d):
 @register("class_chart_feed", W_O(O.ASSESSMENTS) + ", st AS (" + STATS_SQL + "), lg AS ("
           + " UNION ALL ".join(f"SELECT {code} AS risk_category, '{name}' AS category_name, "
                                f"{name.lower().replace(' ', '_')}_count AS n, avg_risk_score AS mean_marker FROM st"
-                               for code, name, _, _ in S.CATEGORY_ROWS)
+                               for code, name, _ in O.CLASSES)
           + ")\nSELECT risk_category, category_name, n, mean_marker, "
           + O.r6("n / sum(n) OVER () * 100e0") + " AS share_pct FROM lg WHERE n > 0")
 def q_class_chart_feed(spark, d):
@@ -569,6 +570,59 @@ def q_spatial_join(spark, d):
     return SP.newest_first(j.select(*ASSESS_COLS, "boundary_id", F.col("nm").alias("boundary_name")))
 
 
+@register("spatial_join_levels", W_O(O.ASSESSMENTS, O.POLYGONS)
+          + "SELECT a.id, a.assessment_date, a.risk_score, z.id AS zone_id, z.nm AS zone_name FROM assessments a LEFT JOIN "
+            "(SELECT id, nm, xmin, ymin, xmax, ymax FROM geoms JOIN bounds USING (kind, id) WHERE kind = 'zone') z "
+            "ON a.xmin <= z.xmax AND a.xmax >= z.xmin AND a.ymin <= z.ymax AND a.ymax >= z.ymin ORDER BY assessment_date DESC, a.id, zone_id")
+def q_spatial_join_levels(spark, d):
+    """Boundaries that grow with the data, their bounding boxes up to 200 times as large as others'."""
+    z = FX.zones(spark, d).drop("parts", "geom_wkt")
+    j = SP.spatial_left_join(FX.assessments(spark, d).drop("ring"), z, "id", "zone_id", ["zone_name"])
+    return j.select("id", "assessment_date", "risk_score", "zone_id", "zone_name").orderBy(F.desc("assessment_date"), "id", "zone_id")
+
+
+INSIDE_SQL = ("SELECT s.id AS inner_id, e.id AS outer_id FROM starts s JOIN bounds b ON b.kind = {outer} AND s.x BETWEEN b.xmin AND b.xmax "
+              "AND s.y BETWEEN b.ymin AND b.ymax JOIN edges e ON e.kind = b.kind AND e.id = b.id WHERE s.kind = {inner} "
+              "GROUP BY s.id, s.x, s.y, e.id HAVING count(CASE WHEN " + O.ray_crosses("s.x", "s.y", "e") + " THEN 1 END) % 2 = 1")
+
+
+@register("spatial_join_polygons", W_O(O.POLYGONS)
+          + ", hits AS (SELECT DISTINCT a.id, b.id AS zone_id FROM edges a JOIN edges b ON a.kind = 'parcel' AND b.kind = 'zone' "
+            "AND least(a.px, a.qx) <= greatest(b.px, b.qx) AND greatest(a.px, a.qx) >= least(b.px, b.qx) "
+            "AND least(a.py, a.qy) <= greatest(b.py, b.qy) AND greatest(a.py, a.qy) >= least(b.py, b.qy) AND "
+          + O.segments_meet("a", "b")
+          + " UNION SELECT inner_id, outer_id FROM (" + INSIDE_SQL.format(inner="'parcel'", outer="'zone'") + ") i"
+          + " UNION SELECT outer_id, inner_id FROM (" + INSIDE_SQL.format(inner="'zone'", outer="'parcel'") + ") o)\n"
+            "SELECT p.id, zone_id, z.nm AS zone_name FROM geoms p LEFT JOIN hits USING (id) LEFT JOIN geoms z "
+            "ON z.kind = 'zone' AND z.id = zone_id WHERE p.kind = 'parcel'")
+def q_spatial_join_polygons(spark, d):
+    """Polygons with holes, several parts and non-convex rings; touching counts."""
+    return PG.polygon_left_join(FX.parcels(spark, d), FX.zones(spark, d), ["zone_id", "zone_name"]).select("id", "zone_id", "zone_name")
+
+
+def _box_edge(x0, y0, x1, y1):
+    return f"(SELECT {O.d(x0)} AS px, {O.d(y0)} AS py, {O.d(x1)} AS qx, {O.d(y1)} AS qy)"
+
+
+SMALL_BOX = (150.1, -33.9, 150.13, -33.88)
+
+
+@register("polygons_in_bbox", W_O(O.POLYGONS)
+          + ", frame AS (" + " UNION ALL ".join(f"SELECT * FROM {_box_edge(*e)}" for e in (
+              (SMALL_BOX[0], SMALL_BOX[1], SMALL_BOX[2], SMALL_BOX[1]), (SMALL_BOX[2], SMALL_BOX[1], SMALL_BOX[2], SMALL_BOX[3]),
+              (SMALL_BOX[2], SMALL_BOX[3], SMALL_BOX[0], SMALL_BOX[3]), (SMALL_BOX[0], SMALL_BOX[3], SMALL_BOX[0], SMALL_BOX[1])))
+          + "), hits AS (SELECT kind, id FROM edges JOIN frame ON " + O.segments_meet("edges", "frame")
+          + f" UNION SELECT kind, id FROM starts WHERE x BETWEEN {O.d(SMALL_BOX[0])} AND {O.d(SMALL_BOX[2])} "
+            f"AND y BETWEEN {O.d(SMALL_BOX[1])} AND {O.d(SMALL_BOX[3])} "
+            f"UNION SELECT kind, id FROM edges GROUP BY kind, id HAVING count(CASE WHEN "
+          + O.ray_crosses(O.d(SMALL_BOX[0]), O.d(SMALL_BOX[1]), "edges") + " THEN 1 END) % 2 = 1)\n"
+            "SELECT kind, id, xmin, ymin, xmax, ymax FROM hits JOIN bounds USING (kind, id) ORDER BY kind, id")
+def q_polygons_in_bbox(spark, d):
+    z = FX.zones(spark, d).select(F.lit("zone").alias("kind"), F.col("zone_id").alias("id"), "parts", *SP.BOX)
+    p = FX.parcels(spark, d).select(F.lit("parcel").alias("kind"), "id", "parts", *SP.BOX)
+    return SP.polygons_in_bbox(z.unionByName(p), SMALL_BOX).select("kind", "id", *SP.BOX).orderBy("kind", "id")
+
+
 @register("orphan_pixels", W_O(O.GRID, O.ASSESSMENTS)
           + "SELECT count(*) AS child_rows, count(CASE WHEN g.assessment_id IS NOT NULL AND a.id IS NULL THEN 1 END) "
             "AS orphan_rows FROM grid g LEFT JOIN assessments a ON g.assessment_id = a.id")
@@ -584,7 +638,7 @@ def q_orphan_pixels(spark, d):
 
 
 @register("box_area", W_O(O.ASSESSMENTS)
-          + f"SELECT id, (xmax - xmin) * (ymax - ymin) * {O.d(S.METRES_PER_DEGREE)} * {O.d(S.METRES_PER_DEGREE)} "
+          + f"SELECT id, (xmax - xmin) * (ymax - ymin) * {O.d(O.METRES)} * {O.d(O.METRES)} "
             "/ 10000e0 AS box_hectares FROM assessments")
 def q_box_area(spark, d):
     a = FX.assessments(spark, d)
@@ -628,7 +682,7 @@ def q_metadata_json(spark, d):
             f"SELECT {O.r6('m')} AS mean_risk_score, {O.cname(O.classify('m'))} AS risk_category, "
             f"{O.r6('ndvi_m')} AS ndvi_mean, {O.r6('ndmi_m')} AS ndmi_mean, {O.r6('nbr_m')} AS nbr_mean, "
             f"{O.r6('hi / n * 100e0')} AS high_risk_percentage, n AS total_pixels, valid AS valid_pixels, "
-            f"({O.d(E)} - {O.d(W)}) * ({O.d(N)} - {O.d(Sth)}) * {O.d(S.METRES_PER_DEGREE)} * {O.d(S.METRES_PER_DEGREE)} "
+            f"({O.d(O.STUDY["E"])} - {O.d(O.STUDY["W"])}) * ({O.d(O.STUDY["N"])} - {O.d(O.STUDY["S"])}) * {O.d(O.METRES)} * {O.d(O.METRES)} "
             "/ 10000e0 AS area_hectares FROM agg")
 def q_full_assessment(spark, d):
     from .assessment import scene_record
@@ -701,10 +755,10 @@ def q_quick_ndvi(spark, d):
 @register("marker_popups", W_O(*O.GRID_SCORED)
           + ", hr AS (SELECT *, row_number() OVER (ORDER BY px_row, px_col) - 1 AS idx, count(*) OVER () AS n "
             "FROM gc WHERE risk_category >= 4)\n"
-            f"SELECT idx // greatest(1, n // {S.MARKER_TARGET}) AS sample_rank, "
+            f"SELECT idx // greatest(1, n // {O.MARKERS}) AS sample_rank, "
             "printf('High Risk Area | Risk Score: %.1f | Category: %s | Location: %.4f, %.4f', risk_score, "
             f"{O.cname('risk_category')}, {LAT_SQL}, {LON_SQL}) AS popup FROM hr "
-            f"WHERE idx % greatest(1, n // {S.MARKER_TARGET}) = 0")
+            f"WHERE idx % greatest(1, n // {O.MARKERS}) = 0")
 def q_marker_popups(spark, d):
     """Marker feed with popup text (numbers formatted with one/four decimals)."""
     g = grid_scored(spark, d)

@@ -9,8 +9,18 @@ bit, and every aggregate that sums floats is rounded to 6 places.
 
 from __future__ import annotations
 
-from .. import schema as S
-from ..functions.scores import normalize_weights
+# The model's fixed values, written out here so that a wrong one in the engine shows.
+WEIGHTS = {"NDVI": 0.3, "NDMI": 0.5, "NBR": 0.2}
+EPSILON = 1e-10
+HEALTH = {"NDVI": (0.1, 0.9), "NDMI": (0.2, 0.8), "NBR": (1.0, 2.0)}
+THRESHOLDS = (20.0, 40.0, 60.0, 80.0)
+CLASSES = [(1, "Very Low", "#2E8B57"), (2, "Low", "#FFD700"), (3, "Moderate", "#FF8C00"), (4, "High", "#FF4500"),
+           (5, "Very High", "#DC143C")]
+UNKNOWN = "Unknown"
+MASK = (0, 1, 3, 8, 9, 10)
+STUDY = {"W": 150.0, "S": -34.0, "E": 150.8, "N": -33.5}
+METRES = 111000.0
+MARKERS, BATCH, SERIES = 20, 4, 60.0
 
 # --------------------------------------------------------------------------- text helpers
 
@@ -35,12 +45,12 @@ def cindex(a: str, b: str) -> str:
 
 
 def findex(a: str, b: str) -> str:
-    eps = d(S.FAST_EPSILON)
+    eps = d(EPSILON)
     return f"(CASE WHEN ({a} + {b} + {eps}) <> 0 THEN ({a} - {b}) / ({a} + {b} + {eps}) END)"
 
 
 def health(name: str, x: str) -> str:
-    off, span = S.HEALTH_SCALE[name]
+    off, span = HEALTH[name]
     return clip(f"({x} + {d(off)}) / {d(span)} * 100e0", 0.0, 100.0)
 
 
@@ -52,7 +62,8 @@ INDEX_COL = {"NDVI": "ndvi", "NDMI": "ndmi", "NBR": "nbr"}
 
 
 def calibrated(present=("NDVI", "NDMI", "NBR"), weights=None) -> str:
-    w = normalize_weights(weights)
+    given = weights or WEIGHTS
+    w = {k: v / sum(given.values()) for k, v in given.items()}
     terms, total = [], 0.0
     for name in ("NDVI", "NDMI", "NBR"):
         if name in present and name in w:
@@ -67,7 +78,7 @@ def calibrated(present=("NDVI", "NDMI", "NBR"), weights=None) -> str:
 
 
 def fast(ndvi="ndvi_fast", ndmi="ndmi_fast", nbr="nbr_fast") -> str:
-    w = S.FAST_WEIGHTS
+    w = WEIGHTS
     s = (f"(1e0 - {ndvi}) * 100e0 * {d(w['NDVI'])} + (1e0 - {ndmi}) * 100e0 * {d(w['NDMI'])}"
          f" + (1e0 - {nbr}) * 100e0 * {d(w['NBR'])}")
     return clip(s, 0.0, 100.0)
@@ -80,18 +91,18 @@ def simple(ndvi="ndvi", ndmi="ndmi") -> str:
 
 
 def classify(s: str) -> str:
-    t1, t2, t3, t4 = (d(t) for t in S.CLASS_THRESHOLDS)
+    t1, t2, t3, t4 = (d(t) for t in THRESHOLDS)
     return (f"(CASE WHEN ({s}) IS NULL THEN 0 WHEN ({s}) < {t1} THEN 1 WHEN ({s}) < {t2} THEN 2 "
             f"WHEN ({s}) < {t3} THEN 3 WHEN ({s}) < {t4} THEN 4 ELSE 5 END)")
 
 
 def cname(c: str) -> str:
-    whens = " ".join(f"WHEN {code} THEN '{name}'" for code, name, _, _ in S.CATEGORY_ROWS)
-    return f"(CASE ({c}) {whens} ELSE '{S.UNKNOWN_NAME}' END)"
+    whens = " ".join(f"WHEN {code} THEN '{name}'" for code, name, _ in CLASSES)
+    return f"(CASE ({c}) {whens} ELSE '{UNKNOWN}' END)"
 
 
 def ccolour(c: str) -> str:
-    whens = " ".join(f"WHEN {code} THEN '{col}'" for code, _, _, col in S.CATEGORY_ROWS)
+    whens = " ".join(f"WHEN {code} THEN '{col}'" for code, _, col in CLASSES)
     return f"(CASE ({c}) {whens} END)"
 
 
@@ -99,7 +110,7 @@ def r6(x: str) -> str:
     return f"round({x}, 6)"
 
 
-MASK_CODES = ", ".join(str(c) for c in S.MASKED_SCL_CODES)
+MASK_CODES = ", ".join(str(c) for c in MASK)
 
 # --------------------------------------------------------------------------- derived shapes
 
@@ -159,6 +170,50 @@ BOUNDARIES = """boundaries AS (
   FROM nation)"""
 
 
+POLYGONS = """shapes(kind, shape, part, ring) AS (VALUES
+  ('zone', 0, 0, [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]),
+  ('zone', 1, 0, [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]), ('zone', 1, 0, [[1, 1], [3, 1], [3, 3], [1, 3], [1, 1]]),
+  ('zone', 2, 0, [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]), ('zone', 2, 1, [[2, 2], [4, 2], [4, 4], [2, 2]]),
+  ('zone', 3, 0, [[0, 0], [4, 0], [4, 4], [3, 4], [3, 1], [1, 1], [1, 4], [0, 4], [0, 0]]),
+  ('parcel', 0, 0, [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]), ('parcel', 1, 0, [[0, 0], [2, 0], [0, 2], [0, 0]]),
+  ('parcel', 2, 0, [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]), ('parcel', 2, 1, [[3, 3], [4, 3], [4, 4], [3, 4], [3, 3]]),
+  ('parcel', 3, 0, [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]), ('parcel', 3, 0, [[1, 1], [3, 1], [3, 3], [1, 3], [1, 1]])),
+geoms AS (
+  SELECT 'zone' AS kind, s_suppkey AS id, s_name AS nm, s_suppkey % 4 AS shape, sc,
+         150000 + (s_suppkey * 37) % 97 * 10 - back AS x0, -34000 + (s_suppkey * 53) % 61 * 10 - back AS y0
+  FROM (SELECT *, (5 + (s_suppkey % 5) * 5) * CASE WHEN s_suppkey % 50 = 7 THEN 200 ELSE 1 END AS sc,
+               CASE WHEN s_suppkey % 50 = 7 THEN 2 * (5 + (s_suppkey % 5) * 5) * 200 ELSE 0 END AS back FROM supplier) s
+  UNION ALL SELECT 'parcel', c_custkey, NULL, c_custkey % 4, 2 + (c_custkey % 3) * 4, 150000 + (c_custkey % 83) * 12,
+         -34000 + (c_custkey % 59) * 11 FROM customer),
+edges AS MATERIALIZED (
+  SELECT kind, id, part, (x0 + ring[i][1] * sc) / 1000e0 AS px, (y0 + ring[i][2] * sc) / 1000e0 AS py,
+         (x0 + ring[i + 1][1] * sc) / 1000e0 AS qx, (y0 + ring[i + 1][2] * sc) / 1000e0 AS qy
+  FROM (SELECT g.*, part, ring, unnest(range(1, len(ring))) AS i FROM geoms g JOIN shapes USING (kind, shape)) t),
+starts AS MATERIALIZED (SELECT kind, id, part, (x0 + ring[1][1] * sc) / 1000e0 AS x, (y0 + ring[1][2] * sc) / 1000e0 AS y
+  FROM geoms JOIN shapes USING (kind, shape)),
+bounds AS MATERIALIZED (SELECT kind, id, min(px) AS xmin, min(py) AS ymin, max(px) AS xmax, max(py) AS ymax FROM edges GROUP BY kind, id)"""
+
+
+def segments_meet(a: str, b: str) -> str:
+    """Two edges with ends p and q share a point."""
+    def turn(e, f, end):
+        return f"sign(({e}.qx - {e}.px) * ({f}.{end}y - {e}.py) - ({e}.qy - {e}.py) * ({f}.{end}x - {e}.px))"
+
+    def on(e, f, end):
+        return (f"({turn(e, f, end)} = 0 AND {f}.{end}x BETWEEN least({e}.px, {e}.qx) AND greatest({e}.px, {e}.qx) "
+                f"AND {f}.{end}y BETWEEN least({e}.py, {e}.qy) AND greatest({e}.py, {e}.qy))")
+
+    ends = [(a, b, "p"), (a, b, "q"), (b, a, "p"), (b, a, "q")]
+    return (f"(({turn(*ends[0])} <> {turn(*ends[1])} AND {turn(*ends[2])} <> {turn(*ends[3])}) OR "
+            + " OR ".join(on(*x) for x in ends) + ")")
+
+
+def ray_crosses(x: str, y: str, e: str) -> str:
+    """A ray from (x, y) towards larger x crosses an edge."""
+    return (f"((({e}.py > {y}) <> ({e}.qy > {y})) AND {x} < ({e}.qx - {e}.px) * ({y} - {e}.py) / "
+            f"(CASE WHEN {e}.qy = {e}.py THEN 1e0 ELSE {e}.qy - {e}.py END) + {e}.px)")
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 

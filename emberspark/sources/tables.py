@@ -3,8 +3,12 @@ the scan's ReadSchema) and comparisons on plain columns become PushedFilters."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations")
@@ -18,6 +22,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def stored(df: DataFrame, spread: bool = False) -> DataFrame:
+    """``df`` written as a table below the shared checkpoint folder and read from there: computed once however often
+    a plan reads it, and a lost executor costs no more than its own tasks.
+
+    ``spread`` deals the rows over as many files as the session has shuffle partitions: for tables that are small in
+    bytes and meet many partners in a join, which would otherwise run in few tasks.
+    """
+    if spread:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None,
                     lower: int | None = None, upper: int | None = None, partitions: int = 64,
                     properties: dict | None = None) -> DataFrame:
