@@ -9,13 +9,14 @@ from emberspark.llm.common import held_out, utf8
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fold: int = 5,
-                    doc_id: str = "doc_id", text: str = "text", longest: int = 1 << 18) -> tuple[list[bytes], list[int], list[float]]:
-    """Texts, labels and row weights of at most ``per_class`` documents of each label, of at most ``longest`` bytes.
+                    doc_id: str = "doc_id", text: str = "text", most_bytes: int = 64 << 20) -> tuple[list[bytes], list[int], list[float]]:
+    """Texts, labels and row weights of at most ``per_class`` documents of each label and ``most_bytes`` of text.
 
     Rows whose id falls in the held-out fold are never read.  The documents taken are
     those with the smallest hash of their id, so the choice is uniform and the same on
     every run; weights restore the share that each label has among all labelled rows.
-    Conflicting or null labels of one id: the largest, or no label.  The bound is what
+    Texts of any length are taken, in that order, as long as they fit into ``most_bytes``.
+    Conflicting or null labels of one id: the largest, or no label.  The bounds are what
     allows the ids to be broadcast and the texts to be collected.
     """
     known = (labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -27,9 +28,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class)
         taken = part if taken is None else taken.unionAll(part)
-    rows = (docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text"))
-            .where(F.length("text") <= longest).join(F.broadcast(taken), "doc_id")
-            .groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect())
+    texts = (docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text")).join(F.broadcast(taken), "doc_id")
+             .groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    left, fits = most_bytes, []
+    for r in texts.select("doc_id", F.length("text").alias("size"), order.alias("at")).orderBy("at", "doc_id").collect():
+        if r.size <= left:
+            left -= r.size
+            fits.append(r.doc_id)
+    ids = docs.sparkSession.createDataFrame([(x,) for x in fits], docs.select(F.col(doc_id).alias("doc_id")).schema)
+    rows = texts.join(F.broadcast(ids), "doc_id").collect()
     rows.sort(key=lambda r: r.doc_id)
     got = {y: max(1, sum(r.y == y for r in rows)) for y in (0, 1)}
     total = max(1, sum(counts.values()))

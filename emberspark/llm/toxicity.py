@@ -2,14 +2,16 @@
 
 A document is a bag of sentences.  A sentence's score is a logistic function of the
 weights of its words and of their first four and five bytes; a document's score is
-the noisy-or of its sentences, 1 - prod(1 - p).  Only document labels are needed:
-the gradient of the noisy-or reaches the sentences in proportion to their share in
-it, so the weights settle on the words that make a document toxic, and the sentences
-that carry them are located with the same weights.
+the noisy-or of its sentences and of one bias, 1 - (1 - p0) prod(1 - q).  What a
+sentence adds is its evidence beyond the bias, q = (p - p0) / (1 - p0), or nothing if
+that is negative, so that clean sentences add nothing however many there are.  Only
+document labels are needed: the gradient of the noisy-or reaches the sentences in
+proportion to their share in it, so the weights settle on the words that make a
+document toxic, and the sentences that carry them are located with the same weights.
 
 The model is fitted on a bounded sample (``per_class`` labelled documents of each
-label outside the held-out fold) and is a table of at most ``MAX_FEATURES`` weights;
-scoring reads every sentence of every text.
+label outside the held-out fold, of any length, 64 MB in all) and is a table of at most
+``MAX_FEATURES`` weights (those in most documents); scoring reads every sentence of every text.
 
 Defined cases: a null or empty text has one empty sentence, so its score is that of
 the bias alone; without labelled rows every score is 0.0; without rows of one label
@@ -51,21 +53,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
+def log_clean(z: np.ndarray, bias: float) -> np.ndarray:
+    """log(1 - q) of sentences: how much cleaner than the bias alone they leave a document, never above 0."""
+    return np.minimum(np.logaddexp(0, bias) - np.logaddexp(0, z), 0)
+
+
 def fit(texts: list[bytes], labels: list[int], weights: list[float], epochs: int = EPOCHS, batch: int = 256,
         rate: float = 0.3, sparse: float = 1e-4) -> dict:
     """Noisy-or regression by Adagrad with a lasso; returns ``{"bias": float, "weights": {feature: float}}``."""
     if not texts:
         return {"bias": -np.inf, "weights": {}}
-    seen: dict[bytes, list] = {}  # feature -> [documents, last document]
-    for d, text in enumerate(texts):
-        for word in words_and_ends(text):
-            if word != END:
-                for f in features(word):
-                    s = seen.setdefault(f, [0, -1])
-                    if s[1] != d:
-                        s[0] += 1
-                        s[1] = d
-    common = sorted((f for f, s in seen.items() if s[0] >= MIN_DOCS), key=lambda f: (-seen[f][0], f))[:MAX_FEATURES]
+    seen: dict[bytes, int] = {}  # feature -> documents
+    for text in texts:
+        for f in {f for word in set(words_and_ends(text)) if word != END for f in features(word)}:
+            seen[f] = seen.get(f, 0) + 1
+    common = sorted((f for f, n in seen.items() if n >= MIN_DOCS), key=lambda f: (-seen[f], f))[:MAX_FEATURES]
+    del seen
     index = {f: i for i, f in enumerate(common)}
     docs = []
     for text in texts:
@@ -94,17 +97,19 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float], epochs: int
             ids = np.concatenate([docs[d][0] for d in own])
             sent = np.concatenate([docs[d][1] + f for d, f in zip(own, first)])
             z = np.bincount(sent, w[ids], minlength=first[-1]) + bias
-            p = sigmoid(z)
-            clean = np.add.reduceat(-np.logaddexp(0, z), first[:-1])  # log of prod(1 - p)
+            p, p0 = sigmoid(z), sigmoid(np.array(bias))
+            counts = z >= bias  # others add nothing
+            clean = np.add.reduceat(log_clean(z, bias), first[:-1]) - np.logaddexp(0, bias)  # log of (1 - p0) prod(1 - q)
             none = np.exp(clean)
             pull = np.where(y[own] == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * share[own]
-            g = np.clip(np.repeat(pull, n) * p, -5, 5)
+            g = np.clip(np.repeat(pull, n) * p * counts, -5, 5)
+            of_bias = np.clip(np.repeat(pull, n) * (p - p0) * counts, -5, 5).sum() + np.clip(pull * p0, -5, 5).sum()
             gw = np.bincount(ids, g[sent], minlength=len(w))
             w2 += gw * gw
             pace = rate / np.sqrt(w2)
             w -= pace * gw
             w = np.sign(w) * np.maximum(np.abs(w) - pace * sparse * len(own), 0)  # words without bearing go to zero
-            gb = float(g.sum())
+            gb = float(of_bias)
             bias2 += gb * gb
             bias -= rate * gb / np.sqrt(bias2)
     return {"bias": float(bias), "weights": {f: float(x) for f, x in zip(common, w) if x}}
@@ -130,7 +135,7 @@ def score_texts(texts: list[bytes], model: dict, memo: dict) -> tuple[np.ndarray
             if (at := (sentence[i], words[i])) not in said:
                 said.add(at)
                 z[at[0]] += values[i]
-        scores[d] = -np.expm1(-np.logaddexp(0, z).sum())
+        scores[d] = -np.expm1(log_clean(z, bias).sum() - np.logaddexp(0, bias)) if np.isfinite(bias) else 0.0
         parts.append(sigmoid(z))
     return np.clip(scores, 0.0, 1.0), parts
 
