@@ -21,6 +21,8 @@ named like the added ones are replaced.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,8 @@ from emberspark.llm.common import pin, table, utf8
 SHARDS = 16
 BUCKET_ROWS = 100_000
 SEED = 20240229
+#: NumPy draws hypergeometric counts of populations below this.
+LARGE = 1_000_000_000
 
 
 def bucket_sizes(rows: int, shards: int, bucket_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,6 +51,76 @@ def bucket_sizes(rows: int, shards: int, bucket_rows: int) -> tuple[np.ndarray,
     return np.array(size, np.int64), np.array(shard, np.int32), np.array(first, np.int64)
 
 
+def _log_choose_error(n: float) -> float:
+    """log(n!) less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    n2 = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n2) / n2) / n2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation where x is close to the mean."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, j = (x - mean) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            j += 2
+            if total + term / j == total:
+                return total
+            total += term / j
+    return x * math.log(x / mean) + mean - x
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    if x == 0 or x == n:
+        return n * (math.log1p(-p) if x == 0 else math.log(p))
+    return (_log_choose_error(n) - _log_choose_error(x) - _log_choose_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+            + 0.5 * math.log(n / (2 * math.pi * x * (n - x))))
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of ``drawn`` rows are good, for counts of any size.
+
+    NumPy draws below 1e9; beyond, a ratio of uniforms is accepted by the probability itself, written as
+    binomials whose logarithms keep their digits at any size.
+    """
+    if good + bad < LARGE:
+        return int(rng.hypergeometric(good, bad, drawn))
+    total = good + bad
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    p = drawn / total
+
+    def log_mass(x):
+        return _log_binomial(x, good, p) + _log_binomial(drawn - x, bad, p)
+
+    mean = drawn * good / total
+    width = math.sqrt(mean * (bad / total) * ((total - drawn) / (total - 1)) + 0.5)
+    mode = min(max((drawn + 1) * (good + 1) // (total + 2), low), high)
+    top, span = log_mass(mode), 2 * (math.sqrt(2 / math.e) * width + 1.5 - math.sqrt(3 / math.e))
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        x = math.floor(mean + 0.5 + span * (v - 0.5) / u)
+        if low <= x <= high and 2 * math.log(u) <= log_mass(x) - top:
+            return x
+
+
+def draw_counts(rng: np.random.Generator, left: np.ndarray, drawn: int) -> np.ndarray:
+    """How many of ``drawn`` rows come from each of ``left``'s buckets."""
+    rest = int(left.sum())
+    if rest < LARGE:
+        return rng.multivariate_hypergeometric(left, drawn, method="marginals")
+    out = np.zeros(len(left), np.int64)
+    for i, n in enumerate(left.tolist()):
+        rest -= n
+        out[i] = hypergeometric(rng, n, rest, drawn) if n and drawn else 0
+        drawn -= int(out[i])
+    return out
+
+
 def matrix_row(sizes: np.ndarray, before: np.ndarray, p: int, seed: int) -> np.ndarray:
     """Row ``p`` of the matrix; ``before[i]`` is the number of rows in partitions below i."""
     left = sizes.copy()
@@ -54,7 +128,7 @@ def matrix_row(sizes: np.ndarray, before: np.ndarray, p: int, seed: int) -> np.n
     while hi - lo > 1:
         mid = (lo + hi) // 2
         rng = np.random.Generator(np.random.Philox(key=seed, counter=[lo, hi, 0, 0]))
-        low = rng.multivariate_hypergeometric(left, int(before[mid] - before[lo]), method="marginals")
+        low = draw_counts(rng, left, int(before[mid] - before[lo]))
         if p < mid:
             left, hi = low, mid
         else:
