@@ -9,7 +9,7 @@ most ``slice_bytes`` of pattern text, one automaton each, so what a task holds i
 bounded whatever the size of the test set.  Normally there is one slice.
 
 Defined cases: a null or empty text has no words and no hit; an item without
-words has no window; repeated items each count; several documents with one id
+words has no window; the words of an item without id are hit, but it is no item of a document; repeated items each count; several documents with one id
 give one row each; an empty table on either side gives no hits; other columns of
 documents are kept, those named like the added ones replaced.
 """
@@ -83,7 +83,7 @@ def hit_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
 
 def _slices(benchmark: DataFrame, item_id: str, text: str, n: int, slice_bytes: int) -> list[DataFrame]:
     """The item texts in parts whose patterns take at most about ``slice_bytes``."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), utf8(text).alias("text")).where("item is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), utf8(text).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size * (n + 1) / slice_bytes))
     if parts == 1:
@@ -106,7 +106,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text:
         patterns: dict[bytes, list] = {}
         for row in part.toLocalIterator():
             for key in item_windows(bytes(row.text), n):
-                patterns.setdefault(key, []).append(row.item)
+                patterns.setdefault(key, []).extend([] if row.item is None else [row.item])
         autos.append(spark.sparkContext.broadcast(patterns))
 
     def run(batches):
@@ -151,7 +151,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
                        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS key
     FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM bw),
@@ -159,7 +159,7 @@ dw AS (SELECT rid, i, k, array_to_string(w[i : i + k - 1], ' ') AS key
     FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT rid, i, dw.k, item_id FROM dw JOIN bw USING (k, key)),
 h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM m) GROUP BY rid),
-t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+t AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
     FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
     CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
