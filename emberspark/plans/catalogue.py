@@ -706,10 +706,27 @@ def _grid_npy_dir(spark, d) -> str:
 
 @register("npy_scan", W_O(*O.GRID_FAST) + "SELECT CAST(px_row AS BIGINT) AS px_row, px_col, risk_score FROM gfs")
 def q_npy_scan(spark, d):
-    """Risk map written as array-file chunks, scanned back into pixel rows."""
-    from ..sources.arrays import read_npy
-    rows = read_npy(spark, _grid_npy_dir(spark, d), bands=("risk_score",))
-    return rows.select("px_row", "px_col", "risk_score")
+    """Risk map written as array-file chunks by the raster sink, scanned back into pixel rows by the source."""
+    rows = _risk_rasters(spark, d, grid_fast(spark, d), ["risk_score"])
+    return rows.select("px_row", F.col("px_col").cast("int").alias("px_col"), "risk_score")
+
+
+def _risk_rasters(spark, d, df, bands, tile=None, chunk=256):
+    from ..sources.arrays import scratch_dir
+    from ..sources.rasters import read_rasters, write_rasters
+    out = scratch_dir(spark, "rasters")
+    write_rasters(df, out, bands, tile, chunk)
+    return read_rasters(spark, out, bands)
+
+
+@register("raster_window", W_O(*O.GRID_FAST)
+          + "SELECT CAST(px_row % 4 AS VARCHAR) AS tile, CAST(px_row AS BIGINT) AS px_row, CAST(px_col AS BIGINT) AS px_col, "
+            "risk_score, ndvi_fast FROM gfs WHERE px_row % 4 IN (1, 2) AND px_row >= 5 AND px_row < 120 AND px_col <= 60")
+def q_raster_window(spark, d):
+    """Four interleaved (so sparse) tiles in array files; two of them and a window of rows and columns, pushed to the scan."""
+    g = grid_fast(spark, d).withColumn("tile", F.col("px_row") % 4)
+    rows = _risk_rasters(spark, d, g, ["risk_score", "ndvi_fast"], "tile", 128)
+    return rows.where("tile IN ('1', '2') AND px_row >= 5 AND px_row < 120 AND px_col <= 60")
 
 
 @register("tile_catalogue", W_O(O.GRID)
@@ -742,14 +759,16 @@ def q_quick_ndvi(spark, d):
     """Red and NIR written as separate array files, read back by band name and
     aligned on the pixel key by one aggregate (no join) before the index
     (P-05 / S-01 / J-05)."""
-    from ..sources.arrays import scratch_dir, write_npy_chunks
+    from ..sources.arrays import scratch_dir
     from ..sources.bands import load_band_files
+    from ..sources.rasters import write_rasters
     g = grid(spark, d)
     paths = {}
     for label, band in (("B04", "b04"), ("B08", "b08")):
         paths[label] = scratch_dir(spark, f"band-{band}")
-        write_npy_chunks(g, paths[label], NPY_CHUNK, [band]).count()
-    return I.add_ndvi(load_band_files(spark, paths)).select("px_row", "px_col", "ndvi")
+        write_rasters(g.withColumn("value", F.col(band)), paths[label], ["value"], chunk_size=256)
+    wide = load_band_files(spark, paths, ("tile", "px_row", "px_col"), "raster")
+    return I.add_ndvi(wide).select("px_row", F.col("px_col").cast("int").alias("px_col"), "ndvi")
 
 
 @register("marker_popups", W_O(*O.GRID_SCORED)

@@ -17,7 +17,6 @@ chunk by ``applyInPandas``.
 from __future__ import annotations
 
 import io
-import os
 import re
 import uuid
 
@@ -89,15 +88,22 @@ def _decode(bands, decoder=npy_decoder):
     return fn
 
 
-def _open(path: str):
+def file_system(path: str):
+    """The store of a path or URI, opened by ``pyarrow.fs``, and the path in it."""
     from urllib.parse import unquote
 
     from pyarrow import fs
 
     if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + unquote(path[len("file:"):]).lstrip("/"))
-    system, name = fs.FileSystem.from_uri(path)
-    return system.open_input_file(name)
+        return fs.LocalFileSystem(), "/" + unquote(path[len("file:"):]).lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path)
+
+
+def _open(path: str):
+    store, name = file_system(path)
+    return store.open_input_file(name)
 
 
 def _header(fh, path: str):
@@ -232,13 +238,16 @@ def write_npy_chunks(df: DataFrame, out_dir: str, chunk_size: int, value_cols: l
         for i, name in enumerate(names):
             arr[r, c, i] = pdf[name].to_numpy(dtype=np.float64, na_value=np.nan)
         sc = str(pdf["_scene"].iloc[0])
-        folder = os.path.join(out_dir, f"{scene}={sc}") if scene else out_dir
-        os.makedirs(folder, exist_ok=True)
-        target = os.path.join(folder, f"chunk_r{r0}_c{c0}.npy")
-        tmp = target + f".{uuid.uuid4().hex}.tmp"
-        with open(tmp, "wb") as fh:           # write-then-rename: a retried task
-            np.save(fh, arr)                  # never leaves a torn chunk behind
-        os.replace(tmp, target)
+        store, top = file_system(out_dir)
+        folder = f"{top.rstrip('/')}/{scene}={sc}" if scene else top.rstrip("/")
+        store.create_dir(folder, recursive=True)
+        target = f"{folder}/chunk_r{r0}_c{c0}.npy"
+        tmp = f"{target}.{uuid.uuid4().hex}.tmp"
+        whole = io.BytesIO()
+        np.save(whole, arr)
+        with store.open_output_stream(tmp) as fh:  # write-then-rename: a retried task
+            fh.write(whole.getvalue())             # never leaves a torn chunk behind
+        store.move(tmp, target)
         return pd.DataFrame({"path": [target], "chunk_y": [cy], "chunk_x": [cx],
                              "height": [h], "width": [w]})
 
@@ -282,7 +291,7 @@ def write_tile_logs(tile_means: DataFrame, batches: DataFrame, out_dir: str,
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
-    from ..session import shared_dir
-    return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh folder under the shared checkpoint location (a URI where that is one)."""
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -75,16 +75,20 @@ def load_band_files(spark, band_paths: dict, keys=("px_row", "px_col"), reader:
     Each band is read as ``(keys..., value)`` rows and tagged with its label;
     the union is aligned into the wide layout by a single pivot on the pixel
     key (one shuffle for any number of bands, instead of one join per band).
-    ``reader`` is ``"npy"`` (array files) or ``"parquet"`` (tables with the
-    key columns and a ``value`` column).
+    ``reader`` is ``"raster"`` (the array file source, whose key has the tile
+    too), ``"npy"`` (array files of one tile) or ``"parquet"`` (tables with
+    the key columns and a ``value`` column).
     """
     from functools import reduce
 
     from .arrays import read_npy
+    from .rasters import read_rasters
     keys = list(keys)
     parts = []
     for label, path in band_paths.items():
-        if reader == "npy":
+        if reader == "raster":
+            df = read_rasters(spark, path, bands=("value",)).select(*keys, "value")
+        elif reader == "npy":
             df = read_npy(spark, path, bands=("value",)).select(*keys, "value")
         elif reader == "parquet":
             df = spark.read.parquet(path).select(*keys, F.col("value").cast("double"))
