@@ -30,6 +30,8 @@ from ..functions.geo import pixel_lat, pixel_lon
 from ..functions.scores import category_name, class_at_least, where_computed
 
 _LOCAL_BITS = 33
+#: Buckets (raster rows) of a block of the two-level prefix sum.
+BLOCK_ROWS = 4096
 
 
 def global_row_number(df: DataFrame, order: list[str], out: str = "row_idx",
@@ -77,8 +79,10 @@ def systematic_sample(df: DataFrame, order: list[str], target: int = S.MARKER_TA
 
     1. rows per bucket -- one partial aggregate, one row per bucket crosses
        the shuffle;
-    2. bucket offsets -- a running sum over that per-bucket table (its size is
-       the number of buckets, e.g. the raster height, not the pixel count);
+    2. bucket offsets, a two-level prefix sum -- buckets are summed by blocks of
+       ``BLOCK_ROWS``, a running sum over the blocks gives each its start, and
+       a window by block the offsets within: one task sees only one row a
+       block (so ``order[0]`` must be a number);
     3. the wanted global positions ``k * step`` fall into at most
        ``2 * target`` buckets per group: those (bucket, position-in-bucket,
        k) triples form a small table, broadcast to fetch the candidate rows;
@@ -91,12 +95,16 @@ def systematic_sample(df: DataFrame, order: list[str], target: int = S.MARKER_TA
     by = list(by or [])
     bucket, within = order[0], list(order[1:])
     keys = [*by, bucket]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*by).orderBy(bucket)
-    offs = counts.select(
-        *keys, "_cnt",
-        F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(*by)).alias("_n"))
+    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+                .withColumn("_block", F.floor(F.col(bucket) / BLOCK_ROWS)))
+    blocks = counts.groupBy(*by, "_block").agg(F.sum("_cnt").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*by, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"),
+                           F.sum("_sum").over(Window.partitionBy(*by)).alias("_n"))
+    within_block = Window.partitionBy(*by, "_block").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.join(starts, [*by, "_block"]).select(
+        *keys, "_cnt", "_n",
+        (F.col("_start") + F.coalesce(F.sum("_cnt").over(within_block), F.lit(0))).alias("_off"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(target)))
     # k values whose position k*step lies in [off, off + cnt)
     k_lo = F.ceil(F.col("_off") / step)
@@ -115,9 +123,9 @@ def systematic_sample(df: DataFrame, order: list[str], target: int = S.MARKER_TA
 
 
 def popup_text(score, name, lat, lon) -> "F.Column":
-    """Marker popup: score with one decimal, class name, location with four."""
-    return F.format_string("High Risk Area | Risk Score: %.1f | Category: %s | Location: %.4f, %.4f",
-                           F.col(score), F.col(name), F.col(lat), F.col(lon))
+    """Marker text: class, score with one decimal, position with four."""
+    return F.format_string("%s hazard, score %.1f of 100, at latitude %.4f and longitude %.4f",
+                           F.col(name), F.col(score), F.col(lat), F.col(lon))
 
 
 def high_risk_markers(scored: DataFrame, height, width, bounds=S.STUDY_AREA,

@@ -173,9 +173,8 @@ def save_assessment(scored: DataFrame, table_path: str, bbox=S.STUDY_AREA, run_k
     Returns (ids written, quarantined rows) as DataFrames."""
     from ..sources.sinks import append_assessments
     rec = assessment_record(scored, bbox, **kw)
-    if run_key is not None:
-        rec = rec.drop("id")
+    rec = rec.drop("id")  # ids from the whole record, see append_assessments
     valid, bad = Q.split_valid(rec)
     empty = valid.where(F.col("risk_score").isNull())  # every pixel masked: nothing was assessed
-    bad = bad.unionByName(empty, allowMissingColumns=True)
+    bad = bad.unionByName(empty.withColumn("reason", F.lit("no valid pixel")), allowMissingColumns=True)
     return append_assessments(valid.where(F.col("risk_score").isNotNull()), table_path, run_key=run_key), bad

@@ -25,6 +25,7 @@ from ..operators import spatial as SP
 from ..operators import stats as ST
 from ..operators import tiling as TL
 from ..sources import fixtures as FX
+from ..sources.tables import stored
 from . import oracle as O
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -201,9 +202,9 @@ def q_risk_classes(spark, d):
 @register("class_distribution", W_O(*O.MASKED_SCORED)
           + f"SELECT risk_category, pixels, {O.r6('pixels / sum(pixels) OVER () * 100e0')} AS pct_all, "
             f"{O.cname('risk_category')} AS category_name "
-            "FROM (SELECT risk_category, count(*) AS pixels FROM mc GROUP BY risk_category) g")
+            "FROM (SELECT risk_category, count(*) AS pixels FROM mc GROUP BY risk_category) g ORDER BY risk_category")
 def q_class_distribution(spark, d):
-    return ST.class_distribution(masked_scored(spark, d))
+    return ST.class_distribution(masked_scored(spark, d)).orderBy("risk_category")
 
 
 AREA_SQL = (f"SELECT {{by}}risk_category, {O.cname('risk_category')} AS category_name, pixels, "
@@ -213,14 +214,14 @@ AREA_SQL = (f"SELECT {{by}}risk_category, {O.cname('risk_category')} AS category
             "GROUP BY {by}risk_category) g")
 
 
-@register("area_statistics", W_O(*O.MASKED_SCORED) + AREA_SQL.format(by="", part=""))
+@register("area_statistics", W_O(*O.MASKED_SCORED) + AREA_SQL.format(by="", part="") + " ORDER BY risk_category")
 def q_area_statistics(spark, d):
-    return ST.area_statistics(masked_scored(spark, d))
+    return ST.area_statistics(masked_scored(spark, d)).orderBy("risk_category")
 
 
-@register("area_by_tile", W_O(*O.MASKED_SCORED) + AREA_SQL.format(by="tile_id, ", part="PARTITION BY tile_id"))
+@register("area_by_tile", W_O(*O.MASKED_SCORED) + AREA_SQL.format(by="tile_id, ", part="PARTITION BY tile_id") + " ORDER BY tile_id, risk_category")
 def q_area_by_tile(spark, d):
-    return ST.area_statistics(masked_scored(spark, d), by=["tile_id"])
+    return ST.area_statistics(masked_scored(spark, d), by=["tile_id"]).orderBy("tile_id", "risk_category")
 
 
 def _mmm_sql(cols):
@@ -260,9 +261,9 @@ def q_run_summary(spark, d):
             f"{O.r6('nbr_mean')} AS nbr_mean, {O.r6('mean_risk_score')} AS mean_risk_score, "
             f"{O.cname(O.classify('mean_risk_score'))} AS risk_category, pixels FROM ("
             "SELECT tile_id, scene_date, avg(ndvi) AS ndvi_mean, avg(ndmi) AS ndmi_mean, avg(nbr) AS nbr_mean, "
-            "avg(risk_score) AS mean_risk_score, count(*) AS pixels FROM mc GROUP BY tile_id, scene_date) g")
+            "avg(risk_score) AS mean_risk_score, count(*) AS pixels FROM mc GROUP BY tile_id, scene_date) g ORDER BY tile_id, scene_date")
 def q_scene_means(spark, d):
-    return ST.scene_means(masked_scored(spark, d), by=["tile_id", "scene_date"])
+    return ST.scene_means(masked_scored(spark, d), by=["tile_id", "scene_date"]).orderBy("tile_id", "scene_date")
 
 
 # --------------------------------------------------------------------------- A-10, A-13, P-27 series
@@ -278,9 +279,9 @@ def series(spark, d) -> DataFrame:
     return ST.time_series(SCO.add_fast_score(I.add_fast_indices(pixels(spark, d))))
 
 
-@register("time_series", SERIES_SQL)
+@register("time_series", SERIES_SQL + " ORDER BY scene_date")
 def q_time_series(spark, d):
-    return series(spark, d)
+    return series(spark, d).orderBy("scene_date")
 
 
 @register("series_arrays", "WITH s AS (" + SERIES_SQL + ")\n"
@@ -404,12 +405,23 @@ def tile_scenes(px: DataFrame) -> DataFrame:
             "d * px_col + e * px_row + f AS y FROM pixels p JOIN tr ON p.tile_id = tr.tile_id")
 def q_pixel_affine(spark, d):
     px = pixels(spark, d)
-    # One row per tile: AQE broadcasts it by its runtime size.
-    j = px.join(tile_scenes(px), "tile_id")
+    # The scene catalogue is a stored table of one row a tile: its static size decides for a broadcast, no pixel is shuffled.
+    j = px.join(stored(tile_scenes(px)), "tile_id")
     return j.select(*KEYS, G.affine_x("px_col", "px_row", "a", "b", "c").alias("x"),
                     G.affine_y("px_col", "px_row", "d", "e", "f").alias("y"))
 
 
+@register("scene_metadata", W_O(O.PIXELS)
+          + ", scenes AS (SELECT tile_id, max(px_col) + 1 AS width, max(px_row) + 1 AS height FROM pixels GROUP BY tile_id)\n"
+            f"SELECT tile_id, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, {O.d(TILE_W)} / width AS a, 0e0 AS b, "
+            f"{O.d(W)} + (tile_id % 4) * {O.d(TILE_W)} AS c, 0e0 AS d, {O.d(-TILE_H)} / height AS e, "
+            f"{O.d(N)} - floor(tile_id / 4) * {O.d(TILE_H)} AS f, 'EPSG:4326' AS crs FROM scenes ORDER BY tile_id")
+def q_scene_metadata(spark, d):
+    """The stored scene catalogue: size, transform and reference system of every tile."""
+    scenes = stored(tile_scenes(pixels(spark, d)))
+    return scenes.withColumns({c: F.col(c).cast("long") for c in ("width", "height")}).orderBy("tile_id")
+
+
 @register("pixel_results", W_O(*O.GRID_SCORED)
           + f"SELECT assessment_id, px_row, px_col, {LON_SQL} AS lon, {LAT_SQL} AS lat, risk_score, risk_category, "
             "ndvi, ndmi, nbr FROM gc")
@@ -562,12 +574,13 @@ def q_quality_quarantine(spark, d):
           + "SELECT a.id, a.assessment_date, a.geom_wkt, a.risk_score, a.risk_category, a.area_hectares, "
             "b.boundary_id, b.nm AS boundary_name FROM assessments a LEFT JOIN boundaries b "
             "ON a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin "
-            "ORDER BY a.assessment_date DESC, a.id")
+            "ORDER BY a.assessment_date DESC, a.id, boundary_id")
 def q_spatial_join(spark, d):
     a = FX.assessments(spark, d)
     b = FX.boundaries(spark, d)
     j = SP.spatial_left_join(a, b, "id", "boundary_id", ["nm"])
-    return SP.newest_first(j.select(*ASSESS_COLS, "boundary_id", F.col("nm").alias("boundary_name")))
+    out = j.select(*ASSESS_COLS, "boundary_id", F.col("nm").alias("boundary_name"))
+    return out.orderBy(F.desc("assessment_date"), "id", "boundary_id")
 
 
 @register("spatial_join_levels", W_O(O.ASSESSMENTS, O.POLYGONS)
@@ -775,8 +788,8 @@ def q_quick_ndvi(spark, d):
           + ", hr AS (SELECT *, row_number() OVER (ORDER BY px_row, px_col) - 1 AS idx, count(*) OVER () AS n "
             "FROM gc WHERE risk_category >= 4)\n"
             f"SELECT idx // greatest(1, n // {O.MARKERS}) AS sample_rank, "
-            "printf('High Risk Area | Risk Score: %.1f | Category: %s | Location: %.4f, %.4f', risk_score, "
-            f"{O.cname('risk_category')}, {LAT_SQL}, {LON_SQL}) AS popup FROM hr "
+            f"printf('%s hazard, score %.1f of 100, at latitude %.4f and longitude %.4f', {O.cname('risk_category')}, "
+            f"risk_score, {LAT_SQL}, {LON_SQL}) AS popup FROM hr "
             f"WHERE idx % greatest(1, n // {O.MARKERS}) = 0")
 def q_marker_popups(spark, d):
     """Marker feed with popup text (numbers formatted with one/four decimals)."""
@@ -794,3 +807,49 @@ TOP_K = 10
 def q_top_risk_assessments(spark, d):
     """Top-k report of the highest scores (the limit is the feature)."""
     return SP.top_by_score(FX.assessments(spark, d), TOP_K).select(*ASSESS_COLS)
+
+
+# --------------------------------------------------------------------------- E-08, S-08, S-14, E-09: what was written, read back
+
+
+@register("save_assessment", W_O(*O.MASKED_SCORED)
+          + f"SELECT date '2024-03-01' AS assessment_date, {O.r6('avg(risk_score)')} AS risk_score, "
+            f"{O.cname(O.classify('avg(risk_score)'))} AS risk_category, {O.r6('avg(ndvi)')} AS ndvi_mean, {O.r6('avg(ndmi)')} AS ndmi_mean, "
+            f"{O.r6('avg(nbr)')} AS nbr_mean, '{{\"tile\":\"' || CAST(tile_id AS VARCHAR) || '\"}}' AS metadata "
+            "FROM mc GROUP BY tile_id HAVING avg(risk_score) IS NOT NULL ORDER BY metadata")
+def q_save_assessment(spark, d):
+    """One assessment a tile saved, saved again (nothing is added), and the table read back."""
+    from ..sources.arrays import scratch_dir
+    from ..sources.sinks import append_assessments
+    from .assessment import assessment_record
+    path = scratch_dir(spark, "assessments")
+    tiles = assessment_record(masked_scored(spark, d), assessment_date="2024-03-01", processing_ts="2024-03-01 00:00:00", by=["tile_id"])
+    records = stored(tiles.withColumn("metadata", F.to_json(F.struct(F.col("tile_id").cast("string").alias("tile"))))
+                     .where("risk_score is not null").drop("id", "tile_id"))
+    for _ in range(2):
+        append_assessments(records, path)
+    return spark.read.parquet(path).select(
+        "assessment_date", ST.r6("risk_score").alias("risk_score"), "risk_category", *[ST.r6(c).alias(c) for c in (
+            "ndvi_mean", "ndmi_mean", "nbr_mean")], "metadata").orderBy("metadata")
+
+
+@register("saved_indices", W_O(O.PIXELS, O.idx("pixels", "pi"))
+          + "SELECT tile_id, px_row, px_col, ndvi, nbr, scene_date FROM pi WHERE scene_date >= date '1998-06-01'")
+def q_saved_indices(spark, d):
+    """Index tables partitioned by scene date, written and read back for the dates asked for."""
+    from ..sources.arrays import scratch_dir
+    from ..sources.sinks import write_index_table
+    path = scratch_dir(spark, "indices")
+    write_index_table(I.add_all_indices(pixels(spark, d)), path, ["ndvi", "nbr"])
+    return spark.read.parquet(path).where("scene_date >= date '1998-06-01'").select("tile_id", "px_row", "px_col", "ndvi", "nbr", "scene_date")
+
+
+@register("map_legend", W_O(*O.GRID_SCORED)
+          + f"SELECT risk_category, {O.cname('risk_category')} AS category_name, {O.ccolour('risk_category')} AS colour, count(*) AS pixels, "
+            f"min(risk_score) AS least, max(risk_score) AS most FROM gc WHERE risk_category > 0 GROUP BY risk_category ORDER BY risk_category")
+def q_map_legend(spark, d):
+    """Legend of a risk map: the classes that occur, with colour, size and range of scores, by class."""
+    g = grid_scored(spark, d).groupBy("risk_category").agg(F.count("*").alias("pixels"), F.min("risk_score").alias("least"),
+                                                         F.max("risk_score").alias("most")).where("risk_category > 0")
+    return g.select("risk_category", SC.category_name("risk_category").alias("category_name"), SC.category_colour("risk_category").alias("colour"),
+                    "pixels", "least", "most").orderBy("risk_category")

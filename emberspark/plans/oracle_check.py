@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 from ..sources.tables import DRIVER_TABLES, table_path
 
@@ -51,3 +52,19 @@ def run_both(spark, con, builder, sql: str, sf_dir: str):
 def same(a, b) -> bool:
     (cols, rows), (ocols, orows) = a, b
     return sorted(cols) == sorted(ocols) and canonical(cols, rows) == canonical(ocols, orows)
+
+
+def in_order(sql: str) -> bool:
+    """Whether the result of a query comes in a stated order."""
+    return re.search(r"ORDER BY [^()]*$", sql) is not None
+
+
+def same_order(a, b) -> bool:
+    """Equal rows at equal places (columns by name)."""
+    (cols, rows), (ocols, orows) = a, b
+
+    def listed(names, values):
+        order = sorted(range(len(names)), key=lambda i: names[i])
+        return [tuple(_norm(r[i]) for i in order) for r in values]
+
+    return listed(cols, rows) == listed(ocols, orows)

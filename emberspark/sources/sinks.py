@@ -82,6 +82,14 @@ def assessment_ids(key_cols: list[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in key_cols])
 
 
+def record_ids(df: DataFrame, key_cols) -> Column:
+    """Id of a record by its natural key, its content but the timestamps, and the run key if there is one."""
+    content = [f.name for f in S.ASSESSMENT_SCHEMA.fields if f.name in df.columns and f.name not in ("id", "created_at", "updated_at")]
+    named = [*dict.fromkeys([*key_cols, *content, *(["_run"] if "_run" in df.columns else [])])]
+    # hashes pass over NULLs: which values are missing is part of the id
+    return F.xxhash64(*[F.col(c) for c in named], *[F.col(c).isNull() for c in named])
+
+
 def create_tables(spark: SparkSession, location: str) -> None:
     """``risk_assessments`` and ``pixel_results`` as Parquet tables.
 
@@ -110,9 +118,10 @@ def append_assessments(df: DataFrame, path: str, key_cols=("assessment_date", "g
                        skip_existing: bool = True, run_key: str | None = None) -> DataFrame:
     """Append assessment records, ids from the natural key; returns the ids.
 
-    ``run_key`` names the run or scene and is part of the id: a second
-    assessment of the same area and day under another run key is a record of
-    its own. Records of one batch with the same id are written once.
+    The id covers the whole content but the timestamps: two different
+    assessments of one area and day are both kept, a repeated one is written
+    once. ``run_key`` names the run or scene and is part of the id too, so
+    that an equal result of another run is a record of its own.
 
     With ``skip_existing`` (default) records whose id is already stored are
     not written again, so re-running a job (after a failure, or twice by
@@ -122,7 +131,7 @@ def append_assessments(df: DataFrame, path: str, key_cols=("assessment_date", "g
     out = df
     if "id" not in out.columns:
         keyed = out if run_key is None else out.withColumn("_run", F.lit(run_key))
-        out = keyed.withColumn("id", assessment_ids([*key_cols, *(["_run"] if run_key is not None else [])])).drop("_run")
+        out = keyed.withColumn("id", record_ids(keyed, key_cols)).drop("_run")
     out = out.dropDuplicates(["id"])
     if skip_existing:
         stored = stored_ids(df.sparkSession, path)

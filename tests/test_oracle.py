@@ -26,6 +26,8 @@ def test_matches_oracle(spark, con, name):
     assert sorted(a[0]) == sorted(b[0]), (a[0], b[0])
     assert len(a[1]) == len(b[1])
     assert OC.same(a, b)
+    if OC.in_order(SQL[name]):
+        assert OC.same_order(a, b)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
