@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberspark.llm.common import held_out, utf8
+from emberspark.llm.common import cut, held_out, utf8
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fold: int = 5,
@@ -28,8 +28,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class)
         taken = part if taken is None else taken.unionAll(part)
-    texts = (docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text")).join(F.broadcast(taken), "doc_id")
-             .groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    texts = cut(docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text")).join(F.broadcast(taken), "doc_id")
+                .groupBy("doc_id", "y").agg(F.min("text").alias("text")))
     left, fits = most_bytes, []
     for r in texts.select("doc_id", F.length("text").alias("size"), order.alias("at")).orderBy("at", "doc_id").collect():
         if r.size <= left:
