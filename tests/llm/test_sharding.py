@@ -49,3 +49,23 @@ def test_empty_and_clashing(spark, none, clashing):
     assert S.shuffle_into_shards(none).count() == 0
     got = S.shuffle_into_shards(clashing)
     assert got.count() == clashing.count() and dict(got.dtypes)["shard"] == "int"
+
+
+def test_draws_beyond_numpy(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes, _, _ = S.bucket_sizes(5_000_000_000, 16, 1_000_000_000)
+    before = np.cumsum([0, 3_000_000_000, 1, 0, 1_999_999_999])
+    rows = [S.matrix_row(sizes, before, p, 5) for p in range(4)]
+    assert (sum(rows) == sizes).all() and [int(r.sum()) for r in rows] == [3_000_000_000, 1, 0, 1_999_999_999]
+    # mean and deviation of large draws
+    good, bad, drawn = 30_000_000_000, 70_000_000_000, 10_000_000_000
+    x = np.array([S.hypergeometric(rng, good, bad, drawn) for _ in range(4000)], float)
+    sd = (drawn * 0.3 * 0.7 * (1 - drawn / 1e11)) ** 0.5
+    assert abs(x.mean() - 3e9) < 5 * sd / 4000 ** 0.5 and abs(x.std() / sd - 1) < 0.06
+    # the same sampler on a small population has the law itself
+    monkeypatch.setattr(S, "LARGE", 0)
+    got = np.bincount([S.hypergeometric(rng, 7, 11, 6) for _ in range(20000)], minlength=7) / 20000
+    from math import comb
+    want = np.array([comb(7, k) * comb(11, 6 - k) / comb(18, 6) for k in range(7)])
+    assert abs(got - want).max() < 0.015
+    assert S.hypergeometric(rng, 5, 0, 3) == 3 and S.hypergeometric(rng, 0, 5, 3) == 0 and S.hypergeometric(rng, 4, 4, 8) == 4
