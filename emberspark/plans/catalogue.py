@@ -810,6 +810,23 @@ def q_top_risk_assessments(spark, d):
     return SP.top_by_score(FX.assessments(spark, d), TOP_K).select(*ASSESS_COLS)
 
 
+@register("tile_batch", W_O(O.PIXELS)
+          + f", pi AS (SELECT tile_id, {O.cindex('b08', 'b04')} AS ndvi, {O.cindex('b08', 'b12')} AS nbr FROM pixels)"
+            f", ps AS (SELECT *, {O.calibrated(present=('NDVI', 'NBR'))} AS risk_score FROM pi)\n"
+            "SELECT CAST(tile_id AS VARCHAR) AS tile, CAST(count(*) AS BIGINT) AS pixels, round(avg(risk_score), 2) AS tile_mean_risk, "
+            "min(risk_score) AS risk_min, max(risk_score) AS risk_max FROM ps GROUP BY tile_id ORDER BY tile")
+def q_tile_batch(spark, d):
+    """Two of the three indices over tile files that arrive in two lots; each run reads the new files only."""
+    from ..sources.arrays import scratch_dir
+    from . import tile_state as TS
+    path, state = scratch_dir(spark, "tiles"), scratch_dir(spark, "tile-state")
+    px = pixels(spark, d).withColumn("lot", F.col("tile_id"))
+    for lot in ("tile_id < 6", "tile_id >= 6"):
+        px.where(lot).write.mode("append").partitionBy("lot").parquet(path)
+        TS.update(spark, path, state, ["NDVI", "NBR"])
+    return TS.tile_totals(spark, path, state, ["NDVI", "NBR"]).orderBy("tile")
+
+
 AREA_BOX = (150.15, -33.9, 150.45, -33.6)
 
 
