@@ -893,3 +893,31 @@ def q_map_legend(spark, d):
                                                          F.max("risk_score").alias("most")).where("risk_category > 0")
     return g.select("risk_category", SC.category_name("risk_category").alias("category_name"), SC.category_colour("risk_category").alias("colour"),
                     "pixels", "least", "most").orderBy("risk_category")
+
+
+@register("series_json", SERIES_SQL + " ORDER BY scene_date")
+def q_series_json(spark, d):
+    """The series exported as one JSON document of parallel lists, read back as rows."""
+    from ..sources.arrays import scratch_dir
+    from ..sources.sinks import write_series_json
+    path = scratch_dir(spark, "series")
+    arrays = ST.series_arrays(series(spark, d))
+    write_series_json(arrays, path)
+    back = spark.read.schema(arrays.schema).json(path)
+    rows = back.select(F.explode(F.arrays_zip("dates", "mean_risks", "max_risks", "high_risk_areas")).alias("r"))
+    return rows.select(F.col("r.dates").alias("scene_date"), F.col("r.mean_risks").alias("mean_risk"), F.col("r.max_risks").alias("max_risk"),
+                       F.col("r.high_risk_areas").alias("high_risk_area")).orderBy("scene_date")
+
+
+@register("map_layers", W_O(*O.GRID_SCORED)
+          + f"SELECT px_row, px_col, risk_category, {O.cname('risk_category')} AS category_name, "
+            f"coalesce({O.ccolour('risk_category')}, '#000000') AS colour, CASE WHEN risk_category = 0 THEN 0 ELSE 255 END AS alpha, "
+            f"{LAT_SQL} AS north, {LON_SQL} AS west FROM gc")
+def q_map_layers(spark, d):
+    """The class layer of a risk map: colour, opacity and upper left corner of every pixel."""
+    g = grid_scored(spark, d)
+    at = g.withColumns(_lat_lon(g))
+    return at.select(*GRID_KEYS, "risk_category", SC.category_name("risk_category").alias("category_name"),
+                     F.coalesce(SC.category_colour("risk_category"), F.lit("#000000")).alias("colour"),
+                     F.when(F.col("risk_category") == 0, F.lit(0)).otherwise(F.lit(255)).alias("alpha"),
+                     F.col("lat").alias("north"), F.col("lon").alias("west"))
