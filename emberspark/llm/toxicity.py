@@ -2,8 +2,9 @@
 
 A document is a bag of sentences.  A sentence's score is a logistic function of the
 weights of its words and of their first four and five bytes; a document's score is
-the noisy-or of its sentences and of one bias, 1 - (1 - p0) prod(1 - q).  What a
-sentence adds is its evidence beyond the bias, q = (p - p0) / (1 - p0), or nothing if
+the noisy-or of its sentences.  It is fitted as 1 - prod(1 - p); in scoring the bias p0 of
+all sentences counts once a document, 1 - (1 - p0) prod(1 - q), and what a sentence adds
+is its evidence beyond it, q = (p - p0) / (1 - p0), or nothing if
 that is negative, so that clean sentences add nothing however many there are.  Only
 document labels are needed: the gradient of the noisy-or reaches the sentences in
 proportion to their share in it, so the weights settle on the words that make a
@@ -97,19 +98,17 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float], epochs: int
             ids = np.concatenate([docs[d][0] for d in own])
             sent = np.concatenate([docs[d][1] + f for d, f in zip(own, first)])
             z = np.bincount(sent, w[ids], minlength=first[-1]) + bias
-            p, p0 = sigmoid(z), sigmoid(np.array(bias))
-            counts = z >= bias  # others add nothing
-            clean = np.add.reduceat(log_clean(z, bias), first[:-1]) - np.logaddexp(0, bias)  # log of (1 - p0) prod(1 - q)
+            p = sigmoid(z)
+            clean = np.add.reduceat(-np.logaddexp(0, z), first[:-1])  # log of prod(1 - p)
             none = np.exp(clean)
             pull = np.where(y[own] == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * share[own]
-            g = np.clip(np.repeat(pull, n) * p * counts, -5, 5)
-            of_bias = np.clip(np.repeat(pull, n) * (p - p0) * counts, -5, 5).sum() + np.clip(pull * p0, -5, 5).sum()
+            g = np.clip(np.repeat(pull, n) * p, -5, 5)
             gw = np.bincount(ids, g[sent], minlength=len(w))
             w2 += gw * gw
             pace = rate / np.sqrt(w2)
             w -= pace * gw
             w = np.sign(w) * np.maximum(np.abs(w) - pace * sparse * len(own), 0)  # words without bearing go to zero
-            gb = float(of_bias)
+            gb = float(g.sum())
             bias2 += gb * gb
             bias -= rate * gb / np.sqrt(bias2)
     return {"bias": float(bias), "weights": {f: float(x) for f, x in zip(common, w) if x}}

@@ -52,25 +52,6 @@ def test_clean_sentences_add_nothing_however_many():
     assert scores[2] == scores[4] == pytest.approx(float(T.sigmoid(np.array(model["bias"]))))
 
 
-def test_gradient_of_the_noisy_or():
-    rng = np.random.default_rng(4)
-    x, bias, y = rng.normal(0, 2, 9), -1.5, 1
-
-    def loss(x, bias):
-        clean = T.log_clean(x + bias, bias).sum() - np.logaddexp(0, bias)
-        return -np.log(-np.expm1(clean)) if y else -clean
-
-    z, p0 = x + bias, T.sigmoid(np.array(bias))
-    none = np.exp(T.log_clean(z, bias).sum() - np.logaddexp(0, bias))
-    pull, counts = -none / (1 - none), z >= bias
-    step = 1e-6
-    for k in range(9):
-        e = np.eye(9)[k] * step
-        assert abs((loss(x + e, bias) - loss(x - e, bias)) / (2 * step) - pull * T.sigmoid(z)[k] * counts[k]) < 1e-6
-    slope = (loss(x, bias + step) - loss(x, bias - step)) / (2 * step)
-    assert abs(slope - pull * (((T.sigmoid(z) - p0) * counts).sum() + p0)) < 1e-6
-
-
 def test_gradient_of_the_network():
     rng = np.random.default_rng(0)
     texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (0, 5, 256, 700, 512)]
