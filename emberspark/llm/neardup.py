@@ -13,13 +13,16 @@ they are dealt into blocks of ``SMALL`` documents, each compared together with t
 few leaders, so that a large class hangs together at a cost linear in its size.  Once these
 links are known, nodes whose documents are of one class hold nothing more to find, and only
 those of several classes branch on; of what is large at the last level, all pairs of
-documents of different classes are compared, in blocks.
+documents of different classes are compared, in parts of ``CROSS`` documents or ``PART_BYTES``
+of shingles, two parts a task.
 
 Comparing estimates the similarity from one byte a minwise hash and keeps pairs well below
 the threshold too; what is kept is confirmed on full shingle sets of the texts: first each
-document against the closest smaller partner in a spanning forest of each block, then the
-classes of each block by a forest among them, then all pairs that still join two classes.  Equal sets are one node of the graph from the start,
-whatever their number.
+document against the closest smaller partner in a spanning forest of each block.  After that
+a block names the documents that may have a partner of another class, their sets are sent
+there, and only a spanning forest of true links among the classes leaves the task, so that
+thousands of texts just below the threshold cost comparisons but no rows.  Equal sets are one
+node of the graph from the start, whatever their number.
 
 Defined cases: documents without words (or null text) have no shingles and are alone;
 documents with one id are one node; a null id is alone, in class null, and kept; an empty
@@ -29,6 +32,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +52,10 @@ LEADERS = 8
 #: Positions that a node chooses on average besides the first: the root, and deeper nodes.
 ROOT, DEEPER = 1.0, 0.5
 CROSS = 512
+#: Shingles of one part of documents that meet in a task (a larger set is a part of its own).
+PART_BYTES = 16 << 20
 #: One-byte minwise hashes that must agree, of 128: a link of 0.8 (102 expected) misses 84 with a chance of about 3e-5.
 ALIKE = 84
-#: Ids sent to all executors at most; beyond, texts are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _id_type(docs: DataFrame) -> str:
@@ -170,38 +174,22 @@ def _forest(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
 
 
-def _compare(nodes: DataFrame, reps: DataFrame, labels: DataFrame | None = None, every: bool = False) -> DataFrame:
-    """``a, b, alike`` of pairs in each (node, block) that may be links; ``nodes`` has ``node, block, rep``.
-
-    A spanning forest of each block, of its classes where labels are given; or every pair of different classes.
-    """
+def _compare(nodes: DataFrame, reps: DataFrame) -> DataFrame:
+    """``a, b, alike``: a spanning forest of the possible links in each block; ``nodes`` has ``node, block, rep``."""
     rows = nodes.join(reps.select("rep", "bytes"), "rep")
-    if labels is not None:
-        rows = _labelled(rows, labels)
-        mixed = (rows.groupBy("node", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo < hi").select("node", "block"))
-        rows = rows.join(mixed, ["node", "block"])
-    else:
-        rows = rows.withColumn("component", F.col("rep"))
 
     def run(batches):
         for t in _runs(batches, ["node", "block"]):
             rep, first = np.unique(t.column("rep").to_numpy(), return_index=True)
             if len(rep) < 2:
                 continue
-            m, label = _matrix(t)[first], t.column("component").to_numpy()[first]
+            m = _matrix(t)[first]
             alike = _agree(m, m)
-            if every:
-                i, j = np.nonzero((alike >= ALIKE) & (label[:, None] < label[None, :]))
-            else:
-                alike[label[:, None] == label[None, :]] = SIZE + 1
-                i, j = _forest(alike)
-                apart = label[i] != label[j]
-                i, j = i[apart], j[apart]
+            i, j = _forest(alike)
             if len(i):
                 yield _pairs(rep[i], rep[j], alike[i, j])
 
-    return gathered(rows.select("node", "block", "rep", "component", "bytes"), ["node", "block"]).mapInArrow(
+    return gathered(rows.select("node", "block", "rep", "bytes"), ["node", "block"]).mapInArrow(
         run, "a long, b long, alike int")
 
 
@@ -237,9 +225,7 @@ def _confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     placed = edges.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     needs = placed.select("a", "part", F.col("b").alias("id"), F.lit(1).alias("role")).unionByName(
         placed.select("a", "part", F.col("a").alias("id"), F.lit(0).alias("role")).distinct())
-    needs = cut(needs)
-    if needs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        needs = F.broadcast(needs)
+    needs = cut(needs)  # small beside the texts: sent to all executors below the session's bound, else joined by id
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(needs, "id").select("a", "part", "role", "id", "text")
 
     def run(batches):
@@ -264,27 +250,123 @@ def _confirm(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return gathered(texts, ["a", "part"], ["role"]).mapInArrow(run, "a long, b long")
 
 
-def _cross(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different classes that may be links, in nodes that stayed large to the last level."""
-    labelled = _labelled(members, labels)
-    mixed = members.groupBy("node").agg(F.ceil(F.count("*") / CROSS).cast("int").alias("parts"))
-    rows = (labelled.join(mixed, "node").join(reps.select("rep", "bytes"), "rep")
-            .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+BLOCK = ["node", "block", "x", "y"]
+
+
+def _met(rows: DataFrame, parts) -> DataFrame:
+    """``rows`` of (node, block) dealt into ``parts`` parts (a column of an aggregate), any two of which meet as ``x, y``."""
+    sizes = rows.groupBy("node", "block").agg(parts.cast("int").alias("parts"))
+    return (rows.join(sizes, ["node", "block"])
+            .withColumn("own", F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "bytes"))
+            .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("parts", "other"))
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two parts that meet; of one part twice, if it meets itself."""
+    own, x = t.column("own").to_numpy(), t.column("x")[0].as_py()
+    left = np.flatnonzero(own == x)
+    return left, left if x == t.column("y")[0].as_py() else np.flatnonzero(own != x)
+
+
+def _doubtful(nodes: DataFrame, reps: DataFrame, labels: DataFrame, large: bool) -> DataFrame:
+    """``node, block, rep, component`` of documents that may have a link to another class in their block, written."""
+    rows = _labelled(nodes.select("node", "block", "rep"), labels)
+    rows = (_met(rows, F.ceil(F.count("*") / CROSS)) if large
+            else rows.withColumns({"x": F.lit(0), "y": F.lit(0), "own": F.lit(0)}))
+    rows = rows.join(reps.select("rep", "bytes"), "rep")
 
     def run(batches):
-        for t in _runs(batches, ["node", "x", "y"]):
-            own, x = t.column("own").to_numpy(), t.column("x")[0].as_py()
-            rep, label, m = t.column("rep").to_numpy(), t.column("component").to_numpy(), _matrix(t)
-            left = np.flatnonzero(own == x)
-            right = left if x == t.column("y")[0].as_py() else np.flatnonzero(own != x)
-            if len(left) and len(right):
-                alike = _agree(m[left], m[right])
-                i, j = np.nonzero((alike >= ALIKE) & (label[left][:, None] != label[right][None, :]))
-                yield _pairs(rep[left[i]], rep[right[j]], alike[i, j])
+        for t in _runs(batches, BLOCK):
+            left, right = _sides(t)
+            rep, label = t.column("rep").to_numpy(), t.column("component").to_numpy()
+            if not len(left) or not len(right) or (label == label[0]).all():
+                continue
+            m = _matrix(t)
+            i, j = np.nonzero((_agree(m[left], m[right]) >= ALIKE) & (label[left][:, None] != label[right][None, :]))
+            at = np.union1d(left[i], right[j])
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [t.column("node").combine_chunks().take(pa.array(at)), t.column("block").combine_chunks().take(pa.array(at)),
+                     pa.array(rep[at]), pa.array(label[at])], names=["node", "block", "rep", "component"])
+
+    return cut(gathered(rows.select(*BLOCK, "own", "rep", "component", "bytes"), BLOCK).mapInArrow(
+        run, "node long, block int, rep long, component long").distinct())
 
-    return gathered(rows, ["node", "x", "y"]).mapInArrow(run, "a long, b long, alike int").select("a", "b").distinct()
+
+def _sets(ids: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """``rep, n, shingles, bytes`` of the texts with the given ids, written; each set of an id once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep")
+
+    def run(batches):
+        for b in small(batches, "text"):
+            sets = [shingle_set(x, k) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rep"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["rep", "key", "n", "shingles"])
+
+    found = (texts.select("rep", "text").mapInArrow(run, "rep long, key binary, n long, shingles binary").where("n > 0")
+             .groupBy("rep", "key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    return cut(found.join(reps.select("key", "bytes"), "key").drop("key"))
+
+
+def _forest_of_links(sets: list[np.ndarray], alike: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray,
+                     percent: int) -> list[tuple[int, int]]:
+    """Rows (i, j) of links between different classes, as few as join all classes that have any."""
+    side = np.union1d(left, right)
+    code = np.split(np.unique(np.concatenate([sets[i] for i in side]), return_inverse=True)[1],
+                    np.cumsum([len(sets[i]) for i in side])[:-1])
+    code = dict(zip(side.tolist(), code))
+    n = np.array([len(s) for s in sets])
+    inside = np.zeros(1 + max(int(c.max()) for c in code.values()), np.uint8)
+    other = np.concatenate([code[j] for j in right.tolist()])
+    first = np.concatenate([[0], np.cumsum(n[right])[:-1]])
+    group = np.unique(label, return_inverse=True)[1]
+    out = []
+    for at, i in enumerate(left.tolist()):
+        may = (alike[at] >= ALIKE) & (group[right] != group[i])
+        if left is right:
+            may[:at + 1] = False
+        if not may.any():
+            continue
+        inside[code[i]] = 1
+        common = np.add.reduceat(inside[other], first, dtype=np.int64)
+        inside[code[i]] = 0
+        for j in right[may & (common > 0) & (100 * common >= percent * (n[i] + n[right] - common))].tolist():
+            if group[j] != group[i]:
+                out.append((i, j))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _joined(nodes: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int,
+            large: bool = False) -> DataFrame | None:
+    """``a, b``: links that join all classes between which a block has any; None if no block may have one.
+
+    Confirmed on the full sets, within the task in which a block's documents meet.
+    """
+    rows = _doubtful(nodes, reps, labels, large)
+    if not rows.limit(1).count():
+        return None
+    sets = _sets(rows.select("rep").distinct(), docs, reps, k)
+    rows = rows.join(sets.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
+    rows = _met(rows, F.greatest(F.ceil(F.count("*") / CROSS), F.ceil(8 * F.sum("n") / PART_BYTES)))
+    rows = rows.drop("n").join(sets.select("rep", "shingles", "bytes").hint("merge"), "rep")
+
+    def run(batches):
+        for t in _runs(batches, BLOCK):
+            left, right = _sides(t)
+            if not len(left) or not len(right):
+                continue
+            m, rep = _matrix(t), t.column("rep").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+            found = _forest_of_links(sets, _agree(m[left], m[right]), t.column("component").to_numpy(), left, right, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([rep[x[i]] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return cut(gathered(rows.select(*BLOCK, "own", "rep", "component", "shingles", "bytes"), BLOCK).mapInArrow(
+        run, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,34 +392,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, doc_id:
                  .select((-F.col("x.a")).alias("a"), "b"))
     links = cut(_confirm(tested, docs, k, percent).unionByName(given))
     labels = cut(components(links))
-    # then the classes against each other, by the closest pairs of each block
-    rest = cut(_compare(blocks, reps, labels).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = cut(links.unionByName(_confirm(rest, docs, k, percent)))
-        labels = cut(components(links))
-        tested = tested.unionByName(rest)
+    # then the classes against each other
+
+    def join_classes(nodes, large=False):
+        nonlocal links, labels
+        more = _joined(nodes, reps, labels, docs, k, percent, large)
+        if more is not None and more.limit(1).count():
+            links = links.unionByName(more)
+            labels = cut(components(links))
 
+    join_classes(blocks)
     # large nodes of several classes branch on
-    small, large = [blocks], members.where(F.col("size") > SMALL)
+    deeper_blocks, large = [], members.where(F.col("size") > SMALL)
     for level in range(1, DEPTH):
         large = cut(_mixed(large, labels))
         if not large.limit(1).count():
             break
         deeper = cut(_sized(_branch(large.select("node", "rep").join(reps.select("rep", "sig"), "rep"))))
-        small.append(deeper.where(F.col("size") <= SMALL).select("node", F.lit(0).alias("block"), "rep"))
+        deeper_blocks.append(deeper.where(F.col("size") <= SMALL).select("node", F.lit(0).alias("block"), "rep"))
         large = deeper.where(F.col("size") > SMALL)
-    nodes = small[0]
-    for more in small[1:]:
-        nodes = nodes.unionByName(more)
-    rest = cut(_compare(nodes, reps, labels, every=True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = cut(links.unionByName(_confirm(rest, docs, k, percent)))
-        labels = cut(components(links))
-    large = cut(_mixed(large, labels))
-    if large.limit(1).count():
-        rest = cut(_cross(large, labels, reps).join(tested.unionByName(rest), ["a", "b"], "left_anti"))
-        if rest.limit(1).count():
-            labels = cut(components(links.unionByName(_confirm(rest, docs, k, percent))))
+    if deeper_blocks:
+        join_classes(reduce(DataFrame.unionByName, deeper_blocks))
+        large = cut(_mixed(large, labels))
+        if large.limit(1).count():
+            join_classes(large.select("node", F.lit(0).alias("block"), "rep"), large=True)
 
     classes = reps.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", F.coalesce("component", "rep").alias("component"))
@@ -351,8 +429,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row of each near-duplicate class: of the smallest id, and of its rows the least."""
     found = cut(near_duplicates(docs, k, percent).select("doc_id", "kept"))
     gone = found.where("not kept").select("doc_id").distinct()
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.limit(1).count():
