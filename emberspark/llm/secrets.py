@@ -6,7 +6,14 @@ and a long run of hex digits.  The entropy method adds spans: every run of at le
 character is kept up to date with the one that enters and the one that leaves, and so
 is sum(c * log2 c), from which the window's Shannon entropy follows without a recount.
 Windows at or above the threshold of the candidate's character class (hex digits, or
-base-64 characters) are joined into spans, unless the allow list knows the candidate.
+base-64 characters) are joined into spans.
+
+The allow list suppresses a candidate that it explains from end to end (a UUID, a digest of
+a web page).  It suppresses a span, looked at together with the rest of the parts between
+``/ _ -`` in which it begins and ends, if that has no letter, looks like words, or bears a mark of a
+made-up value; a folder's name such as ``samples/`` marks nothing but itself.  Like words are
+spans without digits whose case changes at most once in four letters, with a vowel in five letters
+or more and no seven lower-case consonants in a row.
 
 Positions come from the texts between the matches, so a text is split by each pattern
 once; nothing is shuffled.  Running sums are kept in parts of ``PART`` elements, which
@@ -42,14 +49,14 @@ CANDIDATE = "[A-Za-z0-9+/_-]{%d,}" % WINDOW
 CLASSES = {"entropy_hex": ("0123456789abcdef", 3.05),
            "entropy_base64": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-", 3.72)}
 KINDS = ["assign", "access", "hex", *CLASSES]
-#: Candidates that match one of these are not secrets.
+#: Candidates that one of these explains from end to end are not secrets.
 ALLOW = (
-    "^[^0-9]*$",  # no digit: words and identifiers
-    "^[^A-Za-z]*$",  # no letter: numbers
     "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # UUIDs
-    "(?i)(example|sample|dummy|placeholder|changeme)",  # made-up values of manuals
-    "^(sha256|sha384|sha512)-",  # integrity digests of web pages
+    "^(sha256-[A-Za-z0-9+/_-]{43}|sha384-[A-Za-z0-9+/_-]{64}|sha512-[A-Za-z0-9+/_-]{86})$",  # integrity digests of web pages
 )
+#: Marks of made-up values of manuals; as a part of its own (a folder's name) one explains only itself.
+MADE_UP = "(?i)(example|sample|dummy|placeholder|changeme)"
+FOLDER = "(?i)(^|[/_-])(examples?|samples?|dummy|placeholders?|changeme)(?=$|[/_-])"
 PART = 256
 SPANS = "array<struct<start:int,end:int,ord:int>>"
 
@@ -118,6 +125,19 @@ def entropy_spans(s: Column, alphabet: str, least: float, window: int = WINDOW)
     return F.aggregate(moves, zero, slide, last)
 
 
+def _explained(part: Column) -> Column:
+    """Whether a span with the parts around it is a number, words or a made-up value."""
+
+    def without(pattern):
+        return F.length(F.regexp_replace(part, pattern, ""))
+
+    letters, vowels = without("[^A-Za-z]"), without("[^AEIOUYaeiouy]")
+    turns = F.length(part) - without("(?<=[a-z])[A-Z]|(?<=[A-Z][A-Z])[a-z]")
+    words = (~part.rlike("[0-9]") & (turns * 4 <= letters) & (vowels * 5 >= letters)
+             & ~part.rlike("[bcdfghjklmnpqrstvwxz]{7}"))
+    return ~part.rlike("[A-Za-z]") | words | F.regexp_replace(part, FOLDER, "$1").rlike(MADE_UP)
+
+
 def _candidate_spans(found: Column, at: Column, allow: tuple[str, ...], window: int) -> Column:
     """Spans of one candidate, in positions of the text."""
     s = F.get(found, at["at"])
@@ -127,9 +147,15 @@ def _candidate_spans(found: Column, at: Column, allow: tuple[str, ...], window:
     is_hex = s.rlike("^[0-9A-Fa-f]+$")
     out = F.array().cast(SPANS)
 
+    def part(x):
+        before, after = F.substring(s, F.lit(1), x["start"]), F.substring(s, x["end"] + 1, F.length(s))
+        return F.concat(F.regexp_extract(before, "[^/_-]*$", 0), F.substring(s, x["start"] + 1, x["end"] - x["start"]),
+                        F.regexp_extract(after, "^[^/_-]*", 0))
+
     def moved(name, folded):
         alphabet, least = CLASSES[name]
-        return F.transform(entropy_spans(folded, alphabet, least, window), lambda x: F.struct(
+        spans = F.filter(entropy_spans(folded, alphabet, least, window), lambda x: ~_explained(part(x)))
+        return F.transform(spans, lambda x: F.struct(
             (at["start"] + x["start"]).alias("start"), (at["start"] + x["end"]).alias("end"),
             F.lit(KINDS.index(name)).alias("ord")))
 

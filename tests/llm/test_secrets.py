@@ -11,6 +11,16 @@ BASE = {"assign": re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][
                              r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"),
         "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
 LEAST = {"access": 18, "hex": 16}
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+ENTROPY = {"entropy_hex": 3.05, "entropy_base64": 3.72}
+UUID = re.compile("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
+DIGESTS = {"sha256-": 43, "sha384-": 64, "sha512-": 86}
+MARKS = ("example", "sample", "dummy", "placeholder", "changeme")
+FOLDERS = {*MARKS, "examples", "samples", "placeholders"}
+
+
+KEY = "q7Rk2VxZp9TfLw4JsYb8NhDc3GmXa6"
+DIGITLESS = "kXqVzRbTwLpNjHcGfDsWyMxQkZvB"
 
 
 def base_spans(t):
@@ -26,22 +36,43 @@ def entropy(s):
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
 
+def explained(part):
+    letters = [c for c in part if c.isalpha()]
+    if not letters:
+        return True
+    named = "/".join(w for w in re.split("[/_-]", part) if w.lower() not in FOLDERS).lower()
+    if any(m in named for m in MARKS):
+        return True
+    turns = sum(b.isupper() and a.islower() for a, b in zip(part, part[1:]))
+    turns += sum(a.isupper() and b.isupper() and c.islower() for a, b, c in zip(part, part[1:], part[2:]))
+    run = longest = 0
+    for c in part:
+        run = run + 1 if c in "bcdfghjklmnpqrstvwxz" else 0
+        longest = max(longest, run)
+    vowels = sum(c in "aeiouyAEIOUY" for c in part)
+    return not re.search("[0-9]", part) and 4 * turns <= len(letters) and 5 * vowels >= len(letters) and longest < 7
+
+
 def all_spans(t):
     out = base_spans(t)
     for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t):
         s = m[0]
-        if any(re.search(p, s) for p in S.ALLOW):
+        if UUID.fullmatch(s) or (s[:7] in DIGESTS and len(s) == 7 + DIGESTS[s[:7]]):
             continue
         kind = "entropy_hex" if re.fullmatch("[0-9A-Fa-f]+", s) else "entropy_base64"
         own = s.lower() if kind == "entropy_hex" else s
         spans = []
         for i in range(len(own) - 19):
-            if entropy(own[i:i + 20]) >= S.CLASSES[kind][1]:
+            if entropy(own[i:i + 20]) >= ENTROPY[kind]:
                 if spans and i <= spans[-1][1]:
                     spans[-1][1] = i + 20
                 else:
                     spans.append([i, i + 20])
-        out += [(m.start() + a, S.KINDS.index(kind), m.start() + b) for a, b in spans]
+        for a, b in spans:
+            lo = max(s.rfind(c, 0, a) for c in "/_-") + 1
+            hi = min((x for x in (s.find(c, b) for c in "/_-") if x >= 0), default=len(s))
+            if not explained(s[lo:hi]):
+                out.append((m.start() + a, KINDS.index(kind), m.start() + b))
     return sorted(out)
 
 
@@ -60,12 +91,15 @@ def texts(seed=3):
                 "".join(rng.choice("abcdefghij") for _ in range(n)), "Passwd='" + "".join(rng.choice(b64) for _ in range(n)) + "'",
                 "AKIA" + "".join(rng.choice("ABCDEFGH0123") for _ in range(n)), "words and ünïcode", "token = short"]))
         out.append(rng.choice([" ", "\n", ", ", "'"]).join(parts))
+    out += ["samples/" + KEY, KEY + "_example", "sample_" + DIGITLESS, DIGITLESS, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+            "documents/archive/articles/background/index", "getElementByIdentifierFromTheList", "sha256-" + "aB3/" * 10 + "xY9",
+            "sha256-" + KEY, "0f8fad5b-d9cb-469f-a165-70867728950e", "x/0f8fad5b-d9cb-469f-a165-70867728950e", "HTTP_STATUS_MESSAGE_TABLE"]
     out.append(" ".join("%040x" % rng.getrandbits(160) for _ in range(1200)))  # more matches than one part holds
     return out
 
 
 def render(spans):
-    return ",".join(f"{S.KINDS[o]}:{a}:{b}" for a, o, b in spans)
+    return ",".join(f"{KINDS[o]}:{a}:{b}" for a, o, b in spans)
 
 
 def test_matches_brute_force(spark):
@@ -81,6 +115,15 @@ def test_matches_brute_force(spark):
         assert r.spans == render(all_spans(t))
 
 
+def test_allow_list_suppresses_what_it_explains(spark):
+    kept = [KEY, DIGITLESS, "samples/" + KEY, "sample_" + DIGITLESS, "/example/" + KEY, "sha256-" + KEY]
+    gone = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "documents/archive/articles/background/index",
+            "getElementByIdentifierFromTheList", "0f8fad5b-d9cb-469f-a165-70867728950e", "sha256-" + "aB3/" * 10 + "xY9"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(kept + gone)]
+    got = {r.text: r.secret_spans for r in S.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[t] for t in kept) and not any(got[t] for t in gone)
+
+
 def test_no_python_in_the_plan(spark, odd):
     docs = spark.read.parquet(write_tables(spark, documents=odd) + "/documents.parquet")
     plan = S.redact(S.scan(docs))._jdf.queryExecution().executedPlan().toString()
