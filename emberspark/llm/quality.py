@@ -26,7 +26,7 @@ from emberspark.llm.common import TEXT, add_columns, held_out, small, table, wit
 from emberspark.llm.labelled import labelled_sample
 
 PER_CLASS = 2000
-WIDTH, STRIDE, FILTERS, HIDDEN, BLOCK = 6, 2, 16, 16, 256
+WIDTH, STRIDE, FILTERS, HIDDEN, BLOCK = 6, 1, 16, 16, 256
 PAD = 256
 EPOCHS = 8
 SLICE_BLOCKS = 2048
