@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from .. import schema as S
 
 BAND_LABELS = tuple(S.BAND_NAMES)          # B04, B08, B11, B12
+#: Bytes of array files in a task that aligns bands: it holds a group for each of its pixels, some 400 bytes for the 8 of
+#: a dense file, before any meet those of another band.
+ALIGN_BYTES = 8 << 20
 
 
 def wide_to_long(df: DataFrame, keys: list[str], bands=S.BANDS) -> DataFrame:
@@ -87,7 +90,7 @@ def load_band_files(spark, band_paths: dict, keys=("px_row", "px_col"), reader:
     parts = []
     for label, path in band_paths.items():
         if reader == "raster":
-            df = read_rasters(spark, path, bands=("value",)).select(*keys, "value")
+            df = read_rasters(spark, path, bands=("value",), partition_bytes=ALIGN_BYTES).select(*keys, "value")
         elif reader == "npy":
             df = read_npy(spark, path, bands=("value",)).select(*keys, "value")
         elif reader == "parquet":

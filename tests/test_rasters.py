@@ -95,3 +95,18 @@ def test_empty_folders_and_writes(spark, tmp_out):
     R.write_rasters(raster(spark, 0), tmp_out + "/new", ["v"], None, 10)
     assert R.read_rasters(spark, tmp_out + "/new", ["v"]).count() == 0
     assert [f for f in os.listdir(tmp_out + "/new") if f.startswith("_manifest-")]
+
+
+def test_bands_are_aligned_in_tasks_of_few_pixels(spark, tmp_out, monkeypatch):
+    from emberspark.sources import bands as B
+    paths, scans, read = {}, [], R.read_rasters
+    for label, value in (("B04", 1.0), ("B08", 3.0)):
+        paths[label] = f"{tmp_out}/{label}"
+        os.makedirs(paths[label])
+        np.save(f"{paths[label]}/a_r0_c0.npy", np.full((1600, 1600), value))  # 20 MB
+        np.save(f"{paths[label]}/b_r0_c0.npy", np.full((3, 5), value))
+    monkeypatch.setattr(R, "read_rasters", lambda *a, **k: scans.append(read(*a, **k)) or scans[-1])
+    wide = B.load_band_files(spark, paths, ("tile", "px_row", "px_col"), "raster")
+    assert [s.rdd.getNumPartitions() >= 3 for s in scans] == [True, True]
+    got = wide.where("tile = 'b' OR px_row = 1599 AND px_col >= 1590").collect()
+    assert len(got) == 25 and {(r.b04, r.b08) for r in got} == {(1.0, 3.0)}
