@@ -12,16 +12,20 @@ Large nodes hold documents alike to each other, or a passage that many share.  A
 they are dealt into blocks of ``SMALL`` documents, each compared together with the node's
 few leaders, so that a large class hangs together at a cost linear in its size.  Once these
 links are known, nodes whose documents are of one class hold nothing more to find, and only
-those of several classes branch on; of what is large at the last level, all pairs of
-documents of different classes are compared, in parts of ``CROSS`` documents or ``PART_BYTES``
-of shingles, two parts a task.
+those of several classes branch on, without documents that are in small nodes (or alone) for
+two thirds of the roots' 20 choices: a link of similarity 0.8 disagrees in 14 of 20 or more with
+a chance below 2e-6, so theirs were compared there.  Of what is large at the last level, or keeps
+two thirds of its parent and so would not get smaller, all pairs of documents of different
+classes are compared, in parts of ``CROSS`` documents or ``PART_BYTES`` of shingles, two parts a task.
 
 Comparing estimates the similarity from one byte a minwise hash and keeps pairs well below
 the threshold too; what is kept is confirmed on full shingle sets of the texts: first each
 document against the closest smaller partner in a spanning forest of each block.  After that
 a block names the documents that may have a partner of another class, their sets are sent
 there, and only a spanning forest of true links among the classes leaves the task, so that
-thousands of texts just below the threshold cost comparisons but no rows.  Equal sets are one
+thousands of texts just below the threshold cost comparisons but no rows.  A pair that is in
+several small nodes of the roots makes its documents be named in the first of them only, and
+sets whose sizes alone rule a link out are not compared.  Equal sets are one
 node of the graph from the start, whatever their number.
 
 Defined cases: documents without words (or null text) have no shingles and are alone;
@@ -36,6 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +59,8 @@ ROOT, DEEPER = 1.0, 0.5
 CROSS = 512
 #: Shingles of one part of documents that meet in a task (a larger set is a part of its own).
 PART_BYTES = 16 << 20
+#: Pairs compared together in a task.
+PAIRS = 1 << 13
 #: One-byte minwise hashes that must agree, of 128: a link of 0.8 (102 expected) misses 84 with a chance of about 3e-5.
 ALIKE = 84
 
@@ -87,6 +94,11 @@ def _chosen(node: np.ndarray, expected: float) -> np.ndarray:
     return chosen
 
 
+#: The roots' choices: tree and position, the same for all documents.
+CHOICES = [(t, int(p)) for t in range(TREES) for p in np.flatnonzero(_chosen(mix(np.array([t + 1], np.uint64)), ROOT)[0])]
+assert len(CHOICES) <= 64
+
+
 def _children(node: np.ndarray, sig: np.ndarray, more: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and name of every child that the rows' nodes send them to."""
     row, position = np.nonzero(_chosen(node, more))
@@ -94,8 +106,17 @@ def _children(node: np.ndarray, sig: np.ndarray, more: float) -> tuple[np.ndarra
     return row, mix(mix(node[row] + position.astype(np.uint64)) ^ value)
 
 
+def _roots(sig: np.ndarray):
+    """Row and name of every child of the roots; the last bits of a name say which of the roots' choices it comes of."""
+    for k, (t, position) in enumerate(CHOICES):
+        node = mix(mix(np.array([t + 1], np.uint64)) + np.uint64(position))
+        name = mix(node ^ sig[:, position].astype(np.uint64))
+        yield np.arange(len(sig)), name & ~np.uint64(63) | np.uint64(k)
+
+
 def _branch(members: DataFrame) -> DataFrame:
-    """``node, rep`` of the next level; ``members`` has ``rep, sig`` and, below the root, ``node``."""
+    """``node, rep, parent`` (the size of the node it comes of) of the next level, written; ``members`` has ``rep, sig``
+    and, below the root, ``node, size``."""
     root = "node" not in members.columns
 
     def run(batches):
@@ -104,14 +125,16 @@ def _branch(members: DataFrame) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, SIZE)
             rep = b.column("rep").to_numpy()
+            parent = np.zeros(len(rep), np.int64) if root else b.column("size").to_numpy()
             if root:
-                found = [_children(np.full(len(rep), mix(np.array([t + 1], np.uint64))[0]), sig, ROOT) for t in range(TREES)]
+                found = _roots(sig)
             else:
                 found = [_children(b.column("node").to_numpy().view(np.uint64), sig, DEEPER)]
             for row, name in found:
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rep[row])], names=["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rep[row]), pa.array(parent[row])],
+                                                 names=["node", "rep", "parent"])
 
-    return members.mapInArrow(run, "node long, rep long")
+    return cut(members.mapInArrow(run, "node long, rep long, parent long"))
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -139,6 +162,60 @@ def _runs(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
+def _whole(batches, keys: list[str]):
+    """Tables of whole runs of rows that agree in ``keys``, from batches sorted by them, and where each run begins."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        cols = [t.column(k).to_numpy() for k in keys]
+        first = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1])
+        if len(first) > 1:
+            yield t.slice(0, first[-1]).combine_chunks(), first[:-1]
+        held = t.slice(first[-1])
+    if held is not None:
+        yield held.combine_chunks(), np.zeros(1, np.int64)
+
+
+def _pairs_within(first: np.ndarray, rows: int):
+    """Rows (i, j), i < j, of all pairs within runs that begin at ``first``, some at a time."""
+    later = np.repeat(np.append(first[1:], rows), np.diff(first, append=rows)) - np.arange(rows) - 1
+    ends = np.cumsum(later)
+    at = 0
+    while at < rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        n = later[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+
+
+def _agreement(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many one-byte hashes agree in each pair of rows (i, j)."""
+    eight = (m[i] == m[j]).view(np.uint64).sum(axis=1, dtype=np.uint64)  # eight counts of at most 16, a byte each
+    return ((eight * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
+def _alike(t: pa.Table, first: np.ndarray, may):
+    """Rows (i, j) of the pairs within runs for which ``may(i, j)`` holds and enough hashes agree, and how many do."""
+    m, out = _matrix(t), [(np.zeros(0, np.int64),) * 3]
+    for i, j in _pairs_within(first, len(m)):
+        own = may(i, j)
+        i, j = i[own], j[own]
+        alike = _agreement(m, i, j)
+        own = alike >= ALIKE
+        out.append((i[own], j[own], alike[own]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _sizes_allow(n: np.ndarray, percent: int):
+    """Whether sets of the sizes of rows i and j may be a link: the smaller is at least that part of the larger."""
+    return lambda i, j: 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+
+
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many one-byte hashes agree, for all pairs of rows of x and y."""
     out = np.zeros((len(x), len(y)), np.uint8)
@@ -151,11 +228,6 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(-1, SIZE)
 
 
-def _pairs(rep_a, rep_b, alike):
-    lo, hi = np.minimum(rep_a, rep_b), np.maximum(rep_a, rep_b)
-    return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(alike.astype(np.int32))], names=["a", "b", "alike"])
-
-
 def _forest(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of a spanning forest of greatest agreement, over pairs that agree enough."""
     n = len(alike)
@@ -174,23 +246,43 @@ def _forest(alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
 
 
-def _compare(nodes: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b, alike``: a spanning forest of the possible links in each block; ``nodes`` has ``node, block, rep``."""
-    rows = nodes.join(reps.select("rep", "bytes"), "rep")
+def _forests(first: np.ndarray, i: np.ndarray, j: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j), sorted by i, are a spanning forest of greatest agreement of each run."""
+    run = np.searchsorted(first, i, "right")
+    edges = np.flatnonzero(np.diff(run, prepend=-1, append=-1))
+    kept = []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if hi - lo == 1:
+            kept.append(np.array([lo]))
+            continue
+        rows, back = np.unique(np.concatenate([i[lo:hi], j[lo:hi]]), return_inverse=True)
+        x, y = back[:hi - lo], back[hi - lo:]
+        matrix, place = np.zeros((len(rows), len(rows)), np.int64), np.zeros((len(rows), len(rows)), np.int64)
+        matrix[x, y] = matrix[y, x] = alike[lo:hi]
+        place[x, y] = place[y, x] = np.arange(lo, hi)
+        kept.append(place[_forest(matrix)])
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _compare(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``node, block, a, b, alike``: a spanning forest of the possible links in each block, written; ``nodes`` has ``node, block, rep``."""
+    rows = nodes.join(reps.select("rep", "n", "bytes"), "rep")
 
     def run(batches):
-        for t in _runs(batches, ["node", "block"]):
-            rep, first = np.unique(t.column("rep").to_numpy(), return_index=True)
-            if len(rep) < 2:
-                continue
-            m = _matrix(t)[first]
-            alike = _agree(m, m)
-            i, j = _forest(alike)
-            if len(i):
-                yield _pairs(rep[i], rep[j], alike[i, j])
+        for t, first in _whole(batches, ["node", "block"]):
+            rep = t.column("rep").to_numpy()
+            fits = _sizes_allow(t.column("n").to_numpy(), percent)
+            i, j, alike = _alike(t, first, lambda i, j: (rep[i] != rep[j]) & fits(i, j))
+            own = _forests(first, i, j, alike)
+            if len(own):
+                i, j = i[own], j[own]
+                yield pa.RecordBatch.from_arrays(
+                    [t.column("node").chunk(0).take(pa.array(i)), t.column("block").chunk(0).take(pa.array(i)),
+                     pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j])), pa.array(alike[own], pa.int32())],
+                    names=["node", "block", "a", "b", "alike"])
 
-    return gathered(rows.select("node", "block", "rep", "bytes"), ["node", "block"]).mapInArrow(
-        run, "a long, b long, alike int")
+    return cut(gathered(rows.select("node", "block", "rep", "n", "bytes"), ["node", "block"]).mapInArrow(
+        run, "node long, block int, a long, b long, alike int"))
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -269,28 +361,54 @@ def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return left, left if x == t.column("y")[0].as_py() else np.flatnonzero(own != x)
 
 
-def _doubtful(nodes: DataFrame, reps: DataFrame, labels: DataFrame, large: bool) -> DataFrame:
-    """``node, block, rep, component`` of documents that may have a link to another class in their block, written."""
+def _shared(nodes: pa.ChunkedArray) -> np.ndarray:
+    """The small root nodes of each row, in the order of the roots' choices (0: not small)."""
+    lists = nodes.combine_chunks()
+    names, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()])
+    out = np.zeros((len(lists), len(CHOICES)), np.uint64)
+    out[np.repeat(np.arange(len(lists)), np.diff(ends, prepend=0)), (names & np.uint64(63)).astype(np.int64)] = names
+    return out
+
+
+def _first_met(shared: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j, in a node together, are in no small root node together or in this as the first."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), PAIRS):
+        x, y = i[at:at + PAIRS], j[at:at + PAIRS]
+        both = (shared[x] == shared[y]) & (shared[x] != 0)
+        first = both.argmax(axis=1)
+        out[at:at + PAIRS] = ~both[np.arange(len(x)), first] | (shared[x, first] == node[x])
+    return out
+
+
+def _doubtful(nodes: DataFrame, reps: DataFrame, labels: DataFrame, percent: int, large: bool) -> DataFrame:
+    """``node, block, rep, component`` of documents that may have a link to another class in their block, written.
+
+    A pair that is in several small root nodes counts in the first of them only.
+    """
     rows = _labelled(nodes.select("node", "block", "rep"), labels)
+    mixed = (rows.groupBy("node", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("node", "block"))
+    rows = rows.join(mixed, ["node", "block"])
     rows = (_met(rows, F.ceil(F.count("*") / CROSS)) if large
             else rows.withColumns({"x": F.lit(0), "y": F.lit(0), "own": F.lit(0)}))
-    rows = rows.join(reps.select("rep", "bytes"), "rep")
+    rows = rows.join(reps.select("rep", "n", "bytes", "nodes"), "rep")
 
     def run(batches):
-        for t in _runs(batches, BLOCK):
-            left, right = _sides(t)
-            rep, label = t.column("rep").to_numpy(), t.column("component").to_numpy()
-            if not len(left) or not len(right) or (label == label[0]).all():
-                continue
-            m = _matrix(t)
-            i, j = np.nonzero((_agree(m[left], m[right]) >= ALIKE) & (label[left][:, None] != label[right][None, :]))
-            at = np.union1d(left[i], right[j])
+        for t, first in _whole(batches, BLOCK):
+            rep, label, node = (t.column(c).to_numpy() for c in ("rep", "component", "node"))
+            fits, shared = _sizes_allow(t.column("n").to_numpy(), percent), _shared(t.column("nodes"))
+            own, x, y = (t.column(c).to_numpy() for c in ("own", "x", "y"))
+            # of two parts that meet, the pairs within each of them belong to other tasks
+            i, j, _ = _alike(t, first, lambda i, j: (label[i] != label[j]) & ((x[i] == y[i]) | (own[i] != own[j])) & fits(i, j))
+            met = _first_met(shared, node.view(np.uint64), i, j)
+            at = np.union1d(i[met], j[met])
             if len(at):
                 yield pa.RecordBatch.from_arrays(
-                    [t.column("node").combine_chunks().take(pa.array(at)), t.column("block").combine_chunks().take(pa.array(at)),
+                    [t.column("node").chunk(0).take(pa.array(at)), t.column("block").chunk(0).take(pa.array(at)),
                      pa.array(rep[at]), pa.array(label[at])], names=["node", "block", "rep", "component"])
 
-    return cut(gathered(rows.select(*BLOCK, "own", "rep", "component", "bytes"), BLOCK).mapInArrow(
+    return cut(gathered(rows.select(*BLOCK, "own", "rep", "component", "n", "bytes", "nodes"), BLOCK).mapInArrow(
         run, "node long, block int, rep long, component long").distinct())
 
 
@@ -346,7 +464,7 @@ def _joined(nodes: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFram
 
     Confirmed on the full sets, within the task in which a block's documents meet.
     """
-    rows = _doubtful(nodes, reps, labels, large)
+    rows = _doubtful(nodes, reps, labels, percent, large)
     if not rows.limit(1).count():
         return None
     sets = _sets(rows.select("rep").distinct(), docs, reps, k)
@@ -378,15 +496,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, doc_id:
     docs = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text"))
     named = cut(sketch(docs, k))
     sets = named.where("doc_id is not null and key is not null")
-    reps = cut(sets.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.max("sig").alias("sig")))
-    reps = reps.withColumn("bytes", _low_bytes("sig"))
+    reps = cut(sets.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.max("sig").alias("sig"),
+                                        F.max("n_shingles").alias("n")))
 
     members = cut(_sized(_branch(reps.select("rep", "sig"))))
     blocks = cut(_blocks(members))
+    # a document's small root nodes, where its pairs are compared once for all
+    placed = members.where(F.col("size") <= SMALL).groupBy("rep").agg(F.collect_set("node").alias("nodes"))
+    reps = cut(reps.withColumn("bytes", _low_bytes("sig")).join(placed, "rep", "left"))
     # an id with several sets, or the copies of a set: their representatives are linked as they stand
     given = (sets.join(reps.select("key", "rep"), "key").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"))
              .where("a <> b").select("a", "b"))
-    pairs = _compare(blocks, reps).groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    pairs = _compare(blocks, reps, percent)
     # each document against the partner with the smaller id that seems closest
     tested = cut(pairs.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("x"))
                  .select((-F.col("x.a")).alias("a"), "b"))
@@ -401,19 +522,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, doc_id:
             links = links.unionByName(more)
             labels = cut(components(links))
 
-    join_classes(blocks)
-    # large nodes of several classes branch on
-    deeper_blocks, large = [], members.where(F.col("size") > SMALL)
+    # documents without a possible link in their block are in no forest
+    join_classes(pairs.select("node", "block", F.explode(F.array("a", "b")).alias("rep")).distinct())
+    # large nodes of several classes branch on, without the documents most of whose root nodes are small
+    large = members.where(F.col("size") > SMALL)
+    often = large.groupBy("rep").agg(F.count("*").alias("c")).where(F.col("c") * 3 > len(CHOICES)).select("rep")
+    deeper_blocks, whole, large = [], [], large.join(often, "rep").select(*members.columns)
     for level in range(1, DEPTH):
         large = cut(_mixed(large, labels))
         if not large.limit(1).count():
             break
-        deeper = cut(_sized(_branch(large.select("node", "rep").join(reps.select("rep", "sig"), "rep"))))
+        deeper = cut(_sized(_branch(large.select("node", "rep", "size").join(reps.select("rep", "sig"), "rep"))))
         deeper_blocks.append(deeper.where(F.col("size") <= SMALL).select("node", F.lit(0).alias("block"), "rep"))
-        large = deeper.where(F.col("size") > SMALL)
+        # a node that keeps most of its parent's documents would not get smaller: its pairs are compared as they are
+        alike = F.col("size") * 3 >= F.col("parent") * 2
+        whole.append(deeper.where((F.col("size") > SMALL) & alike))
+        large = deeper.where((F.col("size") > SMALL) & ~alike)
     if deeper_blocks:
         join_classes(reduce(DataFrame.unionByName, deeper_blocks))
-        large = cut(_mixed(large, labels))
+        large = cut(_mixed(reduce(DataFrame.unionByName, whole, large), labels))
         if large.limit(1).count():
             join_classes(large.select("node", F.lit(0).alias("block"), "rep"), large=True)
 

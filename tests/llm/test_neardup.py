@@ -101,3 +101,40 @@ def test_groups_stay_whole_after_a_join_on_their_keys(spark):
     df = spark.range(1000).select((F.col("id") % 50).alias("node"), "id")
     plan = gathered(df.join(df.groupBy("node").count(), "node"), ["node"])._jdf.queryExecution().executedPlan().toString()
     assert "xxhash64(node" in plan and "REPARTITION_BY_COL" in plan
+
+
+def close_family(n, size, edits, seed=9):
+    """Texts of one mould whose similarity lies below the threshold."""
+    rng = random.Random(seed)
+    base = words(rng, size).split()
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.sample(range(0, size, 5), edits):
+            own[at] = words(rng, 1)
+        out.append(" ".join(own))
+    return out
+
+
+def test_pairs_met_often_name_their_documents_once(spark, monkeypatch):
+    """A pair below the threshold is in some 15 root nodes; its documents are named in the first of them."""
+    texts = [t for s in range(20) for t in close_family(8, 100, 3, seed=s)]
+    named = []
+    whole = N._doubtful
+    monkeypatch.setattr(N, "_doubtful", lambda *a: named.append(whole(*a)) or named[-1])
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(df, 4).collect()}
+    assert got == brute(list(enumerate(texts)), 4)
+    assert named and 0 < sum(d.count() for d in named) < 4 * len(texts)
+
+
+def test_nodes_that_do_not_shrink_branch_once(spark, monkeypatch):
+    """Branching of a large family just below the threshold makes few rows, and its links are still found."""
+    texts = close_family(300, 100, 2)
+    rows = []
+    whole = N._branch
+    monkeypatch.setattr(N, "_branch", lambda m: rows.append(whole(m)) or rows[-1])
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(df, 4).collect()}
+    assert got == brute(list(enumerate(texts)), 4)
+    assert sum(d.count() for d in rows[1:]) < 2 * len(N.CHOICES) * len(texts)
