@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberspark.llm.common import cut, held_out, utf8
 
 
+class Texts(Sequence):
+    """Texts of an Arrow column, each read out as bytes when it is asked for.
+
+    The column is one block of memory, which is given back as a whole; thousands of bytes objects would leave
+    the driver's memory in pieces that it keeps.
+    """
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, at) -> bytes:
+        return self.column[int(at)].as_py()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fold: int = 5,
-                    doc_id: str = "doc_id", text: str = "text", most_bytes: int = 64 << 20) -> tuple[list[bytes], list[int], list[float]]:
+                    doc_id: str = "doc_id", text: str = "text", most_bytes: int = 64 << 20) -> tuple[Texts, list[int], list[float]]:
     """Texts, labels and row weights of at most ``per_class`` documents of each label and ``most_bytes`` of text.
 
     Rows whose id falls in the held-out fold are never read.  The documents taken are
@@ -36,9 +56,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
             left -= r.size
             fits.append(r.doc_id)
     ids = docs.sparkSession.createDataFrame([(x,) for x in fits], docs.select(F.col(doc_id).alias("doc_id")).schema)
-    rows = texts.join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    got = {y: max(1, sum(r.y == y for r in rows)) for y in (0, 1)}
+    rows = texts.join(F.broadcast(ids), "doc_id").toArrow()
+    name = rows.column("doc_id").to_pylist()
+    order = sorted(range(len(name)), key=name.__getitem__)
+    y = [rows.column("y")[i].as_py() for i in order]
+    got = {k: max(1, y.count(k)) for k in (0, 1)}
     total = max(1, sum(counts.values()))
-    weights = [counts[r.y] / total * len(rows) / got[r.y] for r in rows]
-    return [bytes(r.text) for r in rows], [r.y for r in rows], weights
+    weights = [counts[k] / total * len(y) / got[k] for k in y]
+    return Texts(rows.column("text").take(pa.array(order, pa.int64()))), y, weights

@@ -22,6 +22,8 @@ those named like the added ones replaced.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,9 +73,10 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float], epochs: int
     common = sorted((f for f, n in seen.items() if n >= MIN_DOCS), key=lambda f: (-seen[f], f))[:MAX_FEATURES]
     del seen
     index = {f: i for i, f in enumerate(common)}
-    docs = []
+    # all texts' features one after another: blocks that are given back as a whole
+    ids, sentence, ends, counts = array("i"), array("i"), [0], []
     for text in texts:
-        ids, sentence, k, said = [], [], 0, set()
+        k, said = 0, set()
         for word in words_and_ends(text):
             if word == END:
                 k += 1
@@ -84,7 +87,11 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float], epochs: int
                     if (i := index.get(f)) is not None:
                         ids.append(i)
                         sentence.append(k)
-        docs.append((np.array(ids, np.int32), np.array(sentence, np.int32), k + 1))
+        ends.append(len(ids))
+        counts.append(k + 1)
+    del index
+    ids, sentence = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (ids, sentence))
+    docs = [(ids[x:y], sentence[x:y], k) for x, y, k in zip(ends, ends[1:], counts)]
     y, share = np.array(labels, float), np.array(weights, float)
     w, bias = np.zeros(len(common)), -6.0
     w2, bias2 = np.full(len(common), 1e-3), 1.0

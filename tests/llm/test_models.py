@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from helpers import LOWER, SCHEMA, write_tables
+from emberspark.llm import labelled
 from emberspark.llm import lmscore as L
 from emberspark.llm import quality as Q
 from emberspark.llm import toxicity as T
@@ -138,3 +139,16 @@ def test_lm_batches_do_not_matter():
 
 def test_lm_empty(spark):
     assert L.op1_lm(spark, write_tables(spark, documents=([], SCHEMA))).count() == 0
+
+
+def test_sample_is_one_block_of_memory(spark):
+    """The driver holds the sample's texts in Arrow, not as thousands of objects; fits read them one by one, with the same model."""
+    rows = [(i, f"{'vile' if i % 3 == 0 else 'nice'} words {i} " * 20, int(i % 3 == 0)) for i in range(120)] + [(500, None, 1), (None, "x", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts, y, weights = labelled.labelled_sample(frame, frame, "toxic", 100)
+    want = {i: (t or "").encode() for i, t, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 5}
+    assert isinstance(texts, labelled.Texts) and [texts[i] for i in range(len(texts))] == list(texts) == [want[i] for i in sorted(want)]
+    assert y == [int(i % 3 == 0) if i < 500 else 1 for i in sorted(want)] and abs(sum(weights) - len(y)) < 1e-9
+    assert T.fit(texts, y, weights) == T.fit(list(texts), y, weights)
+    none = labelled.labelled_sample(frame, frame.where("false"), "toxic", 100)
+    assert len(none[0]) == 0 and none[1:] == ([], []) and T.fit(*none)["weights"] == {}
