@@ -9,16 +9,16 @@ them in the logistic domain.  While a
 document is scored, the mixtures are themselves weighted by how well they have done so far
 in it, with a share for switching, block by block.
 
-As a Spark job: each run of texts names its distinct strings of seven bytes (six of context and
-the byte), with their counts by fold.  They are dealt by the last three bytes of the context,
+As a Spark job: each run of texts (what a task reads, up to ``RUN_BYTES``) names its distinct strings of
+seven bytes (six of context and the byte) once, with their counts by fold.  They are dealt by the last three bytes of the context,
 so that all contexts of three to six bytes lie whole in one part, and are counted there exactly,
 without hashing; the counts of two-byte contexts (at most 2^24, whatever the corpus) are added
 up over all parts.  What is counted and written so grows with the corpus, and no task holds
 more than a part.  Weights are learned from all training documents, whatever their length:
 in ``ROUNDS`` rounds each part adds up the gradient and the curvature of its strings' cost by
 gate, with the counts of the string's own fold left out, and one Newton step is taken.  Then
-each distinct string is predicted once, in its part, and the runs of texts get the predictions
-of their strings (as half-precision numbers) back.
+each distinct string is predicted once, in its part, and the runs of texts get their strings with the
+predictions (as half-precision numbers) back, where a table of them answers for all their texts.
 
 Texts of one process can also be scored with hashed counts (``count_bits``, ``learn``,
 ``score_texts``): the same model with a fixed number of slots; the query does not use it.
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,8 @@ START = 0.35  # all weights before learning
 PAIRS = [(a, b) for a in range(len(ORDERS)) for b in range(a, len(ORDERS))]
 FREQUENT = 1_000_000
 BATCH = 1 << 20  # bytes predicted together
-COUNTED = 4 << 20  # bytes counted, and scored, together
+COUNTED = 2 << 20  # bytes counted, and scored, together
+RUN_BYTES = 32 << 20  # bytes whose strings are named, and predicted, once
 CACHE_BITS = 21  # predictions that a task keeps
 CHUNK = 1 << 14  # predictions held in the processor's cache
 BLOCK = 32  # bytes between two updates of the mixtures' weights
@@ -296,10 +298,12 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
 
 def by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The parts that hold any of the keys, the order that deals them out, and where each part begins."""
-    part = part_of(key, parts)
-    order = np.argsort(part, kind="stable")
-    names, first = np.unique(part[order], return_index=True)
-    return names, order, np.append(first, len(key))
+    part = np.empty(len(key), np.uint16 if parts <= 1 << 16 else np.int64)  # the short ones are sorted by digits
+    for at in range(0, len(key), BATCH):
+        part[at:at + BATCH] = part_of(key[at:at + BATCH], parts)
+    n = np.bincount(part, minlength=parts)
+    names = np.flatnonzero(n)
+    return names, np.argsort(part, kind="stable"), np.append(0, np.cumsum(n[names]))
 
 
 def added_up(names: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,9 +319,58 @@ def shortened(key: np.ndarray, o: int) -> np.ndarray:
     return key & ~np.uint64((1 << 8 * (HEAD + 1 - o)) - 256)
 
 
+class Sums:
+    """Times of distinct names, added up as they come; what is held stays near the distinct ones, or a million."""
+
+    def __init__(self, kind=np.int64):
+        self.names, self.times = np.zeros(0, np.uint64), np.zeros(0, kind)
+        self.held: list = []
+
+    def add(self, names: np.ndarray, times: np.ndarray) -> None:
+        """``names`` are distinct and sorted."""
+        self.held.append((names, times))
+        if sum(len(x) for x, _ in self.held) > max(1 << 20, len(self.names) // 2):
+            self.joined()
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """All names so far, sorted, and their times."""
+        if self.held:
+            names, times = self.held[0] if len(self.held) == 1 else added_up(*(np.concatenate(x) for x in zip(*self.held)))
+            self.held = []
+            at = np.searchsorted(self.names, names)
+            old = np.flatnonzero(self.names.take(at, mode="clip") == names) if len(self.names) else at[:0]
+            self.times[at[old]] += times[old].astype(self.times.dtype)
+            new = np.ones(len(names), bool)
+            new[old] = False
+            at, names, times = at[new], names[new], times[new]
+            # each new name stands behind those before it, old and new
+            at += np.arange(len(at))
+            stays = np.ones(len(self.names) + len(at), bool)
+            stays[at] = False
+            for mine, more in (("names", names), ("times", times)):
+                both = np.empty(len(stays), getattr(self, mine).dtype)
+                both[at], both[stays] = more, getattr(self, mine)
+                setattr(self, mine, both)
+        return self.names, self.times
+
+
+def tally(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names, sorted, and how often each comes; sorts ``names`` in place."""
+    names.sort()
+    first = np.flatnonzero(np.diff(names, prepend=~names[:1]))
+    return names[first], np.diff(first, append=len(names))
+
+
+def by_key(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted names, and each name's place among them."""
+    key = names >> np.uint64(4)
+    new = np.diff(key, prepend=~key[:1]) != 0
+    return key[new], np.cumsum(new) - 1
+
+
 def by_fold(names: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their counts in each fold; a name is a key and its fold's four bits."""
-    key, back = np.unique(names >> np.uint64(4), return_inverse=True)
+    """Distinct keys and their counts in each fold, from sorted names; a name is a key and its fold's four bits."""
+    key, back = by_key(names)
     fold = (names & np.uint64(15)).astype(np.int64)
     counts = np.zeros((len(key), FOLDS), np.int64)
     own = fold < FOLDS
@@ -325,6 +378,28 @@ def by_fold(names: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key, counts
 
 
+def sum_of(w: np.ndarray, gate: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
+    """The weighted sum of the odds, by the weights of each row's gate."""
+    z = w[0].take(gate)
+    z *= x[0]
+    for o in range(1, len(x)):
+        z += w[o].take(gate) * x[o]
+    return z
+
+
+def add_slopes(total: np.ndarray, x: np.ndarray, gate: np.ndarray, w: np.ndarray, times: np.ndarray, ones: np.ndarray) -> None:
+    """Add to each gate's row of ``total`` gradient and curvature of rows of odds that came ``times``, ``ones`` of them before a one."""
+    p = 0.5 * (1 + np.tanh(0.5 * sum_of(w, gate, x)))
+    miss, bend = ones - times * p, times * (p * (1 - p))
+    x = x.astype(float)
+    for o, v in enumerate(x):
+        total[:, o] += np.bincount(gate, miss * v, len(total))
+    for a, v in enumerate(x):
+        v = bend * v
+        for b in range(a, len(x)):
+            total[:, len(x) + PAIRS.index((a, b))] += np.bincount(gate, v * x[b], len(total))
+
+
 class Counted:
     """Exact counts of the contexts of sorted distinct keys; those of two bytes come from ``two`` (keys, counts by fold)."""
 
@@ -342,7 +417,10 @@ class Counted:
                 self.orders.append((names, total.astype(np.int64), back))
 
     def bits(self):
-        """For each bit: its number, its value, the bits before it, and for each order zeros and ones by place and fold, and the keys' places."""
+        """For each bit: its number, its value, the bits before it, and for each order zeros and ones by place and fold, and the keys' places.
+
+        The longest context with the bits before it settles all others: keys side by side that agree in it share their odds.
+        """
         node = np.ones(len(self.key), np.int32)
         for k in range(8):
             found = []
@@ -362,27 +440,36 @@ class Counted:
         """Natural log of the probability of the byte of each key under each set of weights."""
         cost = np.ones((len(GATES), len(self.key)))
         for k, bit, node, found in self.bits():
-            add_bit(cost, [odds(n0.sum(axis=1), n1.sum(axis=1))[place] for n0, n1, place in found], bit, node, k, weights)
+            last = found[-1][2]
+            lead = np.flatnonzero(np.diff(last, prepend=-1))
+            values = [odds(n0.sum(axis=1), n1.sum(axis=1))[place[lead]] for n0, n1, place in found]
+            x = [(v >> 2) * np.float32(1 / 256) for v in values]
+            sign = (1 - 2 * bit).astype(np.float32)
+            for j, (w, g) in enumerate(zip(weights, gates(values, node[lead], k))):
+                z = sum_of(w, g.astype(np.intp), x)[last]
+                z *= sign  # log(1 + e^z) is the cost in nats
+                cost[j] *= 1 + np.exp(np.minimum(z, 80, out=z), out=z)
         return -np.log(cost)
 
     def slopes(self, weights: list[np.ndarray]) -> list[np.ndarray]:
         """By gate: gradient and curvature of the log-probability of all training bytes, each without the counts of its fold."""
         out = [np.zeros((g, len(ORDERS) + len(PAIRS))) for g in GATES]
-        own = [np.flatnonzero(self.counts[:, f]) for f in range(FOLDS)]
-        for k, bit, node, found in self.bits():
+        for k, _, node, found in self.bits():
+            lead = np.flatnonzero(np.diff(found[-1][2], prepend=-1))
             whole = [(n0.sum(axis=1), n1.sum(axis=1)) for n0, n1, _ in found]
-            for f, rows in enumerate(own):
+            for f in range(FOLDS):
+                times = found[-1][0][:, f] + found[-1][1][:, f]
+                rows = np.flatnonzero(times)
                 if not len(rows):
                     continue
-                values = [odds(a0 - n0[:, f], a1 - n1[:, f])[place[rows]] for (a0, a1), (n0, n1, place) in zip(whole, found)]
-                times, x = self.counts[rows, f], [(v >> 2).astype(np.float32) / 256 for v in values]
-                for total, w, g in zip(out, weights, gates(values, node[rows], k)):
-                    p = 0.5 * (1 + np.tanh(0.5 * sum(w[o][g] * x[o] for o in range(len(x)))))
-                    miss, bend = times * (bit[rows] - p), times * (p * (1 - p))
-                    for o, v in enumerate(x):
-                        total[:, o] += np.bincount(g, miss * v, len(total))
-                    for i, (a, b) in enumerate(PAIRS):
-                        total[:, len(x) + i] += np.bincount(g, bend * (x[a] * x[b]), len(total))
+                known = [odds(a0 - n0[:, f], a1 - n1[:, f]) for (a0, a1), (n0, n1, _) in zip(whole, found)]
+                for lo in range(0, len(rows), CHUNK):
+                    own = rows[lo:lo + CHUNK]
+                    at, n, ones = lead[own], times[own].astype(float), found[-1][1][own, f]
+                    values = [v[place[at]] for v, (_, _, place) in zip(known, found)]
+                    x = np.stack([(v >> 2).astype(np.float32) / 256 for v in values])
+                    for total, w, g in zip(out, weights, gates(values, node[at], k)):
+                        add_slopes(total, x, g.astype(np.intp), w, n, ones)
         return out
 
 
@@ -399,25 +486,46 @@ def newton(weights: list[np.ndarray], slopes: list[np.ndarray], hold: float = 1.
 
 
 def named(docs: DataFrame, parts: int) -> DataFrame:
-    """Runs of texts (``row, doc_id, text, fold``), written: ``batch, part, names, times``, and the run itself as ``texts`` of part -1."""
+    """Runs of texts (``row, doc_id, text, fold``), written: ``batch, part, names, times``, and the texts, a few MB a row, as ``texts`` of part -1.
+
+    A run is what a task reads, up to ``RUN_BYTES``: the more texts it has, the fewer strings are named again and again.
+    """
+
+    def rows_of(batch, part, names=None, times=None, texts=None):
+        empty = [None] * len(part)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([batch] * len(part), pa.int64()), pa.array(part, pa.int32()), *(pa.array(x or empty, pa.binary()) for x in (names, times, texts))],
+            names=["batch", "part", "names", "times", "texts"])
+
+    def dealt_out(batch, sums):
+        names, times = sums.joined()
+        own, order, first = by_part(names >> np.uint64(4), parts)
+        names, times = names[order], times[order]
+        cuts = list(zip(first[:-1], first[1:]))
+        return rows_of(batch, own.tolist(), [pack_names(names[x:y]) for x, y in cuts], [pack(times[x:y]) for x, y in cuts])
+
+    def counted_in(b):
+        key, n = keys_of([normal(t) for t in b.column("text").to_pylist()])
+        key <<= np.uint64(4)
+        key |= np.repeat(b.column("fold").to_numpy(zero_copy_only=False).astype(np.uint8), n)
+        return len(key), *tally(key)
 
     def run(batches):
+        batch, sums, size = None, Sums(np.uint32), 0
         for b in small(batches, "text", COUNTED):
-            key, n = keys_of([normal(t) for t in b.column("text").to_pylist()])
-            names = (key << np.uint64(4)) | np.repeat(b.column("fold").to_numpy(zero_copy_only=False).astype(np.uint64), n)
-            names, times = np.unique(names, return_counts=True)
-            own, order, first = by_part(names >> np.uint64(4), parts)
-            names, times = names[order], times[order].astype(np.uint32)
+            n, names, times = counted_in(b)
+            if batch is not None and size + n > RUN_BYTES:
+                yield dealt_out(batch, sums)
+                batch, sums, size = None, Sums(np.uint32), 0
+            batch = b.column("row")[0].as_py() if batch is None else batch
+            size += n
+            sums.add(names, times)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
                 w.write_batch(b)
-            cuts = list(zip(first[:-1], first[1:]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b.column("row")[0].as_py()] * (len(own) + 1), pa.int64()), pa.array([-1, *own.tolist()], pa.int32()),
-                 pa.array([None, *(pack_names(names[x:y]) for x, y in cuts)], pa.binary()),
-                 pa.array([None, *(pack(times[x:y]) for x, y in cuts)], pa.binary()),
-                 pa.array([sink.getvalue().to_pybytes()] + [None] * len(own), pa.binary())],
-                names=["batch", "part", "names", "times", "texts"])
+            yield rows_of(batch, [-1], texts=[sink.getvalue().to_pybytes()])
+        if batch is not None:
+            yield dealt_out(batch, sums)
 
     return cut(docs.mapInArrow(run, "batch long, part int, names binary, times binary, texts binary"))
 
@@ -431,18 +539,10 @@ def counted(runs: DataFrame, parts: int) -> DataFrame:
     """``part, names, times`` of all runs together, one row a part, written."""
 
     def merge(rows):
-        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
-
-        def joined():
-            return added_up(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-
+        sums = Sums()
         for x, y in zip(rows.column("names"), rows.column("times")):
-            held.append((unpack_names(x.as_py()), unpack(y.as_py(), np.uint32).astype(np.int64)))
-            size += len(held[-1][0])
-            if size > 4 << 20 and size > 2 * len(held[0][0]):
-                held = [joined()]
-                size = len(held[0][0])
-        names, times = joined()
+            sums.add(unpack_names(x.as_py()), unpack(y.as_py(), np.uint32).astype(np.int64))
+        names, times = sums.joined()
         return pa.table({"part": rows.column("part").slice(0, 1), "names": pa.array([pack_names(names)], pa.binary()),
                          "times": pa.array([pack(times)], pa.binary())})
 
@@ -501,7 +601,7 @@ def learn_all(whole: DataFrame, two: tuple[np.ndarray, np.ndarray], parts: int,
 
 def answers(runs: DataFrame, whole: DataFrame, two: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray],
             parts: int) -> DataFrame:
-    """``batch, part, found``: the predictions of each run's keys, part by part in the order of the keys."""
+    """``batch, part, names, found``: the keys of each run, in order, and their predictions, part by part."""
     model = runs.sparkSession.sparkContext.broadcast((two, weights))
 
     def run(rows):
@@ -513,25 +613,63 @@ def answers(runs: DataFrame, whole: DataFrame, two: tuple[np.ndarray, np.ndarray
         own = [i for i in range(len(batch)) if i != at]
 
         def told(i):
-            key = np.unique(unpack_names(rows.column("names")[i].as_py()) >> np.uint64(4))
+            key = unpack_names(rows.column("names")[i].as_py())
             return pack(np.ascontiguousarray(found[:, np.searchsorted(whole.key, key)].T).view(np.uint32).ravel())
 
         return pa.table({"batch": pa.array([batch[i] for i in own], pa.int64()), "part": pa.array([part] * len(own), pa.int32()),
-                         "found": pa.array([told(i) for i in own], pa.binary())})
-
-    asked = runs.where("part >= 0").select("batch", "part", "names", F.lit(None).cast("binary").alias("times"))
-    known = whole.select(F.lit(None).cast("long").alias("batch"), "part", "names", "times")
-    return dealt(asked.unionByName(known), parts).groupBy("part").applyInArrow(run, "batch long, part int, found binary")
+                         "names": rows.column("names").take(pa.array(own, pa.int64())), "found": pa.array([told(i) for i in own], pa.binary())})
 
+    def keys(batches):
+        for b in batches:
+            distinct = [by_key(unpack_names(x.as_py()))[0] for x in b.column("names")]
+            yield pa.RecordBatch.from_arrays([b.column("batch"), b.column("part"), pa.array(map(pack_names, distinct), pa.binary())],
+                                             names=["batch", "part", "names"])
 
-def told_scores(texts: list[bytes], found: dict[int, bytes], parts: int) -> np.ndarray:
-    """Natural log of the probability of each normal text of one run, from its keys' predictions."""
+    asked = (runs.where("part >= 0").select("batch", "part", "names").mapInArrow(keys, "batch long, part int, names binary")
+             .withColumn("times", F.lit(None).cast("binary")))
+    known = whole.select(F.lit(None).cast("long").alias("batch"), "part", "names", "times")
+    return dealt(asked.unionByName(known), parts).groupBy("part").applyInArrow(
+        run, "batch long, part int, names binary, found binary")
+
+
+class Told:
+    """The predictions of one run's keys, found by a hash of the key; keys whose place another has taken are in a further table, and so on."""
+
+    def __init__(self, key: np.ndarray, found: np.ndarray):
+        self.tables = []
+        while len(key):
+            bits = max(4, len(key).bit_length())
+            names, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint32)
+            place = self.place(key, bits, len(self.tables))
+            names[place] = key
+            own = names.take(place) == key
+            values[place[own]] = found[own]
+            self.tables.append((bits, names, values))
+            key, found = key[~own], found[~own]
+
+    @staticmethod
+    def place(key: np.ndarray, bits: int, level: int) -> np.ndarray:
+        """Each table has a hash of its own."""
+        turn = (0x9E3779B97F4A7C15 * (2 * level + 1)) & (2 ** 64 - 1)
+        return ((key * np.uint64(turn) ^ key >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.intp)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """The predictions of keys that are all in the tables, one row a set of weights."""
+        out, rest = np.empty(len(key), np.uint32), None
+        for level, (bits, names, values) in enumerate(self.tables):
+            place = self.place(key, bits, level)
+            out[slice(None) if rest is None else rest] = values.take(place)
+            missed = np.flatnonzero(names.take(place) != key)
+            key, rest = key[missed], missed if rest is None else rest[missed]
+            if not len(key):
+                break
+        return np.ascontiguousarray(out.view(np.float16).reshape(-1, len(GATES)).T.astype(np.float32))
+
+
+def told_scores(texts: list[bytes], told: Told) -> np.ndarray:
+    """Natural log of the probability of each normal text, from the predictions of its run's keys."""
     key, n = keys_of(texts)
-    distinct, back = np.unique(key, return_inverse=True)
-    names, order, _ = by_part(distinct, parts)
-    values = np.empty((len(distinct), len(GATES)), np.float32)
-    values[order] = np.concatenate([unpack(found[p], np.uint32).view(np.float16).reshape(-1, len(GATES)) for p in names.tolist()])
-    return combine(np.ascontiguousarray(values.T).take(back, axis=1), n)
+    return combine(told.of(key), n)
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -580,14 +718,23 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fo
     common = spark.sparkContext.broadcast(often)
     base = math.log10(n + 0.1 * (v + 1))
 
-    def score(rows):
-        parts_of, blobs, texts = rows.column("part").to_pylist(), rows.column("found"), rows.column("texts")
-        at = parts_of.index(-1)
-        found = {p: blobs[i].as_py() for i, p in enumerate(parts_of) if i != at}
-        run = pa.ipc.open_stream(texts[at].as_py()).read_all().combine_chunks().to_batches()[0]
-        normals = [normal(t) for t in run.column("text").to_pylist()]
-        lm = told_scores(normals, found, parts) / math.log(10)
-        return pa.Table.from_batches([rows_of(run.slice(x, y - x), normals[x:y], lm[x:y], common.value) for x, y in batches_of(normals)])
+    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, found, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], []
+        for b in rows:
+            for names, values, text in zip(b.column("names"), b.column("found"), b.column("texts")):
+                if text.is_valid:
+                    texts.append(text.as_py())
+                else:
+                    keys.append(unpack_names(names.as_py()))
+                    found.append(unpack(values.as_py(), np.uint32))
+        told = Told(np.concatenate(keys), np.concatenate(found))
+        del keys, found
+        for blob in texts:
+            run = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+            normals = [normal(t) for t in run.column("text").to_pylist()]
+            lm = told_scores(normals, told) / math.log(10)
+            for x, y in batches_of(normals):
+                yield rows_of(run.slice(x, y - x), normals[x:y], lm[x:y], common.value)
 
     def rows_of(b, normals, lm, often):
         rows, token, tf, tokens, known, part, score, size = [], [], [], [], [], [], [], []
@@ -628,7 +775,7 @@ def score_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fo
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     told = answers(runs, whole, two, weights, parts).withColumn("texts", F.lit(None).cast("binary"))
-    own = runs.where("part = -1").select("batch", "part", F.lit(None).cast("binary").alias("found"), "texts")
+    own = runs.where("part = -1").select("batch", "part", *(F.lit(None).cast("binary").alias(c) for c in ("names", "found")), "texts")
     scored = told.unionByName(own).groupBy("batch").applyInArrow(
         score, f"row long, doc_id {id_type}, token binary, tf long, n_tokens long, known long, part double, score double, bytes long")
     joined = scored.join(vocabulary.where(F.col("c") * FREQUENT < max(n, 1)), "token", "left")
